@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import bpe, line_dedup, packing
+from voxlake.llm import bpe, line_dedup, minhash, packing
 from voxlake.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def _ids_sha256(codec: bpe.ByteCodec, ids) -> str:
     return hashlib.sha256(",".join([codec.decimal[i] for i in ids.tolist()]).encode()).hexdigest()
 
@@ -40,7 +44,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op6_bpe": op6_bpe, "op10_line_dedup": op10_line_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_minhash": op2_minhash, "op6_bpe": op6_bpe, "op10_line_dedup": op10_line_dedup}
 
 OP10_SQL = f"""
 with lines as (select rowid_ rid, coalesce('=' || source, '-') host, unnest(string_split(text, chr(10))) line
