@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import ann, bpe, line_dedup, minhash, packing, vector_dedup
-from voxlake.llm.common import table
+from voxlake.llm import ann, bpe, line_dedup, minhash, packing, quality, toxicity, vector_dedup
+from voxlake.llm.common import crc32_text, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,23 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def _judged(scores: DataFrame, folds: int, held: int, least: float) -> DataFrame:
+    held_out = crc32_text("doc_id") % folds == held
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc32_text("doc_id") % 3 != 1)
+    return _judged(toxicity.score(docs, machine), 3, 1, 0.7)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = quality.fit(docs, table(spark, sf_dir, "labels"), crc32_text("doc_id") % 5 != 0)
+    return _judged(quality.score(docs, network), 5, 0, 0.3)
+
+
 def _ids_sha256(codec: bpe.ByteCodec, ids) -> str:
     return hashlib.sha256(",".join([codec.decimal[i] for i in ids.tolist()]).encode()).hexdigest()
 
@@ -52,7 +69,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_minhash": op2_minhash, "op6_bpe": op6_bpe, "op8_ann": op8_ann, "op9_vector_dedup": op9_vector_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_minhash": op2_minhash, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op6_bpe": op6_bpe, "op8_ann": op8_ann, "op9_vector_dedup": op9_vector_dedup, "op10_line_dedup": op10_line_dedup}
 
 OP10_SQL = f"""
 with lines as (select rowid_ rid, coalesce('=' || source, '-') host, unnest(string_split(text, chr(10))) line
