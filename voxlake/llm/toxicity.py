@@ -1,8 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are the letter runs of a text, ASCII in lower case, and their first 4, 5 and 6 bytes, hashed to 2**BITS buckets;
-a text has each term once. Of the buckets the machine takes those whose presence goes with the label by a likelihood
-ratio of at least LEAST. To a bias and a weight for each term it adds, for each pair of terms in a text, the product
+a text has each term once. Of the buckets the machine takes those that label 1 has more often, by a likelihood ratio of
+at least LEAST; terms of clean texts say nothing, as a clean passage doesn't make up for an insult. To a bias and a weight for each term it adds, for each pair of terms in a text, the product
 of their factor vectors, so that two terms can mean what neither means alone.
 
 Fitted on the driver on at most POSITIVES + NEGATIVES labelled texts (whole ones, the first by a hash of their id);
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from voxlake.llm import labelled
 from voxlake.llm.common import lowered, prefix_hash, span_hash
 
-BITS, LEAST, FACTORS, POSITIVES, NEGATIVES = 18, 10.8, 4, 2000, 6000
+BITS, LEAST, FACTORS, POSITIVES, NEGATIVES = 18, 8.0, 4, 2000, 6000
 PREFIXES = (4, 5, 6)
 
 _LETTER = np.zeros(256, bool)
@@ -93,7 +93,7 @@ def _likelihood_ratio(with_term: np.ndarray, total: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_machine(sets: list[bytes], label: np.ndarray, counts: dict[int, int], epochs: int = 60, rate: float = 0.2, shrink: float = 1e-4) -> Machine:
+def fit_machine(sets: list[bytes], label: np.ndarray, counts: dict[int, int], epochs: int = 60, rate: float = 0.2, shrink: float = 1e-5) -> Machine:
     """AdaGrad on the log loss, rows weighed to the classes' true shares. counts: rows by class before sampling."""
     place = np.full(1 << BITS, -1, np.int32)
     none = Machine(-40.0 if not counts.get(1) else float(np.log(counts[1] / max(1e-9, counts.get(0, 0)))) if counts.get(0) else 40.0, place, np.zeros(0), np.zeros((0, FACTORS)))
@@ -104,14 +104,17 @@ def fit_machine(sets: list[bytes], label: np.ndarray, counts: dict[int, int], ep
     bucket = np.concatenate(lists)
     seen = np.stack([np.bincount(bucket[label[row] == c], minlength=1 << BITS) for c in range(2)]).astype(float)
     total = np.bincount(label, minlength=2).astype(float)
-    taken = np.flatnonzero((_likelihood_ratio(seen, total) >= LEAST) & (seen.sum(axis=0) >= 3))
+    more = seen[1] * total[0] > seen[0] * total[1]
+    taken = np.flatnonzero(more & (_likelihood_ratio(seen, total) >= LEAST) & (seen.sum(axis=0) >= 3))
     place[taken] = np.arange(len(taken))
     term = place[bucket].astype(np.int64)
     row, term = row[term >= 0], term[term >= 0]
     share = np.array([counts[c] / total[c] for c in range(2)])
     worth = share[label] / share[label].mean()
     rng = np.random.default_rng(3)
-    machine = Machine(float(np.log(counts[1] / counts[0])), place, np.zeros(len(taken)), rng.normal(0, 0.05, (len(taken), FACTORS)))
+    odds = np.log((seen[1, taken] + 0.5) / (total[1] + 1)) - np.log((seen[0, taken] + 0.5) / (total[0] + 1))
+    start = odds / (1 + len(PREFIXES)) * 1.5  # a word comes with its prefixes; the fit goes on from what each says alone
+    machine = Machine(float(np.log(counts[1] / counts[0])), place, start, rng.normal(0, 0.05, (len(taken), FACTORS)))
     sums = [1e-8, np.full(len(taken), 1e-8), np.full((len(taken), FACTORS), 1e-8)]
     at = np.searchsorted(row, np.arange(len(lists) + 1))
     for _ in range(epochs):
