@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import ann, bpe, line_dedup, minhash, packing, quality, toxicity, vector_dedup
+from voxlake.llm import ann, bpe, line_dedup, minhash, packing, quality, suffix_dedup, toxicity, vector_dedup
 from voxlake.llm.common import crc32_text, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, network), 5, 0, 0.3)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    derive: suffix_dedup.Derive = {"kept_sha256": ("string", lambda kept, spans: hashlib.sha256(kept).hexdigest())}
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"), 50, derive)
+
+
 def _ids_sha256(codec: bpe.ByteCodec, ids) -> str:
     return hashlib.sha256(",".join([codec.decimal[i] for i in ids.tolist()]).encode()).hexdigest()
 
@@ -69,7 +74,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_minhash": op2_minhash, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op6_bpe": op6_bpe, "op8_ann": op8_ann, "op9_vector_dedup": op9_vector_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_minhash": op2_minhash, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_suffix_dedup": op5_suffix_dedup, "op6_bpe": op6_bpe, "op8_ann": op8_ann, "op9_vector_dedup": op9_vector_dedup, "op10_line_dedup": op10_line_dedup}
 
 OP10_SQL = f"""
 with lines as (select rowid_ rid, coalesce('=' || source, '-') host, unnest(string_split(text, chr(10))) line
