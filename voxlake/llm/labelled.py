@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def sample(labels: DataFrame, label: str, fold: Column, per_class: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
@@ -54,14 +55,21 @@ def gathered(docs: DataFrame, chosen: DataFrame, made: Callable[[np.ndarray, np.
     return [found[i][0] for i in order], np.array([found[i][1] for i in order], np.int64)
 
 
-def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(doc_id, score) of every whole text, null texts as empty ones; score: bytes and offsets -> one number a row."""
+def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str = "score", text: str = "text") -> DataFrame:
+    """`docs` with the score of every whole text, null texts as empty ones, as column `name`, which replaces one of that name.
+
+    score: bytes and offsets -> one number a row.
+    """
     from voxlake.llm.common import pieces, string_buffers
 
+    rest = docs.select([F.col(f"`{c}`") for c in docs.columns if c != name])
+    schema = T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())])
+    at = rest.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = string_buffers(batch.column(1))
-            for i, j, part, at in pieces(raw, offsets):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score(part, at).astype(np.float64))], names=["doc_id", "score"])
+            raw, offsets = string_buffers(batch.column(at).cast(pa.string()))
+            scores = [score(part, ends).astype(np.float64) for _, _, part, ends in pieces(raw, offsets)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*batch.schema.names, name])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double")
+    return rest.mapInArrow(run, schema)

@@ -22,6 +22,7 @@ Links are exact on 64-bit shingle hashes. Rows with equal doc_id count as the sa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,8 @@ from voxlake.llm.components import components
 
 WORDS = 5
 COORDINATES = 64
-#: Of 64 coordinates, a pair at similarity 0.85 agrees on 54.4 +- 2.9 and on fewer than 40 once in a million times.
-MIN_MATCHES = 40
-#: Of the longer signatures of 128 bytes, a pair at similarity 0.85 agrees on 108.9 +- 4.0 and on fewer than 92 about once in 60,000 times.
-BRIEF, BRIEF_MATCHES = 128, 92
+#: Bytes of the longer signatures, and how many standard deviations below their mean agreements a threshold is set.
+BRIEF, POST_SPREAD, BRIEF_SPREAD = 128, 5.0, 4.2
 #: Lists of over SMALL members have LEADERS leaders, over LONG in up to ROUNDS rounds.
 SMALL, LONG, LEADERS, ROUNDS = 16, 4096, 4, 4
 #: Shingles on either side of a cell.
@@ -49,6 +48,12 @@ _SCALE = (_RNG.integers(0, 2**31, 1024, dtype=np.uint32) << np.uint32(1)) | np.u
 _SHIFT = _RNG.integers(0, 2**32, 1024, dtype=np.uint32)
 
 
+def least_matches(percent: int, coordinates: int, spread: float) -> int:
+    """Agreements that a pair at the similarity stays under once in some ten thousand times (spread 4.2) or million (5)."""
+    p = percent / 100
+    return max(1, math.floor(coordinates * p - spread * math.sqrt(coordinates * p * (1 - p))))
+
+
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit shingle hashes of all rows, sorted within each row, and the n + 1 offsets of the rows."""
     data = lowered(raw)
@@ -145,7 +150,7 @@ def _matching(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets are of sizes that can link and whose longer signatures agree in enough coordinates."""
     left = classes.select(F.col("rep").alias("a"), F.col("brief").alias("sa"), F.col("n_shingles").alias("na"))
     right = classes.select(F.col("rep").alias("b"), F.col("brief").alias("sb"), F.col("n_shingles").alias("nb"))
-    least = round(BRIEF_MATCHES * min(percent, 85) / 85) if percent < 85 else BRIEF_MATCHES
+    least = least_matches(percent, BRIEF, BRIEF_SPREAD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,12 +257,12 @@ def _finished(member: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, coordinates: int = COORDINATES, min_matches: int = MIN_MATCHES) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept (doc_id = component_id) per row of docs."""
     all_rows = written(signed(docs, words, coordinates), "signed")
     by_set = all_rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("brief").alias("brief")).where("rep is not null")
     classes = written(by_set, "classes")
-    lists = _prefixes(classes, coordinates, round(min_matches * min(percent, 85) / 85))
+    lists = _prefixes(classes, coordinates, least_matches(percent, coordinates, POST_SPREAD))
     links = labels = None
 
     def joined(found: DataFrame) -> None:

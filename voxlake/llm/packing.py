@@ -191,7 +191,7 @@ def fill_bins(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 def _fill(level: int, capacity: int, names: list[str]):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece"], kind="stable", na_position="first").reset_index(drop=True)
+        frame = frame.sort_values(["length", *[c for c in ("doc_id", "piece", "row") if c in frame.columns]], kind="stable", na_position="first").reset_index(drop=True)
         lengths = frame["length"].to_numpy(np.int64)
         sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
         full = np.zeros(len(frame), bool)
@@ -209,7 +209,7 @@ def _fill(level: int, capacity: int, names: list[str]):
 def pack(sized: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """`sized` (doc_id, piece, length and any other columns) with sequence_id and offset.
 
-    Rows longer than `capacity` get a sequence of their own. Columns named bucket, full, sequence_id or offset are replaced.
+    Rows are told apart by their columns doc_id, piece and row, as far as there are such. Rows longer than `capacity` get a sequence of their own. Columns named bucket, full, sequence_id or offset are replaced.
     """
     keep = [c for c in sized.columns if c not in ("bucket", "full", "sequence_id", "offset")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.select(keep).schema)
@@ -218,7 +218,7 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_R
     while True:
         todo_rows = todo.count()
         buckets = max(1, -(-todo_rows // bucket_rows))
-        salted = todo.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "length", F.lit(level), *(["start"] if "start" in keep else [])), F.lit(buckets)))
+        salted = todo.withColumn("bucket", F.pmod(F.xxhash64(F.lit(level), "length", *[c for c in ("doc_id", "piece", "row") if c in keep]), F.lit(buckets)))
         filled = written(salted.groupBy("bucket").applyInPandas(_fill(level, capacity, names), f"{fields}, sequence_id bigint, offset bigint, full boolean"), "packed")
         if buckets == 1 or level == 15:
             done.append(filled)
@@ -236,8 +236,13 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_R
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, derive: dict[str, tuple[str, Callable]] | None = None) -> DataFrame:
-    """Pieces of all documents (see token_pieces) with the sequence and the place they are packed at."""
-    return pack(written(token_pieces(docs, path, end_id, capacity, derive), "pieces"), capacity)
+    """Pieces of all documents (see token_pieces) with the sequence and the place they are packed at.
+
+    Only keys and lengths go through the packing; what was derived from the ids joins its place afterwards.
+    """
+    cut = written(token_pieces(docs, path, end_id, capacity, derive).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    placed = pack(cut.select("row", "doc_id", "piece", "length"), capacity).select("row", "sequence_id", "offset")
+    return cut.join(placed, "row").drop("row")
 
 
 __all__ = ["CAPACITY", "WordCodec", "dropped", "fill_bins", "ids_crc32", "pack", "pack_documents", "token_pieces"]

@@ -170,6 +170,6 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "quality"
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
-    """(doc_id, score) of every row."""
+    """`docs` with the score of every row."""
     held = docs.sparkSession.sparkContext.broadcast(network)  # 2 * 2**BITS vectors and the layers: bounded
     return labelled.scored(docs, lambda raw, offsets: held.value.score(raw, offsets))

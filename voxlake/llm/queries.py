@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import ann, bpe, line_dedup, minhash, packing, quality, suffix_dedup, toxicity, vector_dedup
+from voxlake.llm import ann, bpe, html_text, line_dedup, minhash, packing, quality, suffix_dedup, toxicity, vector_dedup
 from voxlake.llm.common import crc32_text, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, derive)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -74,7 +78,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_minhash": op2_minhash, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_suffix_dedup": op5_suffix_dedup, "op6_bpe": op6_bpe, "op8_ann": op8_ann, "op9_vector_dedup": op9_vector_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_minhash": op2_minhash, "op3_toxicity": op3_toxicity, "op4_quality": op4_quality, "op5_suffix_dedup": op5_suffix_dedup, "op6_bpe": op6_bpe, "op7_html_text": op7_html_text, "op8_ann": op8_ann, "op9_vector_dedup": op9_vector_dedup, "op10_line_dedup": op10_line_dedup}
 
 OP10_SQL = f"""
 with lines as (select rowid_ rid, coalesce('=' || source, '-') host, unnest(string_split(text, chr(10))) line

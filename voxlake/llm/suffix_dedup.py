@@ -104,6 +104,7 @@ class Run:
         self.doc = np.array(self.ids.fill_null(0))
         order = np.lexsort((self.doc, ~self.known))  # rows come in any order
         self.ids, self.known, self.doc = self.ids.take(pa.array(order)), self.known[order], self.doc[order]
+        self.rest = docs.column("rest").combine_chunks().take(pa.array(order)) if "rest" in docs.column_names else None
         self.raw, self.offsets = string_buffers(docs.column("text").combine_chunks().take(pa.array(order))) if docs.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
 
     def pieces(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -406,6 +407,8 @@ def _marked(length: int, buckets: int, derive: Derive, schema: pa.Schema):
             spans = edges.reshape(-1, 2)
             kept = mine.run.raw[a:b][~flags].tobytes()
             out["doc_id"].append(mine.run.ids[r].as_py())
+            if mine.run.rest is not None:
+                out["rest"].append(mine.run.rest[r].as_py())
             out["n_bytes"].append(b - a)
             out["n_removed"].append(b - a - len(kept))
             out["n_spans"].append(len(spans))
@@ -416,11 +419,15 @@ def _marked(length: int, buckets: int, derive: Derive, schema: pa.Schema):
     return run
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, derive: Derive | None = None, run_bytes: int = RUN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and what `derive` makes of a document's kept bytes and removed (start, end) spans: by default both."""
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, derive: Derive | None = None, carry: list[str] | None = None, run_bytes: int = RUN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and what `derive` makes of a document's kept bytes and removed (start, end) spans: by default both.
+
+    carry: columns of `docs` that come with the rows, in a struct `rest`.
+    """
     derive = KEPT if derive is None else derive
-    schema = T._parse_datatype_string("doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint" + "".join(f", {c} {t}" for c, (t, _) in derive.items()))
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []))
+    rest = f", rest {texts.schema['rest'].dataType.simpleString()}" if carry else ""
+    schema = T._parse_datatype_string(f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint{rest}" + "".join(f", {c} {t}" for c, (t, _) in derive.items()))
     total = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     runs = max(1, -(-total // run_bytes))
     buckets = 64

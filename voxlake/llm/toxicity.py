@@ -148,6 +148,6 @@ def fit(docs: DataFrame, labels: DataFrame, fold: Column, label: str = "toxic")
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """(doc_id, score) of every row."""
+    """`docs` with the score of every row."""
     held = docs.sparkSession.sparkContext.broadcast(machine)  # 2**BITS places and the parameters: bounded
     return labelled.scored(docs, lambda raw, offsets: held.value.score(raw, offsets))
