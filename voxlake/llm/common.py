@@ -3,58 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step works on; longer single documents form a piece of their own.
-PIECE_BYTES = 1 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+from voxlake.tables import dropped, shared_dir, stored_bytes, table, written
 
+__all__ = ["dropped", "shared_dir", "stored_bytes", "table", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where the session names none (tests)."""
-    sc: SparkContext = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="voxlake-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, what: str = "part") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxlake-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._voxlake_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    path = getattr(df, "_voxlake_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def stored_bytes(df: DataFrame) -> int:
-    """Size on disk of a table of written()."""
-    jvm = df.sparkSession._jvm
-    at = jvm.org.apache.hadoop.fs.Path(df._voxlake_path)
-    return int(at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(at).getLength())
+#: Bytes of text that one vectorised step works on; longer single documents form a piece of their own.
+PIECE_BYTES = 1 << 20
 
 
 def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,10 +120,6 @@ def crc32_text(col) -> object:
     return F.crc32(F.col(col).cast("string").cast("binary")) if isinstance(col, str) else F.crc32(col.cast("string").cast("binary"))
 
 
-def spare_cores(spark: SparkSession) -> int:
-    return max(2, spark.sparkContext.defaultParallelism)
-
-
 def one_thread() -> None:
     """Python workers share their machine's cores."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -1,33 +1,5 @@
-"""Connected components of a link table, distributed."""
+"""Connected components of a link table, distributed: the library's own operator."""
 
-from __future__ import annotations
+from voxlake.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from voxlake.llm.common import dropped, written
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): for every node of `links` the smallest node reachable.
-
-    Each round takes the least label among a node's neighbours (a partial aggregate, so a hub costs each task one
-    row) and then the label's own label; labels are written to the shared folder between rounds, never collected.
-    Null ends are ignored; an empty table gives an empty result.
-    """
-    edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    both = written(edges.union(edges.select("b", "a")).distinct().select("a", "b"), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
-    while True:
-        told = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select("a", "label")
-        mine = labels.select(F.col("node").alias("a"), "label")
-        least = told.union(mine).groupBy("a").agg(F.min("label").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        stepped = least.join(up, "label").select(F.col("a").alias("node"), F.least("label", "above").alias("label"))
-        new = written(stepped, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        dropped(labels)
-        labels = new
-        if not changed:
-            dropped(both)
-            return labels.select("node", F.col("label").alias("component"))
+__all__ = ["components"]
