@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm import line_dedup, minhash, packing, quality, suffix_dedup
-from voxlake.llm.common import crc32_text, table, written
+from voxlake.llm.common import by_ids, crc32_text, table, written
 from voxlake.llm.queries import WORD_BPE
 
 #: Documents whose probability of label 1 is lower are rejected.
@@ -37,7 +37,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = minhash.near_duplicates(docs.select("doc_id", "text"), percent=SIMILARITY)
-    return docs.join(groups.where("doc_id is not null and not kept").select("doc_id").distinct(), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    return by_ids(docs, groups.where("not kept"), "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

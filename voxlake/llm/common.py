@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.tables import dropped, shared_dir, stored_bytes, table, written
@@ -115,6 +116,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, rows
 
 
+#: Ids that a join may send to every executor: at most 32 MB.
+BROADCAST_IDS = 4_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """rows left_semi or left_anti joined with the different `key` values of `ids`; up to BROADCAST_IDS of them go to the rows, more meet them in a shuffle."""
+    held = written(ids.select(key).where(F.col(key).isNotNull()).distinct(), "ids")
+    return rows.join(F.broadcast(held) if held.count() <= BROADCAST_IDS else held, key, how)
+
+
 def crc32_text(col) -> object:
     """Spark's crc32 of a key as decimal text."""
     return F.crc32(F.col(col).cast("string").cast("binary")) if isinstance(col, str) else F.crc32(col.cast("string").cast("binary"))

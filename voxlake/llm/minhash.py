@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import dropped, lowered, mix, pieces, prefix_hash, span_hash, string_buffers, word_spans, written
+from voxlake.llm.common import by_ids, dropped, lowered, mix, pieces, prefix_hash, span_hash, string_buffers, word_spans, written
 from voxlake.llm.components import components
 
 WORDS = 5
@@ -177,12 +177,12 @@ def _sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), own], names=["node", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node bigint, hashes binary")
+    return by_ids(texts, nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node bigint, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of `pairs` with 100 * intersection >= percent * union of the full sets."""
-    full = written(_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, words), "sets")
+    full = written(_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, words), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +244,7 @@ def _cell(percent: int):
 
 def _finished(member: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between the components of each list of `member` (key, rep, label, top), in cells."""
-    full = written(_sets(member.select(F.col("rep").alias("node")).distinct(), docs, words), "sets")
+    full = written(_sets(member.select(F.col("rep").alias("node")), docs, words), "sets")
     sized = member.join(full.select(F.col("node").alias("rep"), (F.length("hashes") / 8).cast("bigint").alias("size")), "rep")
     split = sized.groupBy("key").agg(F.ceil(F.sum("size") / CELL).alias("down"), F.ceil(F.sum(F.when(F.col("label") != F.col("top"), F.col("size")).otherwise(0)) / CELL).alias("across"))
     rows = member.join(split, "key").where("across > 0")
