@@ -1 +1,118 @@
+"""Queries whose kernels SQL doesn't have; each is held against a plain version in the tests."""
 
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxlake.functions import distributions as D
+from voxlake.functions import kernels as K
+from voxlake.operators import statistics
+from voxlake.plans import generate, measure
+from voxlake.plans.catalog import BOX, SHAPE, drawn, query
+from voxlake.tables import table
+
+
+def _ks(name: str, column: str, spec: dict):
+    @query(name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return statistics.ks_distance(table(spark, sf_dir, "lineitem").select(column), column, D.cdf_udf(spec)).select(F.round("ks", 9).alias("ks"))
+
+
+_ks("ks_beta", "l_discount", {"family": "beta", "alpha": 1.2, "beta": 1.2, "scale": 0.1})
+_ks("ks_gamma", "l_extendedprice", {"family": "gamma", "alpha": 2.0, "scale": 18000.0})
+_ks("ks_lognormal", "l_extendedprice", {"family": "lognormal", "mu": 10.3, "sigma": 0.8})
+
+
+def _voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier phase as one run."""
+    return drawn(spark, sf_dir).select(F.lit(0).alias("run_id"), "x", "y", "z", F.lit(True).alias("pore"))
+
+
+def _slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.packed(_voxels(spark, sf_dir), SHAPE)
+
+
+@query("edt_centers")
+def edt_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = measure.slice_centers(_slabs(spark, sf_dir), SHAPE, 1.0).select("z_index", F.posexplode("centers").alias("i", "c"))
+    return found.select("z_index", "i", *[F.round(f"c.{n}", 6).alias(n) for n in ("x", "y", "wall")])
+
+
+@query("hungarian_tracks")
+def hungarian_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = measure.track_points(measure.slice_centers(_slabs(spark, sf_dir), SHAPE, 1.0), SHAPE, 1.0)
+    return points.select("track_id", "z_index", *[F.round(c, 6).alias(c) for c in ("x", "y", "wall")], "branch")
+
+
+@query("normal_sections")
+def normal_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = measure.measure(_voxels(spark, sf_dir), SHAPE)["sections"]
+    return out.select("track_id", F.round("arc", 6).alias("arc"), "valid", "invalid_reason", F.round("area", 3).alias("area"), F.round("diameter", 3).alias("diameter"))
+
+
+@query("channel_geometry")
+def channel_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = measure.measure(_voxels(spark, sf_dir), SHAPE)["channels"]
+    return out.select("track_id", "valid", "invalid_reason", *[F.round(c, 4).alias(c) for c in ("diameter", "eta", "tau")])
+
+
+@query("marching_squares")
+def marching_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contours of each slice: how many, and the areas they enclose."""
+
+    def run(frames):
+        for frame in frames:
+            rings = [K.contours(np.unpackbits(np.frombuffer(m, np.uint8))[: BOX * BOX].reshape(BOX, BOX).astype(float)) for m in frame["mask"]]
+            yield pd.DataFrame({"z": frame["z"], "contours": [len(r) for r in rings], "area": [round(sum(abs(K.polygon_area(c)) for c in r), 6) for r in rings]})
+
+    return _slabs(spark, sf_dir).mapInPandas(run, "z int, contours int, area double")
+
+
+@query("local_thickness")
+def local_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest fitting diameter at every pore voxel, counted; a run is one task."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((BOX, BOX, BOX), bool)
+        for z, m in zip(frame["z"], frame["mask"], strict=True):
+            mask[int(z)] = np.unpackbits(np.frombuffer(m, np.uint8))[: BOX * BOX].reshape(BOX, BOX).astype(bool)
+        values, counts = np.unique(np.round(K.local_thickness(mask)[mask], 6), return_counts=True)
+        return pd.DataFrame({"run_id": 0, "diameter": values, "n": counts})
+
+    return _slabs(spark, sf_dir).groupBy("run_id").applyInPandas(run, "run_id int, diameter double, n bigint")
+
+
+@query("kabsch_rmsd")
+def kabsch_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least distance of each vector's first eight triplets from the next eight, as point sets."""
+
+    def run(frames):
+        for frame in frames:
+            sets = [np.array(v, float)[:48].reshape(2, 8, 3) for v in frame["embedding"]]
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "rmsd": [round(K.kabsch_rmsd(a, b), 6) for a, b in sets]})
+
+    return table(spark, sf_dir, "embeddings").where("size(embedding) >= 48 and not exists(embedding, x -> x is null)").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, rmsd double")
+
+
+@query("nonplanarity")
+def nonplanarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "nonplanarity": [round(K.nonplanarity(np.array(v, float)[:60].reshape(-1, 3)), 6) for v in frame["embedding"]]})
+
+    return table(spark, sf_dir, "embeddings").where("size(embedding) >= 60 and not exists(embedding, x -> x is null)").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, nonplanarity double")
+
+
+#: A small film for the candidate query.
+CONFIG = {"box": [10, 10, 10], "spacing": 1.0, "count": 3, "porosity": 0.15, "lattice": "bcc", "jitter": 0.3, "diameter": {"family": "constant", "value": 4.0}, "channel_fraction": 0.34}
+
+
+@query("candidate_eval")
+def candidate_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate per region, seeded by its key: one task each, failures as rows."""
+    seeds = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("sequence_index"), (F.col("r_regionkey").cast("bigint") * 7919 + 17).alias("seed"))
+    out = generate.evaluated(seeds, CONFIG)
+    return out.select("sequence_index", "seed", "succeeded", F.round("porosity", 6).alias("porosity"), "audit_passed", "units", "failure_type")
