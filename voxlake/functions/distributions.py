@@ -124,7 +124,11 @@ def _family(spec: dict, reading: str) -> tuple[Callable, float, float]:
         scale = _read(spec, "scale", "theta", default=1.0)
         return (lambda x: gamma_cdf((np.asarray(x, float) - loc) / scale, shape)), loc, loc + scale * (shape + 10 * math.sqrt(shape) + 10)
     if family == "beta":
-        a, b, scale = _read(spec, "alpha", "a"), _read(spec, "beta", "b"), _read(spec, "scale", default=1.0) if wide else 1.0
+        a, b = _read(spec, "alpha", "a"), _read(spec, "beta", "b")
+        if spec.get("lower") is not None:
+            loc = float(spec["lower"])
+        upper = spec.get("upper") if spec.get("upper") is not None else spec.get("maximum")
+        scale = float(upper) - loc if upper is not None else _read(spec, "scale", default=1.0) if wide else 1.0
         return (lambda x: beta_cdf((np.asarray(x, float) - loc) / scale, a, b)), loc, loc + scale
     if wide and family in ("weibull", "weibull_min"):
         shape, scale = _read(spec, "shape", "k", "c"), _read(spec, "scale", default=1.0)

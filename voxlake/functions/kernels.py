@@ -336,7 +336,7 @@ def normal_section(mask: np.ndarray, center: np.ndarray, tangent: np.ndarray, wa
                 "invalid_reason": None,
                 "area": area,
                 "diameter": 2 * np.sqrt(area / np.pi),
-                "fluctuation": curvature_fluctuation(ring, contract["boundary_resample_spacing_A"], contract["boundary_smoothing_length_A"]),
+                "fluctuation": curvature_fluctuation(ring, contract["boundary_resample_spacing_A"], contract["curvature_smoothing_length_A"]),
             }
         if extent >= most:
             break

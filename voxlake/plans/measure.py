@@ -15,10 +15,10 @@ from voxlake.functions import kernels as K
 from voxlake.functions.geometry import projected_angle
 from voxlake.operators import pairs, tracks
 
-#: The measuring contract's defaults, lengths in angstrom.
+#: The measuring contract: spacings, separations and exclusions in angstrom, as the configuration's block has them.
 CONTRACT = {
-    "center_slice_spacing_A": 1.0, "center_min_separation_A": 1.0, "maximum_center_displacement_A": 2.0, "surface_exclusion_length_A": 1.0, "branch_exclusion_length_A": 0.0,
-    "cross_section_spacing_A": 1.0, "boundary_resample_spacing_A": 0.5, "boundary_smoothing_length_A": 1.0, "minimum_projection_fraction": 0.1,
+    "z_slice_spacing_A": 1.0, "center_min_separation_A": 1.0, "center_tracking_max_displacement_A": 2.0, "surface_exclusion_length_A": 1.0, "branch_exclusion_length_A": 0.0,
+    "cross_section_spacing_A": 1.0, "boundary_resample_spacing_A": 0.5, "curvature_smoothing_length_A": 1.0, "orientation_projection_min_fraction": 0.1,
 }
 
 
@@ -56,7 +56,7 @@ def slice_centers(slabs: DataFrame, shape: tuple[int, int, int], spacing: float,
             rows = [[{"x": x, "y": y, "wall": w} for x, y, w in K.slice_centers(_unpacked(m, shape), spacing, contract["center_min_separation_A"])] for m in frame["mask"]]
             yield pd.DataFrame({"run_id": frame["run_id"], "z_index": frame["z"], "z": (frame["z"] + 0.5) * spacing, "centers": rows})
 
-    wanted = sampled_slices(slabs, shape[2], spacing, contract["center_slice_spacing_A"])
+    wanted = sampled_slices(slabs, shape[2], spacing, contract["z_slice_spacing_A"])
     return wanted.mapInPandas(run, f"run_id {kind}, z_index int, z double, centers array<struct<x:double,y:double,wall:double>>")
 
 
@@ -68,7 +68,7 @@ def track_points(centers: DataFrame, shape: tuple[int, int, int], spacing: float
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("z_index")
         slices = [(int(i), float(z), [(c["x"], c["y"], c["wall"]) for c in cs]) for i, z, cs in zip(frame["z_index"], frame["z"], frame["centers"], strict=True)]
-        points, _ = K.linked_tracks(slices, box, contract["maximum_center_displacement_A"])
+        points, _ = K.linked_tracks(slices, box, contract["center_tracking_max_displacement_A"])
         out = pd.DataFrame(points, columns=["track_id", "z_index", "x", "y", "z", "wrapped_x", "wrapped_y", "wall", "branch"])
         out.insert(0, "run_id", frame["run_id"].iloc[0])
         return out
@@ -140,7 +140,7 @@ def channels(points: DataFrame, cuts: DataFrame) -> DataFrame:
 def orientations(points: DataFrame, contract: dict = CONTRACT) -> DataFrame:
     """theta_xz and theta_xy of each track's end-to-end axis, in degrees."""
     ends = points.groupBy("run_id", "track_id").agg(*[(F.max_by(c, "z_index") - F.min_by(c, "z_index")).alias(f"d{c}") for c in "xyz"])
-    least = contract["minimum_projection_fraction"]
+    least = contract["orientation_projection_min_fraction"]
     return ends.select("run_id", "track_id", projected_angle("dx", "dz", "dy", least).alias("theta_xz"), projected_angle("dx", "dy", "dz", least).alias("theta_xy"))
 
 
