@@ -30,8 +30,8 @@ def report_status(errors: Column, warnings: Column, missing: Column) -> Column:
 def accepted(passed: Column, warnings: Column, vetoes: list[str]) -> Column:
     """Passed, or no warning holds any of the vetoes."""
     veto = F.lit(False)
-    for v in vetoes:
-        veto = veto | F.exists(warnings, lambda w, v=v: F.lower(w).contains(v.lower()))
+    for v in (x.lower() for x in vetoes):
+        veto = veto | F.exists(warnings, lambda w: F.lower(w).contains(v))  # noqa: B023
     return F.coalesce(passed, F.lit(False)) | ~veto
 
 
