@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: The pre-token pattern of the byte-level family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs a worker remembers.
-CACHE_RUNS = 500_000
+CACHE_RUNS = 400_000
 _CODECS: dict[str, ByteCodec] = {}
 
 

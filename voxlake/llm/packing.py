@@ -12,6 +12,7 @@ row. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxlake.llm.bpe import byte_alphabet
 from voxlake.llm.common import dropped, one_thread, written
 
 CAPACITY = 4096
 BUCKET_ROWS = 4096
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Texts whose new words are asked for in one call.
 TEXTS_AT_ONCE = 512
 
@@ -43,6 +45,8 @@ class WordCodec:
     """Token ids of whole texts by the tokenizers library, asked once for each distinct white-space-free run.
 
     Holds for models that lower-case, drop white space and never merge across it. Ids come as little-endian uint32.
+    New words go to the library's model in one call, split and mapped to its byte alphabet before, each ending in a
+    word-end token; texts outside _PLAIN, and calls whose word ends don't add up, go to the whole tokenizer.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -53,8 +57,12 @@ class WordCodec:
         self.model.no_truncation()
         self.model.no_padding()
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.words = Tokenizer.from_str(json.dumps(spec))
+        self.alphabet = {b: c for c, b in byte_alphabet().items() if b != 32}
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -64,24 +72,26 @@ class WordCodec:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Ids of new words. What the library splits a word into is asked for in one call; each part ends in a word-end token."""
-        split = {w: _PART.findall(w) for w in words}
-        parts = list({p for ps in split.values() for p in ps if p not in self.parts})
+        """Ids of new words; those of several parts from the parts' ids."""
+        known = self.known
+        split = {w: _PART.findall(w) for w in words if not w.isalpha()}
+        new = {w for w in words if w not in split}
+        new.update(p for ps in split.values() for p in ps if p not in known)
+        parts = list(new)
         if parts:
-            ids = np.array(self.model.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+            mapped = " ".join(parts).encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(parts):
                 raw, at = ids.tobytes(), (ends * 4).tolist()
-                self.parts.update((p, raw[i:j]) for p, i, j in zip(parts, [0, *at], at, strict=False))
+                known.update((p, raw[i:j]) for p, i, j in zip(parts, [0, *at], at, strict=False))
             else:
-                self.parts.update(zip(parts, self.whole(parts), strict=True))
-        mine = self.parts
-        self.known.update((w, b"".join([mine[p] for p in ps])) for w, ps in split.items())
+                known.update(zip(parts, self.whole(parts), strict=True))
+        known.update((w, b"".join([known[p] for p in ps])) for w, ps in split.items())
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > self.cache_words or len(self.parts) > self.cache_words:
+        if len(self.known) > self.cache_words:
             self.known.clear()
-            self.parts.clear()
         known = self.known
         split = [t.lower().split() if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         new: set[str] = set()
