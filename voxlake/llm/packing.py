@@ -30,7 +30,7 @@ from voxlake.llm.common import dropped, one_thread, written
 CAPACITY = 4096
 BUCKET_ROWS = 4096
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Texts whose new words are asked for in one call.
 TEXTS_AT_ONCE = 512
 
@@ -114,8 +114,9 @@ def word_codec(path: str) -> WordCodec:
 PIECE_FIELDS = [("piece", pa.int32(), "int"), ("start", pa.int64(), "bigint"), ("length", pa.int64(), "bigint")]
 
 
-def ids_list(ids: np.ndarray) -> list[int]:
-    return ids.tolist()
+def ids_list(ids: np.ndarray) -> np.ndarray:
+    """The ids themselves, as an array column takes them without an object for each."""
+    return ids.astype(np.int32)
 
 
 def ids_crc32(ids: np.ndarray) -> int:
@@ -126,9 +127,9 @@ def ids_crc32(ids: np.ndarray) -> int:
 def token_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, derive: dict[str, tuple[str, Callable]] | None = None) -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length and what `derive` makes of the piece's ids.
 
-    derive: column -> (Spark type, function of the piece's uint32 ids); the ids themselves as array<int> by default.
+    derive: column -> (Spark type, function of the piece's uint32 ids); the ids themselves by default.
     """
-    derive = derive or {"ids": ("array<bigint>", ids_list)}
+    derive = derive or {"ids": ("array<int>", ids_list)}
     schema = T._parse_datatype_string("doc_id bigint, piece int, start bigint, length bigint" + "".join(f", {c} {t}" for c, (t, _) in derive.items()))
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -137,21 +138,22 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_codec(path)
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            out: dict[str, list] = {f: [] for f in arrow.names}
-            texts = batch.column(1).to_pylist()
-            coded = (x for i in range(0, len(texts), TEXTS_AT_ONCE) for x in codec.encode_many([t or "" for t in texts[i : i + TEXTS_AT_ONCE]]))
-            for doc_id, raw in zip(batch.column(0).to_pylist(), coded, strict=True):
-                ids = np.frombuffer(raw + tail, "<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    out["doc_id"].append(doc_id)
-                    out["piece"].append(k)
-                    out["start"].append(start)
-                    out["length"].append(len(part))
-                    for c, (_, f) in derive.items():
-                        out[c].append(f(part))
-            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        for whole in batches:
+            for i in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(i, TEXTS_AT_ONCE)
+                out: dict[str, list] = {f: [] for f in arrow.names}
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for doc_id, raw in zip(batch.column(0).to_pylist(), codec.encode_many(texts), strict=True):
+                    ids = np.frombuffer(raw + tail, "<u4")
+                    for k, start in enumerate(range(0, len(ids), capacity)):
+                        part = ids[start : start + capacity]
+                        out["doc_id"].append(doc_id)
+                        out["piece"].append(k)
+                        out["start"].append(start)
+                        out["length"].append(len(part))
+                        for c, (_, f) in derive.items():
+                            out[c].append(f(part))
+                yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
 
