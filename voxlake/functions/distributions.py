@@ -49,7 +49,7 @@ def gamma_cdf(x: np.ndarray, shape: float) -> np.ndarray:
         c = np.where(np.abs(b + a / c) < tiny, tiny, b + a / c)
         step = c * d
         h = h * step
-        if not len(step) or np.abs(step - 1).max() < 1e-16:
+        if not len(step) or np.abs(step - 1).max() < 4e-16:
             break
     out[high] = 1 - h * np.exp(-v + shape * np.log(v) - _LGAMMA(shape))
     return out
@@ -73,7 +73,7 @@ def beta_cdf(x: np.ndarray, a: float, b: float) -> np.ndarray:
                 c = np.where(np.abs(1 + f / c) < tiny, tiny, 1 + f / c)
                 step = c * d
                 h = h * step
-            if not len(step) or np.abs(step - 1).max() < 1e-16:
+            if not len(step) or np.abs(step - 1).max() < 4e-16:
                 break
         with np.errstate(divide="ignore"):
             front = np.exp(_LGAMMA(p + q) - _LGAMMA(p) - _LGAMMA(q) + p * np.log(v) + q * np.log1p(-v))

@@ -126,13 +126,30 @@ def _rotation(rng: np.random.Generator) -> np.ndarray:
 
 
 def voxelised(units: list[fields.Unit], box: tuple[float, float, float], spacing: float, batch: int = 1 << 16) -> np.ndarray:
-    """mask[z, y, x] of where the field is negative, in batches; what a batch holds doesn't matter."""
+    """mask[z, y, x] of where the field is negative, in batches; what a batch holds doesn't matter.
+
+    A unit meets only the points in its own bounds: outside them its field is positive, and two units' blend doesn't
+    reach that far.
+    """
     nx, ny, nz = (round(b / spacing) for b in box)
-    out = np.empty(nx * ny * nz, bool)
+    margin = 8 / fields.SHARPNESS
+    shifted = [(u, shift, *u.bounds()) for u in units for shift in fields.images(u, box)]
+    out = np.zeros(nx * ny * nz, bool)
     for i in range(0, len(out), batch):
         k = np.arange(i, min(i + batch, len(out)))
-        at = np.stack([k % nx, k // nx % ny, k // (nx * ny)], axis=1)
-        out[k] = fields.union_field(units, (at + 0.5) * spacing, box) < 0
+        at = (np.stack([k % nx, k // nx % ny, k // (nx * ny)], axis=1) + 0.5) * spacing
+        least, total = np.full(len(k), np.inf), np.zeros(len(k))
+        for u, shift, low, high in shifted:
+            near = np.flatnonzero(((at >= low + shift - margin) & (at <= high + shift + margin)).all(axis=1))
+            if len(near):
+                f = u.field(at[near] - shift)
+                new = np.minimum(least[near], f)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    kept = np.where(np.isfinite(least[near]), total[near] * np.exp(-fields.SHARPNESS * (least[near] - new)), 0)
+                    total[near] = kept + np.where(np.isfinite(f), np.exp(-fields.SHARPNESS * (f - new)), 0)
+                least[near] = new
+        met = total > 0
+        out[k[met]] = least[met] - np.log(total[met]) / fields.SHARPNESS < 0
     return out.reshape(nz, ny, nx)
 
 
@@ -159,7 +176,7 @@ def evaluate(config: dict, seed: int) -> tuple[list[fields.Unit], np.ndarray]:
 
 
 def _scaled(spec: dict, scale: float) -> dict:
-    lengths = {"value", "scale", "loc", "low", "high", "mean", "sigma"} if spec["family"] != "lognormal" else {"scale", "loc"}
+    lengths = {"value", "scale", "loc", "low", "high", "lower", "upper", "minimum", "maximum", "mean", "sigma"} if spec["family"] != "lognormal" else {"scale", "loc"}
     return {k: v * scale if k in lengths and isinstance(v, (int, float)) else v for k, v in spec.items()}
 
 

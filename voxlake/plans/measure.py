@@ -152,16 +152,24 @@ def center_distances(points: DataFrame, shape: tuple[int, int, int], spacing: fl
     return pairs.histogram(met, "distance", width, bins)
 
 
-def measure(voxels: DataFrame, shape: tuple[int, int, int], spacing: float = 1.0, contract: dict = CONTRACT) -> dict[str, DataFrame]:
-    """All tables of a measurement of voxel(run_id, x, y, z, pore): slabs, centers, points, through, sections, channels, orientations, porosity."""
+def measure_slabs(slabs: DataFrame, shape: tuple[int, int, int], spacing: float = 1.0, contract: dict = CONTRACT) -> dict[str, DataFrame]:
+    """All tables of a measurement of slab(run_id, z, mask): slabs, centers, points, through, sections, channels, orientations, porosity."""
     from voxlake.tables import written
 
-    slabs = written(packed(voxels, shape), "slabs")
+    slabs = written(slabs, "slabs")
     centers = written(slice_centers(slabs, shape, spacing, contract), "centers")
     points = written(track_points(centers, shape, spacing, contract), "tracks")
     cuts = written(sections(slabs, points, shape, spacing, contract), "sections")
-    pores = F.count_if("pore") / float(shape[0] * shape[1] * shape[2])
-    return {
-        "slabs": slabs, "centers": centers, "points": points, "through": through(points, centers), "sections": cuts, "channels": channels(points, cuts), "orientations": orientations(points, contract),
-        "porosity": voxels.groupBy("run_id").agg(pores.alias("porosity")),
-    }
+    kind = dict(slabs.dtypes)["run_id"]
+
+    def counted(frames):
+        for frame in frames:
+            yield pd.DataFrame({"run_id": frame["run_id"], "pores": [int(_unpacked(m, shape).sum()) for m in frame["mask"]]})
+
+    pores = slabs.mapInPandas(counted, f"run_id {kind}, pores bigint").groupBy("run_id").agg((F.sum("pores") / float(shape[0] * shape[1] * shape[2])).alias("porosity"))
+    return {"slabs": slabs, "centers": centers, "points": points, "through": through(points, centers), "sections": cuts, "channels": channels(points, cuts), "orientations": orientations(points, contract), "porosity": pores}
+
+
+def measure(voxels: DataFrame, shape: tuple[int, int, int], spacing: float = 1.0, contract: dict = CONTRACT) -> dict[str, DataFrame]:
+    """measure_slabs of voxel(run_id, x, y, z, pore)."""
+    return measure_slabs(packed(voxels, shape), shape, spacing, contract)
