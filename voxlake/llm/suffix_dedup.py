@@ -5,7 +5,7 @@ is read off sorted suffixes, of which only a content-defined part is needed: of
 `length` bytes the one with the least hash is its anchor, so equal windows have the same anchor at the same place. A
 suffix sorted from its anchor on, together with the length - K bytes before it, decides every window with that anchor.
 
-1. Documents are dealt to runs of about RUN_BYTES by a hash of their id. Each run sends short prints of its anchors'
+1. Documents are dealt to runs of some MB by a hash of their id. Each run sends short prints of its anchors'
    hashes to buckets, sorted and gap-coded; a bucket tells each run which of its prints other documents have too. Prints
    only ever let too many anchors through.
 2. Each run sorts the suffixes at the anchors left, once for each different one with the least document id, front-codes
@@ -27,6 +27,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +37,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from voxlake.llm.common import mix, pieces, powers, prefix_hash, string_buffers
 
 LENGTH = 50
-#: Bytes of text in a run, prints in a bucket and bits of a print.
-RUN_BYTES, BUCKET_BYTES, PRINT_BITS = 4 << 20, 16 << 20, 26
+#: Least and most bytes of text in a run, and as many times a bucket's share; between them it grows with the root of all bytes, so that runs times buckets grow as the input.
+LEAST_BYTES, MOST_BYTES, ROOT_BYTES = 4 << 20, 256 << 20, 128
+PRINT_BITS = 26
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -235,11 +238,12 @@ def _suffixes(length: int, buckets: int):
         mine = Contexts(Run(docs, length), told, buckets)
         cut = np.searchsorted(mine.part, np.arange(buckets + 1))
         out = []
+        pack = zstandard.ZstdCompressor(level=3).compress
         for p in np.flatnonzero(np.diff(cut)).tolist():
             rows = mine.rows[cut[p] : cut[p + 1]]
             sizes = rows[:, length].astype(np.int64)
             shared, rest = front_coded(rows[:, :length], sizes)
-            out.append((p, rows[:, length].tobytes(), shared, rest, rows[:, length + 1 :].tobytes(), mine.least[cut[p] : cut[p + 1]].tobytes()))
+            out.append((p, *map(pack, (rows[:, length].tobytes(), shared, rest, rows[:, length + 1 :].tobytes(), mine.least[cut[p] : cut[p + 1]].tobytes()))))
         columns = list(zip(*out, strict=True)) or [[]] * 6
         names = ["sizes", "shared", "rest", "before", "least"]
         return pa.table({"part": pa.array(columns[0], pa.int32()), "run": pa.array([key[0].as_py()] * len(out), pa.int64())} | {n: pa.array(columns[i + 1], pa.binary()) for i, n in enumerate(names)})
@@ -332,7 +336,8 @@ def _answers(length: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """For each suffix of each run, a bit for each place of the window's start before it: whether a smaller document has the window."""
         names = rows.column("run").to_pylist()
-        cols = [rows.column(c).to_pylist() for c in ("sizes", "shared", "rest", "before", "least")]
+        unpack = zstandard.ZstdDecompressor().decompress
+        cols = [list(map(unpack, rows.column(c).to_pylist())) for c in ("sizes", "shared", "rest", "before", "least")]
         by_run = sorted(range(len(names)), key=lambda i: names[i])
         sizes = [np.frombuffer(cols[0][i], np.uint8).astype(np.int64) for i in by_run]
         order, common = merge_runs([front_decoded(cols[1][i], cols[2][i], n) for i, n in zip(by_run, sizes, strict=True)], [cols[1][i] for i in by_run])
@@ -419,7 +424,7 @@ def _marked(length: int, buckets: int, derive: Derive, schema: pa.Schema):
     return run
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, derive: Derive | None = None, carry: list[str] | None = None, run_bytes: int = RUN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, derive: Derive | None = None, carry: list[str] | None = None, run_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and what `derive` makes of a document's kept bytes and removed (start, end) spans: by default both.
 
     carry: columns of `docs` that come with the rows, in a struct `rest`.
@@ -429,9 +434,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, derive: Derive | Non
     rest = f", rest {texts.schema['rest'].dataType.simpleString()}" if carry else ""
     schema = T._parse_datatype_string(f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint{rest}" + "".join(f", {c} {t}" for c, (t, _) in derive.items()))
     total = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    run_bytes = run_bytes or min(MOST_BYTES, max(LEAST_BYTES, int(ROOT_BYTES * total**0.5)))
     runs = max(1, -(-total // run_bytes))
-    buckets = 64
-    while buckets < total // bucket_bytes:
+    buckets = 16
+    while buckets < min(runs, 1 << 20):
         buckets *= 2
     dealt = texts.withColumn("run", F.pmod(F.xxhash64(F.coalesce("doc_id", F.octet_length("text").cast("bigint"))), F.lit(runs)))
     by_run = dealt.groupBy("run")
