@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from voxlake.llm.common import in_small_batches, trimmed
+
 #: The pre-token pattern of the byte-level family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs a worker remembers.
@@ -227,8 +229,9 @@ def encode(docs: DataFrame, path: str, derive: Derive | None = None) -> DataFram
                 for c, (_, f) in derive.items():
                     out[c].append(f(codec, ids))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | out, schema=arrow)
+        trimmed()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_small_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids") -> DataFrame:

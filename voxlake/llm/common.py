@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -131,6 +133,27 @@ def crc32_text(col) -> object:
     return F.crc32(F.col(col).cast("string").cast("binary")) if isinstance(col, str) else F.crc32(col.cast("string").cast("binary"))
 
 
+#: Rows and bytes of text that travel to a Python worker at once.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+
+
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """`texts`, with the session's Arrow batches bounded: Spark's defaults would hold 64 MB on both sides for each task."""
+    conf = texts.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = int(str(conf.get(key)).removesuffix("b"))
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return texts
+
+
+def trimmed() -> None:
+    """Gives a worker's free memory back to its machine at the end of a task; workers are used again and share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def one_thread() -> None:
     """Python workers share their machine's cores."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import dropped, stored_bytes, written
+from voxlake.llm.common import dropped, in_small_batches, stored_bytes, written
 
 ARTICLE, OPEN, FURNITURE = 0, 1, 2
 #: Lists of shared blocks of up to this size in all are sent to every executor; larger ones meet the pages in a shuffled join.
@@ -214,7 +214,7 @@ def outlines(pages: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["host", "path", "page", "lines"])
 
-    return pages.select(_page_key(), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, path string, page bigint, lines binary")
+    return in_small_batches(pages.select(_page_key(), F.col("url").cast("string"), F.col("html").cast("string"))).mapInArrow(run, "host string, path string, page bigint, lines binary")
 
 
 def _page_key():

@@ -60,7 +60,7 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
 
     score: bytes and offsets -> one number a row.
     """
-    from voxlake.llm.common import pieces, string_buffers
+    from voxlake.llm.common import in_small_batches, pieces, string_buffers, trimmed
 
     rest = docs.select([F.col(f"`{c}`") for c in docs.columns if c != name])
     schema = T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())])
@@ -71,5 +71,6 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
             raw, offsets = string_buffers(batch.column(at).cast(pa.string()))
             scores = [score(part, ends).astype(np.float64) for _, _, part, ends in pieces(raw, offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0), *scores]))], names=[*batch.schema.names, name])
+        trimmed()
 
-    return rest.mapInArrow(run, schema)
+    return in_small_batches(rest).mapInArrow(run, schema)

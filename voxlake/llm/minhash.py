@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import by_ids, dropped, lowered, mix, pieces, prefix_hash, span_hash, string_buffers, word_spans, written
+from voxlake.llm.common import by_ids, dropped, in_small_batches, lowered, mix, pieces, prefix_hash, span_hash, string_buffers, trimmed, word_spans, written
 from voxlake.llm.components import components
 
 WORDS = 5
@@ -113,8 +113,9 @@ def signed(docs: DataFrame, words: int = WORDS, coordinates: int = COORDINATES)
                     digests[r], sigs[r], briefs[r] = both[r].tobytes(), sig[k, :coordinates].tobytes(), brief[k].tobytes()
                     k += 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(briefs, pa.binary())], schema=pa.schema(fields))
+        trimmed()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature binary, brief binary")
+    return in_small_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, signature binary, brief binary")
 
 
 def _posts(classes: DataFrame, coordinates: int) -> DataFrame:
@@ -175,6 +176,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
                 value, ends = shingle_hashes(part, at, words)
                 own = pa.array([value[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), own], names=["node", "hashes"])
+        trimmed()
 
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return by_ids(texts, nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node bigint, hashes binary")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake.llm.bpe import byte_alphabet
-from voxlake.llm.common import dropped, one_thread, written
+from voxlake.llm.common import dropped, in_small_batches, one_thread, trimmed, written
 
 CAPACITY = 4096
 BUCKET_ROWS = 4096
@@ -154,8 +154,10 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CA
                         for c, (_, f) in derive.items():
                             out[c].append(f(part))
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        codec.known.clear()  # the worker may do other work next
+        trimmed()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return in_small_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def fill_bins(lengths: np.ndarray, capacity: int) -> list[list[int]]:

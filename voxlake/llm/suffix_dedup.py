@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from voxlake.llm.common import mix, pieces, powers, prefix_hash, string_buffers
+from voxlake.llm.common import in_small_batches, mix, pieces, powers, prefix_hash, string_buffers
 
 LENGTH = 50
 #: Least and most bytes of text in a run, and as many times a bucket's share; between them it grows with the root of all bytes, so that runs times buckets grow as the input.
@@ -433,6 +433,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, derive: Derive | Non
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []))
     rest = f", rest {texts.schema['rest'].dataType.simpleString()}" if carry else ""
     schema = T._parse_datatype_string(f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint{rest}" + "".join(f", {c} {t}" for c, (t, _) in derive.items()))
+    in_small_batches(texts)
     total = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     run_bytes = run_bytes or min(MOST_BYTES, max(LEAST_BYTES, int(ROOT_BYTES * total**0.5)))
     runs = max(1, -(-total // run_bytes))
