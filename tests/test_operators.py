@@ -232,3 +232,12 @@ def test_stream_of_slices(spark, tmp_path):
     q = tracked(stream, (10.0, 10.0), 1.0).writeStream.format("memory").queryName("tracks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["track_id"], r["z_index"]) for r in spark.sql("select * from tracks order by track_id, z_index").collect()] == [(0, 0), (0, 1), (0, 2), (1, 1)]
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 500), np.round(rng.normal(size=500), 1), strict=True)]
+    got = {r["g"]: r for r in statistics.quantiles(spark.createDataFrame(rows, "g int, v double"), "v", [0, 0.1, 0.5, 0.95, 1], "g").collect()}
+    for g in range(3):
+        mine = np.array([v for k, v in rows if k == g])
+        assert [got[g][c] for c in ("q0", "q10", "q50", "q95", "q100")] == pytest.approx(np.quantile(mine, [0, 0.1, 0.5, 0.95, 1])) and got[g]["mean"] == pytest.approx(mine.mean())

@@ -20,10 +20,15 @@ def running_total(rows: DataFrame, order: list[str], value: str, out: str = "run
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ordered")
     sums = sorted((r["_part"], r["s"]) for r in placed.groupBy("_part").agg(F.sum(value).alias("s")).collect())
-    starts = dict(zip([p for p, _ in sums], [0, *itertools.accumulate(s or 0 for _, s in sums)], strict=False))
-    start = F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)])[F.col("_part")] if starts else F.lit(0)
+    starts = by_partition(placed, list(zip([p for p, _ in sums], [0, *itertools.accumulate(s or 0 for _, s in sums)], strict=False)), "_start")
     w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn(out, F.sum(value).over(w) + start).drop("_part")
+    return placed.join(starts, "_part", "left").withColumn(out, F.sum(value).over(w) + F.coalesce("_start", F.lit(0))).drop("_part", "_start")
+
+
+def by_partition(rows: DataFrame, values: list[tuple], name: str) -> DataFrame:
+    """(_part, name) with a value a partition: never more rows than there are partitions, so every executor may have it."""
+    kind = "double" if any(isinstance(v, float) for _, v in values) else "bigint"
+    return F.broadcast(rows.sparkSession.createDataFrame([(p, v) for p, v in values], f"_part int, {name} {kind}"))
 
 
 def ecdf(rows: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators.ordered import ecdf, running_total
+from voxlake.operators.ordered import by_partition, ecdf, running_total
+from voxlake.tables import written
 
 
 def ks_distance(rows: DataFrame, column: str, cdf: Callable[[Column], Column]) -> DataFrame:
@@ -33,30 +34,49 @@ def wasserstein(first: DataFrame, second: DataFrame, column: str) -> DataFrame:
     upto = running_total(running_total(counts, ["value"], "a", "ua"), ["value"], "b", "ub")
     gap = F.abs(F.col("ua") / F.col("na") - F.col("ub") / F.col("nb"))
     placed = upto.crossJoin(F.broadcast(totals)).select("value", gap.alias("gap"))  # one row
-    from voxlake.operators.ordered import written
-
     parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = written(placed.repartitionByRange(parts, "value").withColumn("_part", F.spark_partition_id()), "steps")
     starts = {r["_part"]: r["s"] for r in held.groupBy("_part").agg(F.min("value").alias("s")).collect()}  # a row a partition
     order = sorted(starts)
     following = {p: starts[q] for p, q in zip(order, order[1:], strict=False)}
-    after = F.create_map(*[F.lit(x) for p, s in following.items() for x in (p, float(s))])[F.col("_part")] if following else F.lit(None).cast("double")
-    ahead = F.coalesce(F.lead("value").over(Window.partitionBy("_part").orderBy("value")).cast("double"), after)
-    return held.withColumn("width", ahead - F.col("value")).agg(F.coalesce(F.sum(F.col("gap") * F.col("width")), F.lit(0.0)).alias("distance"))
+    after = by_partition(held, [(p, float(s)) for p, s in following.items()], "_after")
+    ahead = F.coalesce(F.lead("value").over(Window.partitionBy("_part").orderBy("value")).cast("double"), F.col("_after").cast("double"))
+    return held.join(after, "_part", "left").withColumn("width", ahead - F.col("value")).agg(F.coalesce(F.sum(F.col("gap") * F.col("width")), F.lit(0.0)).alias("distance"))
+
+
+def quantiles(rows: DataFrame, column: str, at: list[float], by: str | None = None) -> DataFrame:
+    """Exact quantiles, linear between neighbours, and the mean, as q<per cent> and mean.
+
+    Values are counted and put in order over range partitions; of each group only the two values around a quantile are
+    picked out, by partial aggregates. No task holds a group's values.
+    """
+    group = by or "_all"
+    kept = rows.where(F.col(column).isNotNull())
+    kept = kept if by else kept.withColumn("_all", F.lit(0))
+    counts = kept.groupBy(group, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    placed = running_total(counts, [group, "value"], "n", "upto")
+    facts = placed.groupBy(group).agg(F.min(F.col("upto") - F.col("n")).alias("_start"), F.sum("n").alias("_n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    both = placed.join(facts, group)
+    first = F.col("upto") - F.col("n") - F.col("_start")  # places of this value in its group
+    last = F.col("upto") - F.col("_start")
+    picks = []
+    for i, q in enumerate(at):
+        exact = F.lit(float(q)) * (F.col("_n") - 1)
+        for name, place in (("lo", F.floor(exact)), ("hi", F.ceil(exact))):
+            picks.append(F.max(F.when((first <= place) & (place < last), F.col("value"))).alias(f"_{name}{i}"))
+    found = both.groupBy(group).agg(*picks, F.first("_n").alias("_n"), F.first("mean").alias("mean"))
+    out = []
+    for i, q in enumerate(at):
+        exact = F.lit(float(q)) * (F.col("_n") - 1)
+        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (exact - F.floor(exact))).alias(f"q{round(q * 100)}"))
+    return found.select(*([by] if by else []), *out, "mean")
 
 
 def scale_of(rows: DataFrame, column: str, mode: str) -> DataFrame:
     """What a distance is divided by: the range of the target's values, or its 5 to 95 per cent range."""
     if mode == "range":
         return rows.agg((F.max(column) - F.min(column)).cast("double").alias("scale"))
-    return rows.agg((F.expr(f"percentile({column}, 0.95)") - F.expr(f"percentile({column}, 0.05)")).alias("scale"))
-
-
-def quantiles(rows: DataFrame, column: str, at: list[float], by: str | None = None) -> DataFrame:
-    """Exact quantiles, linear between neighbours, and the mean."""
-    aggs = [F.expr(f"percentile({column}, {q})").alias(f"q{round(q * 100)}") for q in at]
-    rows = rows.where(F.col(column).isNotNull())
-    return (rows.groupBy(by) if by else rows).agg(*aggs, F.avg(column).alias("mean"))
+    return quantiles(rows, column, [0.05, 0.95]).select((F.col("q95") - F.col("q5")).alias("scale"))
 
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, seats: int) -> DataFrame:
