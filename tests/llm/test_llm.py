@@ -72,7 +72,7 @@ def test_bins_hold_every_row_once_and_little_air(seed):
     bins = packing.fill_bins(lengths, 1000)
     assert sorted(i for b in bins for i in b) == list(range(500)) and max(lengths[b].sum() for b in bins) <= 1000
     assert len(bins) <= -(-lengths.sum() // 1000) + 1
-    assert packing.fill_bins(np.array([600, 600, 400]), 1000) == [[0, 2], [1]] or len(packing.fill_bins(np.array([600, 600, 400]), 1000)) == 2
+    assert len(packing.fill_bins(np.array([600, 600, 400]), 1000)) == 2
 
 
 def test_pack_many_levels(spark):
@@ -202,11 +202,9 @@ def test_machine_learns_a_pair():
         sets.append(np.array(sorted({10 + 10 * int(a), 50 + 10 * int(b), 1000 + int(rng.integers(0, 50))}), np.uint32).tobytes())
         y.append(int(a == 1 and b == 1))
     machine = toxicity.fit_machine(sets, np.array(y), {0: y.count(0), 1: y.count(1)})
-    assert np.isfinite(machine.weight).all() and machine.factor.shape[1] == toxicity.FACTORS
-    if (machine.place[[20, 60]] >= 0).all():
-        pair = toxicity.sigmoid(machine.margin(machine.place[[20, 60]].astype(int), np.array([0, 0]), 1))[0]
-        alone = toxicity.sigmoid(machine.margin(machine.place[[20]].astype(int), np.array([0]), 1))[0]
-        assert pair > 0.7 > alone
+    assert (machine.place[[20, 60]] >= 0).all() and machine.factor.shape[1] == toxicity.FACTORS
+    score = lambda t: toxicity.sigmoid(machine.margin(machine.place[t].astype(int), np.zeros(len(t), int), 1))[0]
+    assert score([20, 60]) > 0.7 and max(score([20]), score([60])) < 0.3
 
 
 def test_sample_is_bounded_and_of_its_fold(spark):
