@@ -86,7 +86,9 @@ def test_pack_many_levels(spark):
     assert long.select("sequence_id").distinct().count() == 600
 
 
-def test_pack_awkward(spark, awkward):
+@pytest.mark.parametrize("most", [packing.BROADCAST_ROWS, 0])
+def test_pack_awkward(spark, awkward, monkeypatch, most):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", most)
     model = Tokenizer.from_file(queries.WORD_BPE)
     out = packing.pack_documents(awkward, queries.WORD_BPE, capacity=512).collect()
     text = {i: "" for i in range(len(AWKWARD))} | {i: t or "" for i, t in enumerate(AWKWARD)}

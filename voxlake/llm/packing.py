@@ -29,6 +29,8 @@ from voxlake.llm.common import dropped, in_small_batches, one_thread, trimmed, w
 
 CAPACITY = 4096
 BUCKET_ROWS = 4096
+#: Places that a join may send to every executor: 24 MB at most.
+BROADCAST_ROWS = 1_000_000
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 300_000
 #: Texts whose new words are asked for in one call.
@@ -252,11 +254,13 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_R
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, derive: dict[str, tuple[str, Callable]] | None = None) -> DataFrame:
     """Pieces of all documents (see token_pieces) with the sequence and the place they are packed at.
 
-    Only keys and lengths go through the packing; what was derived from the ids joins its place afterwards.
+    Only keys and lengths go through the packing; what was derived from the ids joins its place afterwards. Up to
+    BROADCAST_ROWS places go to the pieces; more of them meet in a shuffle.
     """
     cut = written(token_pieces(docs, path, end_id, capacity, derive).withColumn("row", F.monotonically_increasing_id()), "pieces")
     placed = pack(cut.select("row", "doc_id", "piece", "length"), capacity).select("row", "sequence_id", "offset")
-    return cut.join(placed, "row").drop("row")
+    few = cut.count() <= BROADCAST_ROWS
+    return cut.join(F.broadcast(placed) if few else placed, "row").drop("row")
 
 
 __all__ = ["CAPACITY", "WordCodec", "dropped", "fill_bins", "ids_crc32", "pack", "pack_documents", "token_pieces"]
