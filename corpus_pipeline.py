@@ -32,7 +32,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _recounted(line_dedup.dedup_lines(docs, "source"), docs)
+    """Exact copies count as one page: the next stage is to find one of them whole."""
+    return _recounted(line_dedup.dedup_lines(docs, "source", copies_once=True), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

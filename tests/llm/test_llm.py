@@ -450,6 +450,22 @@ def test_line_dedup_cases(spark, awkward):
     assert line_dedup.dedup_lines(awkward.limit(0), "source").count() == 0
 
 
+def test_copies_of_a_document_keep_its_lines(spark):
+    """A third of a source is one document: the pipeline keeps it whole, once, and still drops the source's menu."""
+    import corpus_pipeline as p
+
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ale", "ino", "ort", "ush")]
+    rng = random.Random(3)
+    own = lambda: "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(4))
+    copied = own()
+    rows = [(i, copied if i % 3 == 0 else f"menu of the site\n{own()}", "en", "big", None) for i in range(60)] + [(100 + i, copied if i < 4 else own(), "en", "small", None) for i in range(14)]
+    df = p.written(p.drop_boilerplate(spark, spark.createDataFrame(rows, DOCS), SF), "t")
+    lines = {r["doc_id"]: r["text"] for r in df.collect()}
+    assert lines == {i: t.removeprefix("menu of the site\n") for i, t, _, _, _ in rows}
+    kept = p.drop_near_duplicates(spark, df, SF).collect()
+    assert [r["text"] for r in kept].count(copied) == 1 and len(kept) == 1 + 40 + 10
+
+
 def test_line_dedup_uses_no_python(spark):
     plan = queries.op10_line_dedup(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -7,6 +7,9 @@ back to the pages as one array of hashes per host.
 A null host is a host of its own. A null text has no lines and stays null; lines of blanks are neither counted nor
 dropped. A line counts once per page however often it repeats there, and every repeat goes. Hosts under
 `min_host_pages` pages, and lines on fewer than `min_pages`, are left alone. An empty table gives no rows.
+
+Each row is a page. With `copies_once`, rows of one host with the same text (by a 64-bit hash; null texts too) are one
+page together, in lines and totals alike: a text that is copied often doesn't make boilerplate of its own lines.
 """
 
 from __future__ import annotations
@@ -31,19 +34,22 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_host_pages: int = MIN_HOST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, min_host_pages: int = MIN_HOST_PAGES, copies_once: bool = False) -> DataFrame:
     """(host key, hashes): the boilerplate lines of each host."""
-    keyed = pages.select(_host(host).alias("_host"), text)
-    seen = keyed.select("_host", F.explode(F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))).alias("_line"))
+    hashes = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x)))
+    keyed = pages.select(_host(host).alias("_host"), F.xxhash64(text).alias("_text"), hashes.alias("_hashes"))
+    if copies_once:
+        keyed = keyed.groupBy("_host", "_text").agg(F.first("_hashes").alias("_hashes"))
+    seen = keyed.select("_host", F.explode("_hashes").alias("_line"))
     counts = seen.groupBy("_host", "_line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     totals = keyed.groupBy("_host").agg(F.count("*").alias("total")).where(F.col("total") >= min_host_pages)
     often = counts.join(totals, "_host").where(F.col("pages") > F.col("total") * F.lit(ratio))
     return often.groupBy("_host").agg(F.sort_array(F.collect_set("_line")).alias("_common"))
 
 
-def dedup_lines(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_host_pages: int = MIN_HOST_PAGES) -> DataFrame:
+def dedup_lines(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_host_pages: int = MIN_HOST_PAGES, copies_once: bool = False) -> DataFrame:
     """`pages` with `text` without boilerplate, and n_lines and n_dropped, lines before and dropped."""
-    common = written(boilerplate(pages, host, text, ratio, min_pages, min_host_pages), "boilerplate")
+    common = written(boilerplate(pages, host, text, ratio, min_pages, min_host_pages, copies_once), "boilerplate")
     if stored_bytes(common) <= BROADCAST_BYTES:
         common = F.broadcast(common)
     kept = F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_common", F.xxhash64(x))))
