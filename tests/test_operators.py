@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxlake.functions import kernels
 from voxlake.operators import graph, molecules, ordered, pairs, reconcile, scaling, statistics, tracks, voxels
 from voxlake.plans import audit, generate, measure, validate
 from voxlake.sources import config, files, text
@@ -213,6 +214,42 @@ def test_audit_and_selection(spark):
     assert not bad["succeeded"] and bad["failure_type"] == "ValueError"
 
 
+def test_candidates_are_audited(spark):
+    """Every candidate has the porosity asked for; only what meets its distributions passes, also where an earlier one doesn't."""
+    from voxlake.plans.kernels import CONFIG
+
+    tasks = spark.createDataFrame([(0, 7936), (1, 17)], "sequence_index int, seed bigint")
+    results = generate.evaluated(tasks, CONFIG)
+    got = {r["sequence_index"]: r for r in results.collect()}
+    assert all(r["succeeded"] and abs(r["porosity"] - CONFIG["porosity"]) <= 0.01 and r["components"] >= 1 for r in got.values())
+    assert not got[0]["audit_passed"] and got[0]["warnings"] == ["distribution mismatch: diameter"] and got[0]["scale"] > 1.05
+    assert got[1]["audit_passed"] and got[1]["warnings"] == [] and got[1]["scale"] == pytest.approx(1)
+    assert generate.chosen(results, CONFIG["porosity"]).collect()[0]["sequence_index"] == 1
+    one = tasks.where("sequence_index = 1")
+    low = CONFIG | {"eta": {"family": "beta", "alpha": 2.0, "beta": 2.0, "lower": 0.2, "upper": 0.9}, "theta_xz": {"family": "constant", "value": 0.0}, "sized": False}
+    assert set(generate.evaluated(one, low).collect()[0]["warnings"]) == {"distribution mismatch: compact_eta", "distribution mismatch: channel_eta", "distribution mismatch: theta_xz"}
+    far = generate.evaluated(one, CONFIG | {"pair_target": {"edges": [0.0, 1.0, 20.0], "values": [50.0, 0.0]}}).collect()[0]
+    assert not far["audit_passed"] and "pair distances exceed audit limit" in far["warnings"]
+    formal = generate.evaluated(one, CONFIG | {"measured": {"equivalent_diameter": {"family": "constant", "value": 4.0}}}).collect()[0]
+    assert formal["succeeded"] and not formal["audit_passed"] and formal["warnings"][0].endswith("equivalent_diameter")
+
+
+def test_audit_of_measured_through_tracks(spark):
+    z, y, x = np.mgrid[:10, :10, :10]
+    discs = ((x - 5) ** 2 + (y - 5) ** 2 <= 4, np.zeros((10, 10, 10), bool))
+    slabs = spark.createDataFrame([(k, i, bytearray(np.packbits(m[i]).tobytes())) for k, m in enumerate(discs) for i in range(10)], "run_id int, z int, mask binary")
+    m = measure.measure_slabs(slabs, (10, 10, 10))
+    wide = {"family": "beta", "alpha": 1.0, "beta": 1.0, "lower": 0.0}
+    got = {r["run_id"]: r["missed"] for r in audit.measured_warnings(m, {"channel_tau": {"family": "constant", "value": 1.0}, "equivalent_diameter": wide | {"upper": 100.0}}).collect()}
+    assert got == {0: ["distribution mismatch: equivalent_diameter"], 1: ["no formal samples for channel_tau", "no formal samples for equivalent_diameter"]}
+
+
+def test_pore_components():
+    mask = np.zeros((3, 4, 4), bool)
+    mask[0, 0, 0] = mask[0, 3, 0] = mask[0, 0, 3] = mask[2, 0, 0] = mask[0, 2, 2] = True
+    assert kernels.pore_components(mask) == 3 and kernels.pore_components(np.zeros((2, 2, 2), bool)) == 0
+
+
 def test_voxel_fields_agree(spark):
     units = spark.createDataFrame([(0, 0.5, 5.0, 5.0, 2.0), (1, 7.0, 7.0, 1.0, 1.5)], "id int, cx double, cy double, cz double, r double")
     cover = voxels.covered(units, (10, 10, 10))

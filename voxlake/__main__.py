@@ -16,7 +16,12 @@ def _film(config: dict) -> tuple[dict, dict]:
     box, shape = config["film"]["target_box_A"], config["formal_targets"]["shape"]
     diameter = shape["equivalent_diameter_A"] or {"family": "constant", "value": (6 * config["pores"]["target_porosity"] / (3.141592653589793 * max(config["pores"]["seed_number_density_A3"], 1e-300))) ** (1 / 3)}
     film = {"box": [box["x"], box["y"], box["z"]], "spacing": config["audit"]["fine_spacing_A"], "count": derived(config)["seed_count"], "porosity": config["pores"]["target_porosity"], "lattice": (config["center_distribution"] or {}).get("lattice") or "simple_cubic", "jitter": (config["center_distribution"] or {}).get("position_jitter") or 0.3, "channel_fraction": config["pores"]["channel_fraction_by_count"], "diameter": diameter, "eta": shape["channel_aspect_ratio"] or {"family": "constant", "value": 1.0}}
-    return film, {k: v for k, v in config["measurement"].items() if v is not None}
+    contract = {k: v for k, v in config["measurement"].items() if v is not None}
+    angles = (shape["orientation"] or {}).get("components") or []
+    formal = {"equivalent_diameter": shape["equivalent_diameter_A"], "channel_eta": shape["channel_aspect_ratio"], "channel_tau": shape["channel_tortuosity"], "curvature_fluctuation": shape["curvature_fluctuation"]}
+    formal |= {n: {"family": "mixture", "components": [c[f"{n}_deg"] | {"weight": c["weight"]} for c in angles]} if angles else None for n in ("theta_xz", "theta_xy")}
+    film |= {"sized": bool(shape["equivalent_diameter_A"]), "measured": {k: v for k, v in formal.items() if v}, "contract": contract}
+    return film, contract
 
 
 def main(argv: list[str] | None = None) -> int:

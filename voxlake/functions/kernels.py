@@ -254,6 +254,25 @@ def component_at(image: np.ndarray, start: tuple[int, int]) -> np.ndarray | None
     return out
 
 
+def pore_components(mask: np.ndarray) -> int:
+    """Number of face-connected True regions of mask[z, y, x], periodic in y and x: smallest labels pass along links and on to the labels' labels."""
+    at = np.cumsum(mask.ravel()).reshape(mask.shape) - 1
+    ends = []
+    for axis in range(3):
+        here = mask & np.roll(mask, -1, axis)
+        if axis == 0:
+            here[-1] = False
+        ends.append(np.stack([at[here], np.roll(at, -1, axis)[here]]))
+    a, b = np.concatenate(ends, axis=1)
+    root = np.arange(int(mask.sum()))
+    while (root[a] != root[b]).any():
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return len(np.unique(root))
+
+
 def contours(values: np.ndarray, level: float = 0.5) -> list[np.ndarray]:
     """Closed polygons (row, column) around what is over the level; the image is taken to be low outside.
 

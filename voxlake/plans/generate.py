@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from voxlake.functions import distributions as D
 from voxlake.functions import fields, kernels
 from voxlake.operators.statistics import select_candidate
+from voxlake.plans import audit, measure
+from voxlake.tables import written
 
 #: Points of the crystal cells.
 LATTICES = {"simple_cubic": [(0, 0, 0)], "bcc": [(0, 0, 0), (0.5, 0.5, 0.5)], "fcc": [(0, 0, 0), (0.5, 0.5, 0), (0.5, 0, 0.5), (0, 0.5, 0.5)]}
@@ -96,6 +98,15 @@ def annealed_centers(points: np.ndarray, box: tuple[float, float, float], edges:
     return best
 
 
+def pair_loss(config: dict, centers: np.ndarray) -> float | None:
+    """Mean square error of the centres' pair curve, weighted by the curve asked for; None if none is."""
+    if not config.get("pair_target"):
+        return None
+    edges, target = (np.array(config["pair_target"][n], float) for n in ("edges", "values"))
+    curve = pair_curve(centers, tuple(config["box"]), edges, uniform_reference(len(centers), tuple(config["box"]), edges))
+    return float(np.average((curve - target) ** 2, weights=np.maximum(target, 1e-12)))
+
+
 def units_at(centers: np.ndarray, config: dict, rng: np.random.Generator) -> list[fields.Unit]:
     """Units of apportioned kinds in random order, sizes and shapes from the targets' shares."""
     n = len(centers)
@@ -154,7 +165,12 @@ def voxelised(units: list[fields.Unit], box: tuple[float, float, float], spacing
 
 
 def evaluate(config: dict, seed: int) -> tuple[list[fields.Unit], np.ndarray]:
-    """A candidate's units and phase: centres, units, and the scale that gives the porosity asked for."""
+    """A candidate's units and phase."""
+    return solved(config, seed)[:2]
+
+
+def solved(config: dict, seed: int) -> tuple[list[fields.Unit], np.ndarray, float, np.ndarray]:
+    """A candidate's units and phase, the scale that gives the porosity asked for, and the units' centres."""
     rng = np.random.default_rng(seed)
     box = tuple(config["box"])
     centers = lattice_centers(int(config["count"]), box, config.get("lattice", "simple_cubic"), float(config.get("jitter", 0.2)), rng)
@@ -170,7 +186,7 @@ def evaluate(config: dict, seed: int) -> tuple[list[fields.Unit], np.ndarray]:
         mask = voxelised(scaled, box, float(config["spacing"]))
         off = mask.mean() - float(config["porosity"])
         if abs(off) <= max(1 / mask.size, 0.01):
-            return scaled, mask
+            return scaled, mask, scale, centers
         low, high = (scale, high) if off < 0 else (low, scale)
     raise ValueError(f"no scale gives a porosity of {config['porosity']}")
 
@@ -181,18 +197,34 @@ def _scaled(spec: dict, scale: float) -> dict:
 
 
 def evaluated(tasks: DataFrame, config: dict) -> DataFrame:
-    """tasks with scale-solved porosity, components and audit flags of each candidate; one that fails is a row that says so."""
+    """tasks with solved scale, porosity, components of the pores and the audit of each candidate; one that fails is a row that says so.
+
+    audit_passed: nothing of the configuration is missed, see audit.unit_warnings; warnings say what is. With targets
+    under "measured" (and a measuring "contract") the phases are measured too and held against these.
+    """
+    wanted = config.get("measured")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         row = frame.iloc[0]
         base = {"sequence_index": int(row["sequence_index"]), "seed": int(row["seed"])}
         try:
-            units, mask = evaluate(config, int(row["seed"]))
-            return pd.DataFrame([base | {"succeeded": True, "porosity": float(mask.mean()), "audit_passed": bool(abs(mask.mean() - config["porosity"]) <= max(1 / mask.size, 0.01)), "units": len(units), "failure_type": None, "failure_message": None}])
+            units, mask, scale, centers = solved(config, int(row["seed"]))
+            warnings = audit.unit_warnings(config, units, float(mask.mean()), mask.size, pair_loss(config, centers))
+            done = {"succeeded": True, "porosity": float(mask.mean()), "units": len(units), "failure_type": None, "failure_message": None, "scale": scale, "components": kernels.pore_components(mask), "warnings": warnings, "masks": [np.packbits(m).tobytes() for m in mask] if wanted else None}
+            return pd.DataFrame([base | done])
         except Exception as e:  # a candidate's failure is its result
-            return pd.DataFrame([base | {"succeeded": False, "porosity": None, "audit_passed": False, "units": None, "failure_type": type(e).__name__, "failure_message": "".join(traceback.format_exception_only(e)).strip()}])
-
-    return tasks.groupBy("sequence_index").applyInPandas(run, "sequence_index int, seed bigint, succeeded boolean, porosity double, audit_passed boolean, units int, failure_type string, failure_message string")
+            failed = {"succeeded": False, "porosity": None, "units": None, "failure_type": type(e).__name__, "failure_message": "".join(traceback.format_exception_only(e)).strip(), "scale": None, "components": None, "warnings": [], "masks": None}
+            return pd.DataFrame([base | failed])
+
+    out = tasks.groupBy("sequence_index").applyInPandas(run, "sequence_index int, seed bigint, succeeded boolean, porosity double, units int, failure_type string, failure_message string, scale double, components int, warnings array<string>, masks array<binary>")
+    if wanted:
+        out = written(out, "candidates")
+        slabs = out.where("succeeded").select(F.col("sequence_index").alias("run_id"), F.posexplode("masks").alias("z", "mask"))
+        shape = tuple(round(b / config["spacing"]) for b in config["box"])
+        missed = audit.measured_warnings(measure.measure_slabs(slabs, shape, float(config["spacing"]), config.get("contract", measure.CONTRACT)), wanted)
+        out = out.join(missed.withColumnRenamed("run_id", "sequence_index"), "sequence_index", "left").withColumn("warnings", F.concat("warnings", F.coalesce("missed", F.array().cast("array<string>"))))
+    passed = F.col("succeeded") & (F.size("warnings") == 0)
+    return out.select("sequence_index", "seed", "succeeded", "porosity", passed.alias("audit_passed"), "units", "failure_type", "failure_message", "scale", "components", "warnings")
 
 
 def chosen(results: DataFrame, target: float) -> DataFrame:

@@ -112,7 +112,7 @@ CONFIG = {"box": [10, 10, 10], "spacing": 1.0, "count": 3, "porosity": 0.15, "la
 
 @query("candidate_eval")
 def candidate_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A candidate per region, seeded by its key: one task each, failures as rows."""
+    """A candidate per region, seeded by its key: one task each, audited against CONFIG, failures as rows."""
     seeds = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("sequence_index"), (F.col("r_regionkey").cast("bigint") * 7919 + 17).alias("seed"))
     out = generate.evaluated(seeds, CONFIG)
-    return out.select("sequence_index", "seed", "succeeded", F.round("porosity", 6).alias("porosity"), "audit_passed", "units", "failure_type")
+    return out.select("sequence_index", "seed", "succeeded", F.round("porosity", 6).alias("porosity"), "audit_passed", "units", "failure_type", F.round("scale", 6).alias("scale"), "components", "warnings")
