@@ -259,6 +259,24 @@ def test_voxel_fields_agree(spark):
     assert soft.join(field.select("id", F.col("sdf").alias("hard")), "id").where("sdf > hard + 1e-12").count() == 0
 
 
+def test_field_of_many_units(spark):
+    """More units than one array may hold, the least and the smooth minimum against numpy; equal points stay apart."""
+    rng = np.random.default_rng(5)
+    n = 2 * voxels.BROADCAST_ROWS + 10
+    at = np.column_stack([rng.uniform(0, 100, (n, 2)), rng.uniform(0, 10, n), rng.uniform(0.1, 0.5, n)])
+    units = spark.createDataFrame([(i, *map(float, u)) for i, u in enumerate(at)], "id int, cx double, cy double, cz double, r double").repartition(3)
+    spots = rng.uniform(0, 10, (40, 3)) * (10, 10, 1)
+    points = spark.createDataFrame([(i % 39, *map(float, spots[i % 39])) for i in range(40)], "id int, px double, py double, pz double")
+    d = spots[:, None] - at[None, :, :3]
+    d[..., :2] -= 100 * np.rint(d[..., :2] / 100)
+    d = np.sqrt((d**2).sum(axis=2)) - at[:, 3]
+    for sharpness, want in ((None, d.min(axis=1)), (4.0, -np.log(np.exp(-4 * d).sum(axis=1)) / 4)):
+        out = voxels.sphere_field(points, units, (100, 100), sharpness)
+        assert out.columns == ["id", "px", "py", "pz", "sdf"]
+        got = [(r["id"], r["sdf"]) for r in out.collect()]
+        assert sorted(i for i, _ in got) == sorted([*range(39), 0]) and all(s == pytest.approx(want[i], abs=1e-9) for i, s in got)
+
+
 def test_stream_of_slices(spark, tmp_path):
     from voxlake.streaming.tracking import tracked
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions.geometry import minimum_image, squared_distance
 from voxlake.operators.pairs import BROADCAST_ROWS
+from voxlake.tables import written
 
 
 def lattice(spark: SparkSession, nx: int, ny: int, nz: int, spacing: float = 1.0) -> DataFrame:
@@ -75,23 +76,37 @@ def sphere_field(points: DataFrame, units: DataFrame, box: tuple[float, float],
     """`points` (px, py, pz) with sdf, the least signed distance to the spheres `units` (id, cx, cy, cz, r).
 
     With a sharpness b the smooth minimum -log(sum(exp(-b d))) / b, shifted by the minimum before it is exponentiated.
-    Few units travel as one array and are folded in place, with no shuffle; many are joined and reduced.
+    Few units travel as one array and are folded in place, with no shuffle; many meet the points in blocks of at most
+    BROADCAST_ROWS and are reduced to one row a point before the shuffle.
     """
-    n = units.count()
-    if n <= BROADCAST_ROWS:
-        rows = units.agg(F.sort_array(F.collect_list(F.struct("id", "cx", "cy", "cz", "r"))).alias("units"))
 
-        def distance(u):
-            d2 = F.pow(minimum_image(F.col("px") - u["cx"], box[0]), 2) + F.pow(minimum_image(F.col("py") - u["cy"], box[1]), 2) + F.pow(F.col("pz") - u["cz"], 2)
-            return F.sqrt(d2) - u["r"]
+    def distance(cx, cy, cz, r):
+        d2 = F.pow(minimum_image(F.col("px") - cx, box[0]), 2) + F.pow(minimum_image(F.col("py") - cy, box[1]), 2) + F.pow(F.col("pz") - cz, 2)
+        return F.sqrt(d2) - r
 
-        least = F.aggregate("units", F.lit(float("inf")), lambda acc, u: F.least(acc, distance(u)))
+    if units.count() <= BROADCAST_ROWS:
+        rows = units.agg(F.sort_array(F.collect_list(F.struct("id", "cx", "cy", "cz", "r"))).alias("units"))
+        of = lambda u: distance(u["cx"], u["cy"], u["cz"], u["r"])
+        least = F.aggregate("units", F.lit(float("inf")), lambda acc, u: F.least(acc, of(u)))
         out = points.crossJoin(F.broadcast(rows)).withColumn("sdf", least)  # one row of at most BROADCAST_ROWS units
         if sharpness:
-            total = F.aggregate("units", F.lit(0.0), lambda acc, u: acc + F.exp(-sharpness * (distance(u) - F.col("sdf"))))
+            total = F.aggregate("units", F.lit(0.0), lambda acc, u: acc + F.exp(-sharpness * (of(u) - F.col("sdf"))))
             out = out.withColumn("sdf", F.col("sdf") - F.log(total) / sharpness)
         return out.drop("units")
-    raise ValueError(f"{n} units: draw them with covered(), which needs no unit to meet every voxel")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within the partition
+    blocks = units.select(F.spark_partition_id().alias("_part"), F.floor(place / BROADCAST_ROWS).alias("_block"), F.struct(*[F.col(c).alias(f"_{c}") for c in ("cx", "cy", "cz", "r")]).alias("_unit"))
+    blocks = written(blocks.groupBy("_part", "_block").agg(F.collect_list("_unit").alias("_units")).select("_units"), "units")
+    held = written(points.withColumn("_point", F.monotonically_increasing_id()), "points")
+
+    def reduced(rows: DataFrame, how: Column) -> DataFrame:
+        keys = [F.col(f"`{c}`") for c in rows.columns]
+        return rows.crossJoin(blocks.hint("shuffle_replicate_nl")).select(*keys, F.inline("_units")).groupBy(*keys).agg(how.alias("_reduced"))
+
+    d = distance(*[F.col(f"_{c}") for c in ("cx", "cy", "cz", "r")])
+    out = reduced(held, F.coalesce(F.min(d), F.lit(float("inf")))).withColumnRenamed("_reduced", "sdf")
+    if sharpness:
+        out = reduced(written(out, "field"), F.sum(F.exp(-sharpness * (d - F.col("sdf"))))).withColumn("sdf", F.col("sdf") - F.log("_reduced") / sharpness)
+    return out.select(*[F.col(f"`{c}`") for c in points.columns], "sdf")
 
 
 def coverage_by_run(runs: DataFrame) -> DataFrame:
