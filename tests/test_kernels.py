@@ -178,3 +178,20 @@ def test_candidate_phase_has_its_porosity_and_batches_do_not_matter():
     reference = generate.uniform_reference(12, box, edges)
     loss = lambda p: ((generate.pair_curve(p, box, edges, reference) - np.ones(5)) ** 2).mean()
     assert loss(generate.annealed_centers(start, box, edges, np.ones(5), np.random.default_rng(0), 6)) <= loss(start)
+
+
+def test_triplet_queries_use_whole_vectors(spark, tmp_path):
+    from voxlake.plans import kernels as plans
+
+    rng = np.random.default_rng(1)
+    whole = {i: rng.normal(size=64).tolist() for i in range(3)}
+    whole[3] = rng.normal(size=13).tolist()
+    odd = {10: None, 11: [], 12: [1.0, 2.0], 13: [None] + [1.0] * 63, 14: [float("nan")] * 64}
+    spark.createDataFrame([*whole.items(), *odd.items()], "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rmsd = {r["vec_id"]: r["rmsd"] for r in plans.kabsch_rmsd(spark, str(tmp_path)).collect()}
+    flat = {r["vec_id"]: r["nonplanarity"] for r in plans.nonplanarity(spark, str(tmp_path)).collect()}
+    for i, v in whole.items():
+        p = np.array(v[: len(v) // 3 * 3]).reshape(-1, 3)
+        n = len(p)
+        assert rmsd[i] == round(K.kabsch_rmsd(p[: n - n // 2], p[n // 2 :]), 6) and flat[i] == round(K.nonplanarity(p), 6)
+    assert all(rmsd[i] is None and flat[i] is None for i in odd) and len(rmsd) == len(flat) == 9

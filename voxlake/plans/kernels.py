@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -85,25 +87,30 @@ def local_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slabs(spark, sf_dir).groupBy("run_id").applyInPandas(run, "run_id int, diameter double, n bigint")
 
 
-@query("kabsch_rmsd")
-def kabsch_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least distance of each vector's first eight triplets from the next eight, as point sets."""
+def _of_triplets(spark: SparkSession, sf_dir: str, name: str, least: int, measured: Callable[[np.ndarray], float]) -> DataFrame:
+    """vec_id and `measured` of all whole triplets of each vector; null for vectors with fewer than `least` and for those that are null or hold null or non-finite components."""
+
+    def of(v) -> float | None:
+        x = np.array([] if v is None else v, float)  # nulls are NaN
+        points = x[: len(x) // 3 * 3].reshape(-1, 3)
+        return round(measured(points), 6) if len(points) >= least and np.isfinite(x).all() else None
 
     def run(frames):
         for frame in frames:
-            sets = [np.array(v, float)[:48].reshape(2, 8, 3) for v in frame["embedding"]]
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "rmsd": [round(K.kabsch_rmsd(a, b), 6) for a, b in sets]})
+            yield pd.DataFrame({"vec_id": frame["vec_id"], name: pd.Series([of(v) for v in frame["embedding"]], dtype=float)})
 
-    return table(spark, sf_dir, "embeddings").where("size(embedding) >= 48 and not exists(embedding, x -> x is null)").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, rmsd double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInPandas(run, f"vec_id bigint, {name} double")
+
+
+@query("kabsch_rmsd")
+def kabsch_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least distance of the first half of each vector's triplets from the second, as point sets; the middle one of an odd number is in both."""
+    return _of_triplets(spark, sf_dir, "rmsd", 2, lambda p: K.kabsch_rmsd(p[: (len(p) + 1) // 2], p[len(p) // 2 :]))
 
 
 @query("nonplanarity")
 def nonplanarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "nonplanarity": [round(K.nonplanarity(np.array(v, float)[:60].reshape(-1, 3)), 6) for v in frame["embedding"]]})
-
-    return table(spark, sf_dir, "embeddings").where("size(embedding) >= 60 and not exists(embedding, x -> x is null)").select("vec_id", "embedding").mapInPandas(run, "vec_id bigint, nonplanarity double")
+    return _of_triplets(spark, sf_dir, "nonplanarity", 1, K.nonplanarity)
 
 
 #: A small film for the candidate query.
