@@ -338,6 +338,42 @@ def test_shared_blocks_is_a_longest_common_subsequence():
         assert html_text.shared_blocks(a, b).sum() == size[-1, -1]
 
 
+def test_shared_blocks_of_large_pages():
+    rng = np.random.default_rng(5)
+    x = rng.permutation(40000)
+    mine, other = x.copy(), x.copy()
+    mine[rng.choice(40000, 400, replace=False)] = 10**6 + np.arange(400)
+    assert html_text.shared_blocks(mine, other).sum() == 40000 - 400
+    a, b = rng.integers(0, 40, 600), rng.integers(0, 40, 500)
+    size = np.zeros((601, 501), int)
+    for i in range(600):
+        for j in range(500):
+            size[i + 1, j + 1] = size[i, j] + 1 if a[i] == b[j] else max(size[i, j + 1], size[i + 1, j])
+    hit = html_text.shared_blocks(a, b)
+    rest = iter(b)
+    assert hit.sum() == size[-1, -1] and all(any(x == y for y in rest) for x in a[hit])
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<" + "a" * 10, "<div>", "<b>", '<a "', "<a '>", "<", "<p>", "<li>", "<!", "<script>", "</div>", "&#9", "<p class='x"])
+def test_malformed_pages_of_a_megabyte_are_read_at_once(bad):
+    import time
+
+    began = time.perf_counter()
+    html_text.blocks(bad * (1_000_000 // len(bad)))
+    html_text.blocks("<p>" + bad * (200_000 // len(bad)) + ">")
+    assert time.perf_counter() - began < 5
+    assert html_text.blocks("&#" + "9" * 5000 + ";&#" + "0" * 5000 + "65;") == [(html_text.OPEN, "\ufffdA")]
+    assert html_text.blocks('<p title="a > b">x</p><a href="y>z</a>') == [(html_text.OPEN, "x"), (html_text.OPEN, "z")]
+
+
+def test_neighbours_across_partitions(spark, monkeypatch):
+    """Borders between partitions: one page a partition, the host's furniture still goes."""
+    monkeypatch.setattr(html_text, "stored_bytes", lambda df: 40 * (8 << 20))
+    rows = [(i, f"http://h.example/a/{i:03}", f"<div>Welcome</div><p>story {i}</p><div>Rights</div>") for i in range(40)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"story {i}" for i in range(40)}
+
+
 def test_differencing_drops_what_neighbours_share(spark):
     page = lambda body: f"<html><body><div>Welcome to our site</div><p>{body}</p><div>All rights reserved</div></body></html>"
     rows = [(i, f"http://h.example/a/{i}", page(f"story {i}")) for i in range(6)] + [(10, "http://alone.example/", page("lonely")), (11, None, page("nowhere")), (12, "http://h.example/a/3", None), (12, "http://h.example/a/3", None), (None, "http://h.example/b", page("x"))]

@@ -12,18 +12,26 @@ are kept though the neighbour has them (mirrored articles stay); a page of which
 shared blocks too. Pages without an article whose host has one page keep all open blocks.
 
 The neighbour comes from one range-partitioned order over all pages, in which a host with a third of all rows is many
-partitions; at borders a page is paired within its partition's order and with the border row of the next. Only hashes of
-blocks travel there, and come back as short lists of shared blocks.
+partitions; the first and the last row of a partition travel to the partitions beside it, as rows of the same table.
+Only hashes of blocks travel, and come back as short lists of shared blocks.
+
+Pages are read by one scan, linear in their length whatever they hold. A tag that never ends, a quoted value without
+its end apart, swallows the rest of the page, as in browsers; so do comments and scripts. The alignment takes memory
+linear in the blocks.
 
 Null html is empty; empty pages give an empty text. A null or unparsable url is a host of its own, paired with nothing.
-Repeated rows are pages like any other. An empty table gives no rows.
+Repeated rows are pages like any other; of neighbours equally near, the earlier in the order counts. Columns other
+than page_id, url and html are left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from os.path import commonprefix
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -54,9 +62,15 @@ _FURNITURE_WORD = re.compile(
 #: What an article element of the page's own isn't called, and words that only say how a page is laid out.
 _ASIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|related|recommended|promo|ads?|advert|sponsored|teaser)(?=$|[\s_-])", re.I)
 _LAYOUT_WORD = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|hide|show)[_-][\w-]+", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A whole tag without quotes, the name of a tag, and what can end the scan of one.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)([^>\"'<]*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r"[>\"']")
+#: Decimal character references that are too long for a character.
+_ZEROS, _HUGE = re.compile(r"&#0{8,}(?=[0-9])"), re.compile(r"&#[0-9]{9,};?")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*+>?", re.I) for tag in _RAW}
 #: An open element of these ends when one of the listed starts.
 _ENDS = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 
@@ -77,45 +91,84 @@ def _role(tag: str, attributes: str, inside: int) -> int:
     return inside
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Place of the > that ends a tag whose name ends at `at`, -1 if none does. A quote without its end is a plain character."""
+    i = at
+    while m := _STOP.search(page, i):
+        if m[0] == ">":
+            return m.start()
+        i = page.find(m[0], m.end()) + 1
+        if not i:
+            return page.find(">", at)
+    return page.find(">", at)
+
+
+def _plain(parts: list[str]) -> str:
+    text = "".join(parts)
+    if "&" in text:
+        text = entities.unescape(_HUGE.sub("\ufffd", _ZEROS.sub("&#0", text)))
+    return " ".join(_SPACE.split(text)).strip()
+
+
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(role, text) of the page's blocks; white space as single spaces, character references decoded, empty blocks left out."""
     page = page or ""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int, bool]] = []  # element, role, silent
+    opened: Counter[str] = Counter()  # elements on the stack
     held: list[str] = []
-    role, silent, at, n = OPEN, False, 0, len(page)
+    role, silent, at, text_from, n = OPEN, False, 0, 0, len(page)
 
     def flush() -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
-        held.clear()
-        if text:
-            out.append((role, text))
+        if held:
+            text = _plain(held)
+            held.clear()
+            if text:
+                out.append((role, text))
 
-    def set_top() -> None:
+    def pop() -> str:
         nonlocal role, silent
+        tag = stack.pop()[0]
+        opened[tag] -= 1
         role, silent = (stack[-1][1], stack[-1][2]) if stack else (OPEN, False)
-
-    while at < n:
-        m = _TAG.search(page, at)
-        end = m.start() if m else n
-        if end > at and not silent:
-            held.append(page[at:end])
-        if not m:
+        return tag
+
+    while True:
+        i = page.find("<", at)
+        if i < 0:
+            i = n
+        elif not (m := _PLAIN_TAG.match(page, i)):
+            after = page[i + 1 : i + 2]
+            m = _NAME.match(page, i)
+            if not m and after not in ("!", "?"):
+                at = i + 1  # a character like any other
+                continue
+        if i > text_from and not silent:
+            held.append(page[text_from:i])
+        if i == n:
             break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA[") and not silent:
-                held.append(entities.escape(m[0][9:].removesuffix("]]>")))
+        if not m:
+            mark, close = ("<!--", "-->") if page.startswith("<!--", i) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", i) else ("<", ">")
+            end = page.find(close, i + len(mark))
+            if mark == "<![CDATA[" and not silent:
+                held.append(entities.escape(page[i + len(mark) : end if end >= 0 else n]))
+            at = text_from = end + len(close) if end >= 0 else n
             continue
-        tag = tag.lower()
-        if m[1]:
-            if any(e == tag for e, _, _ in stack):
+        closing, tag = m[1], m[2].lower()
+        if m.re is _PLAIN_TAG:
+            attributes, at = m[3], m.end()
+        else:
+            end = _tag_end(page, m.end())
+            if end < 0:
+                break
+            attributes, at = page[m.end() : end], end + 1
+        text_from = at
+        if closing:
+            if opened[tag]:
                 if tag in _BLOCK:
                     flush()
-                while stack.pop()[0] != tag:
+                while pop() != tag:
                     pass
-                set_top()
             elif tag in _BLOCK:
                 flush()
             continue
@@ -126,23 +179,27 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if tag in _BLOCK:
             flush()
         while stack and tag in _ENDS.get(stack[-1][0], ()):
-            stack.pop()
-        if tag in _BLOCK and any(e == "p" for e, _, _ in stack):  # a block ends an open paragraph and what is open in it
-            deep = max(i for i, (e, _, _) in enumerate(stack) if e == "p")
-            if all(e not in _BLOCK for e, _, _ in stack[deep + 1 :]):
-                del stack[deep:]
-        set_top()
-        if tag in _VOID or (m[3] or "").rstrip().endswith("/"):
+            pop()
+        if tag in _BLOCK and opened["p"]:  # a block ends an open paragraph and what is open in it
+            deep = len(stack) - 1
+            while stack[deep][0] != "p" and stack[deep][0] not in _BLOCK:
+                deep -= 1
+            if stack[deep][0] == "p":
+                while len(stack) > deep:
+                    pop()
+        if tag in _VOID or attributes.rstrip().endswith("/"):
             continue
         if tag in _RAW:  # up to its own end tag, whatever stands between
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else n
+            close = _RAW_END[tag].search(page, at)
+            at = text_from = close.end() if close else n
             continue
-        inner = _role(tag, m[3] or "", role)
+        inner = _role(tag, attributes, role)
         if inner != role:
             flush()
-        stack.append((tag, inner, silent or tag in _SILENT))
-        set_top()
+        silent = silent or tag in _SILENT
+        role = inner
+        stack.append((tag, role, silent))
+        opened[tag] += 1
     flush()
     return out
 
@@ -157,35 +214,63 @@ def place(url: str | None) -> tuple[str | None, str]:
     return host or None, parts.path.rstrip("/") or "/"
 
 
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of all of `a` with each beginning of `b`."""
+    best = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], (best[:-1] + 1) * (b == x)))
+    return best
+
+
+def _aligned(a: np.ndarray, b: np.ndarray, at: int, out: list[int]) -> None:
+    """Adds the places (from `at`) of `a` on a longest common subsequence with `b`: halves of `a` against the best cut of `b`, so that memory stays linear."""
+    if not len(a) or not len(b):
+        return
+    if len(a) == 1:
+        if (b == a[0]).any():
+            out.append(at)
+        return
+    half = len(a) // 2
+    cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+    _aligned(a[:half], b[:cut], at, out)
+    _aligned(a[half:], b[cut:], at + half, out)
+
+
+def _rising(values: list[int]) -> list[int]:
+    """Places of a longest rising subsequence of different values."""
+    tops: list[int] = []  # the least last value of the sequences of each length, and its place
+    at: list[int] = []
+    before = [-1] * len(values)
+    for i, v in enumerate(values):
+        n = bisect_left(tops, v)
+        before[i] = at[n - 1] if n else -1
+        tops[n : n + 1], at[n : n + 1] = [v], [i]
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
 def shared_blocks(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which of `mine` are on a longest common subsequence with `other`: row by row, lengths by a running maximum."""
+    """Which of `mine` are on a longest common subsequence with `other`."""
     out = np.zeros(len(mine), bool)
-    begin = 0
-    while begin < min(len(mine), len(other)) and mine[begin] == other[begin]:
-        out[begin] = True
-        begin += 1
-    end = 0
-    while end < min(len(mine), len(other)) - begin and mine[-1 - end] == other[-1 - end]:
-        out[len(mine) - 1 - end] = True
-        end += 1
+    short = min(len(mine), len(other))
+    differ = np.flatnonzero(mine[:short] != other[:short])
+    begin = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(mine[len(mine) - short + begin :][::-1] != other[len(other) - short + begin :][::-1])
+    end = int(differ[0]) if len(differ) else short - begin
+    out[:begin] = True
+    out[len(mine) - end :] = True
     a, b = mine[begin : len(mine) - end], other[begin : len(other) - end]
-    common = np.isin(a, b)
-    rows, b = np.flatnonzero(common), b[np.isin(b, a)]
-    if not len(rows):
-        return out
+    rows, b = np.flatnonzero(np.isin(a, b)), b[np.isin(b, a)]
     a = a[rows]
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i, x in enumerate(a):
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], (best[i, :-1] + 1) * (b == x)))
-    i, j = len(a), len(b)
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out[begin + rows[i]] = True
+    places: list[int] = []
+    if len(a) == len(b) == len(np.unique(a)):  # each block once on either side: the longest rising sequence of places
+        places = _rising(np.argsort(b)[np.argsort(np.argsort(a))].tolist())
+    else:
+        _aligned(a, b, 0, places)
+    out[begin + rows[places]] = True
     return out
 
 
@@ -233,44 +318,36 @@ def shared_by_neighbours(pages: DataFrame) -> DataFrame:
     found = written(outlines(pages).dropDuplicates(["page"]), "outlines")
     parts = max(1, -(-stored_bytes(found) // (8 << 20)), found.sparkSession.sparkContext.defaultParallelism)
     ordered = written(found.repartitionByRange(parts, "host", "path", "page").sortWithinPartitions("host", "path", "page").withColumn("part", F.spark_partition_id()), "ordered")
-    # each partition's first and last page: two rows a partition, all that the partitions must know of each other
+    # each partition's first and last page travel to its neighbours; the driver sees the numbers of the filled partitions alone
+    filled = sorted(r["part"] for r in ordered.select("part").distinct().collect())
+    beside = found.sparkSession.createDataFrame([(p, q, side) for p, q, side in [*zip(filled[1:], filled, [-1] * len(filled)), *zip(filled, filled[1:], [1] * len(filled))]], "to int, part int, side int")
     keys = F.struct("host", "path", "page", "lines")
-    ends = {r["part"]: (r["first"], r["last"]) for r in ordered.groupBy("part").agg(F.min(keys).alias("first"), F.max(keys).alias("last")).collect()}
-    borders, filled = {}, sorted(ends)
-    for i, p in enumerate(filled):
-        before = ends[filled[i - 1]][1] if i else None
-        after = ends[filled[i + 1]][0] if i + 1 < len(filled) else None
-        borders[p] = tuple((r["host"], r["path"], bytes(r["lines"])) if r else None for r in (before, after))
-
-    out = ordered.groupBy("part").applyInArrow(_grouped(borders), "page bigint, shared array<int>")
-    result = written(out, "shared")
+    ends = ordered.groupBy("part").agg(F.min(keys).alias("first"), F.max(keys).alias("last"))
+    borders = ends.join(F.broadcast(beside), "part").withColumn("row", F.when(F.col("side") < 0, F.col("last")).otherwise(F.col("first")))
+    rows = ordered.withColumn("side", F.lit(0)).unionByName(borders.select(F.col("to").alias("part"), "side", "row.*"))
+    result = written(rows.groupBy("part").applyInArrow(_paired, "page bigint, shared array<int>"), "shared")
     dropped(found)
     dropped(ordered)
     return result
 
 
 def _prefix(a: str, b: str) -> str:
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return a[:n]
-
-
-def _grouped(borders: dict):
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        before, after = borders[key[0].as_py()]
-        group = group.sort_by([("host", "ascending"), ("path", "ascending"), ("page", "ascending")])
-        rows = list(zip(*(group.column(c).to_pylist() for c in ("host", "path", "page", "lines")), strict=True))
-        out = []
-        for i, (host, path, page, lines) in enumerate(rows):
-            sides = [(rows[i - 1][0], rows[i - 1][1], rows[i - 1][3]) if i else before, (rows[i + 1][0], rows[i + 1][1], rows[i + 1][3]) if i + 1 < len(rows) else after]
-            near = max((s for s in sides if s and s[0] == host), key=lambda s: len(_prefix(s[1], path)), default=None)  # on a tie the earlier one
-            places = _masked(lines, near[2]) if near else []
+    return commonprefix([a, b])
+
+
+def _paired(group: pa.Table) -> pa.Table:
+    """The shared blocks of a partition's pages (side 0), with the last page before it (-1) and the first one after it (1)."""
+    group = group.sort_by([("side", "ascending"), ("host", "ascending"), ("path", "ascending"), ("page", "ascending")])
+    rows = list(zip(*(group.column(c).to_pylist() for c in ("side", "host", "path", "page", "lines")), strict=True))
+    out = []
+    for i, (side, host, path, page, lines) in enumerate(rows):
+        if side == 0:
+            beside = [r for r in (*rows[max(0, i - 1) : i], *rows[i + 1 : i + 2]) if r[1] == host]
+            near = max(beside, key=lambda r: len(_prefix(r[2], path)), default=None)  # on a tie the earlier one
+            places = _masked(lines, near[4]) if near else []
             if places:
                 out.append((page, places))
-        return pa.table({"page": pa.array([p for p, _ in out], pa.int64()), "shared": pa.array([x for _, x in out], pa.list_(pa.int32()))})
-
-    return run
+    return pa.table({"page": pa.array([p for p, _ in out], pa.int64()), "shared": pa.array([x for _, x in out], pa.list_(pa.int32()))})
 
 
 def extract(pages: DataFrame) -> DataFrame:
