@@ -484,6 +484,13 @@ def test_line_dedup_cases(spark, awkward):
     kept = line_dedup.dedup_lines(awkward.withColumn("n_lines", F.lit(5)), "source").collect()
     assert len(kept) == len(AWKWARD) + 3 and [r for r in kept if r["doc_id"] == 0][0]["text"] is None
     assert line_dedup.dedup_lines(awkward.limit(0), "source").count() == 0
+    odd = spark.createDataFrame(rows, DOCS)
+    for i, name in enumerate(("_host", "_lines", "_kept", "_common", "_rest", "_text", "_hashes")):
+        odd = odd.withColumn(name, F.lit(i))
+    clashing = line_dedup.dedup_lines(odd, "source")
+    assert clashing.columns == [c for c in odd.columns if c != "text"] + ["text", "n_lines", "n_dropped"]
+    assert all([r[c] for c in ("_host", "_lines", "_kept", "_common", "_rest", "_text", "_hashes")] == list(range(7)) for r in clashing.collect())
+    assert {r["doc_id"]: r["text"] for r in clashing.collect()} == {i: r["text"] for i, r in out.items()}
 
 
 def test_copies_of_a_document_keep_its_lines(spark):

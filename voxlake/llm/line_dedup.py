@@ -6,7 +6,8 @@ back to the pages as one array of hashes per host.
 
 A null host is a host of its own. A null text has no lines and stays null; lines of blanks are neither counted nor
 dropped. A line counts once per page however often it repeats there, and every repeat goes. Hosts under
-`min_host_pages` pages, and lines on fewer than `min_pages`, are left alone. An empty table gives no rows.
+`min_host_pages` pages, and lines on fewer than `min_pages`, are left alone. An empty table gives no rows. Columns `n_lines` and `n_dropped` are replaced; all others come back as they
+were, whatever their names.
 
 Each row is a page. With `copies_once`, rows of one host with the same text (by a 64-bit hash; null texts too) are one
 page together, in lines and totals alike: a text that is copied often doesn't make boilerplate of its own lines.
@@ -54,9 +55,10 @@ def dedup_lines(pages: DataFrame, host: str, text: str = "text", ratio: float =
         common = F.broadcast(common)
     kept = F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_common", F.xxhash64(x))))
     names = [c for c in pages.columns if c not in (text, "n_lines", "n_dropped")]
-    out = pages.withColumn("_host", _host(host)).join(common, "_host", "left").withColumn("_lines", _lines(text)).withColumn("_kept", kept)
+    rest = F.struct(*[F.col(f"`{c}`") for c in names])  # in a struct, names of columns can't clash with those used here
+    out = pages.select(_host(host).alias("_host"), _lines(text).alias("_lines"), rest.alias("_rest")).join(common, "_host", "left").withColumn("_kept", kept)
     return out.select(
-        *[F.col(f"`{c}`") for c in names],
+        *[F.col(f"_rest.`{c}`") for c in names],
         F.array_join("_kept", "\n").alias(text),
         F.coalesce(F.size("_lines"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("bigint").alias("n_dropped"),
