@@ -5,10 +5,30 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlake.functions import kernels as K
-from voxlake.functions import shapes
+from voxlake.functions import fields, shapes
 from voxlake.functions.fields import Channel
 
 
+
+def test_nearest_on_mesh_has_no_cap():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(15000, 3))
+    f = np.arange(15000).reshape(-1, 3)
+    p = rng.normal(size=(2100, 3))
+    where, d = shapes.nearest_on_mesh(v, f, p)
+    parts = [shapes.nearest_on_mesh(v, f[k : k + 1000], p[:40]) for k in range(0, 5000, 1000)]
+    assert np.allclose(d[:40], np.min([q for _, q in parts], axis=0)) and np.allclose(np.linalg.norm(where - p, axis=1), d)
+
+
+def test_roughness_stays_in_its_bounds():
+    at = np.random.default_rng(2).normal(size=(20000, 3))
+    step = 1e-5 * np.array([0.6, 0.0, 0.8])
+    one, other = fields.roughness("u", 0.1, 5.0, at), fields.roughness("u", 0.1, 5.0, at + step)
+    assert np.abs(one).max() <= 0.5 and one.std() > 0.05 and (fields.roughness("u", 0.1, 5.0, at) == one).all()
+    assert np.abs(other - one).max() / 1e-5 <= fields.roughness_slope(0.1, 5.0, 1.0)
+    assert not np.allclose(one, fields.roughness("v", 0.1, 5.0, at)) and not fields.roughness("u", 0.0, 5.0, at).any()
+
+
 def test_shapes_keep_their_limits():
     body = shapes.lobed("a", 500.0, 1.6, 3)
     assert shapes.sampled_volume(body, shapes.envelope(body)) == pytest.approx(500, rel=0.03) and shapes.lobes_connected(body.lobes, body.lobe_radii)

@@ -175,31 +175,32 @@ def shape_issues(record: dict, tube: Channel | None = None, body: Compact | None
     return out
 
 
-def nearest_on_mesh(vertices: np.ndarray, faces: np.ndarray, points: np.ndarray, most: int = 10_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest point of a surface to each point, and its distance; refuses more than `most` point-face pairs."""
-    if len(points) * len(faces) > most:
+def nearest_on_mesh(vertices: np.ndarray, faces: np.ndarray, points: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest point of a surface to each point, and its distance. Any number of both, in blocks; refuses more than `most` point-face pairs if that is given."""
+    if most is not None and len(points) * len(faces) > most:
         raise ValueError(f"{len(points)} points by {len(faces)} faces are over {most}")
-    a, b, c = (vertices[faces[:, k]] for k in range(3))
     best, where = np.full(len(points), np.inf), np.zeros((len(points), 3))
-    for i in range(0, len(points), 256):
-        p = points[i : i + 256, None]
-        candidates = []
-        for u, v in ((a, b), (b, c), (c, a)):
-            edge = v - u
-            t = np.clip(((p - u) * edge).sum(2) / np.maximum((edge * edge).sum(1), 1e-300), 0, 1)
-            candidates.append(u + t[..., None] * edge)
-        normal = np.cross(b - a, c - a)
-        square = np.maximum((normal * normal).sum(1), 1e-300)
-        flat = p - (((p - a) * normal).sum(2) / square)[..., None] * normal
-        inside = np.ones(flat.shape[:2], bool)
-        for u, v in ((a, b), (b, c), (c, a)):
-            inside &= (np.cross(v - u, flat - u) * normal).sum(2) >= 0
-        candidates.append(np.where(inside[..., None], flat, candidates[0]))
-        for q in candidates:
-            d = np.linalg.norm(q - p, axis=2)
-            k = d.argmin(axis=1)
-            row = np.arange(len(k))
-            closer = d[row, k] < best[i : i + 256]
-            where[i : i + 256][closer] = q[row, k][closer]
-            best[i : i + 256] = np.minimum(best[i : i + 256], d[row, k])
+    for first in range(0, len(faces), 4096):
+        a, b, c = (vertices[faces[first : first + 4096, k]] for k in range(3))
+        for i in range(0, len(points), 256):
+            p = points[i : i + 256, None]
+            candidates = []
+            for u, v in ((a, b), (b, c), (c, a)):
+                edge = v - u
+                t = np.clip(((p - u) * edge).sum(2) / np.maximum((edge * edge).sum(1), 1e-300), 0, 1)
+                candidates.append(u + t[..., None] * edge)
+            normal = np.cross(b - a, c - a)
+            square = np.maximum((normal * normal).sum(1), 1e-300)
+            flat = p - (((p - a) * normal).sum(2) / square)[..., None] * normal
+            inside = np.ones(flat.shape[:2], bool)
+            for u, v in ((a, b), (b, c), (c, a)):
+                inside &= (np.cross(v - u, flat - u) * normal).sum(2) >= 0
+            candidates.append(np.where(inside[..., None], flat, candidates[0]))
+            for q in candidates:
+                d = np.linalg.norm(q - p, axis=2)
+                k = d.argmin(axis=1)
+                row = np.arange(len(k))
+                closer = d[row, k] < best[i : i + 256]
+                where[i : i + 256][closer] = q[row, k][closer]
+                best[i : i + 256] = np.minimum(best[i : i + 256], d[row, k])
     return where, best
