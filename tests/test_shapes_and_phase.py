@@ -67,6 +67,37 @@ def test_phase_round_trip_and_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["status"] == "PASS"
 
 
+def test_validate_reads_what_is_there_and_by_its_contract(spark, tmp_path, capsys):
+    import shutil
+
+    from voxlake.__main__ import main
+    from voxlake.plans import measure
+    from voxlake.sources import phase
+
+    at = spark.range(1000).select((F.col("id") % 10).cast("int").alias("x"), (F.floor(F.col("id") / 10) % 10).cast("int").alias("y"), F.floor(F.col("id") / 100).cast("int").alias("z"))
+    voxels = at.withColumn("pore", (F.col("x") - 3.5) * (F.col("x") - 3.5) + (F.col("y") - 5.5) * (F.col("y") - 5.5) <= 1.8**2)
+    path = str(tmp_path / "phase")
+    phase.write_phase(voxels, path, (10, 10, 10), 1.0, contract={"cross_section_spacing_A": 2.0})
+
+    def report():
+        code = main(["validate", path])
+        return code, json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    assert main(["measure", path]) == 0
+    plain = measure.measure(voxels.withColumn("run_id", F.lit(0)), (10, 10, 10))["sections"].count()
+    assert 0 < spark.read.parquet(f"{path}/measurement/sections").count() < plain
+    assert report()[0] == 0
+    altered = spark.read.parquet(f"{path}/measurement/porosity").withColumn("porosity", F.lit(0.5))
+    altered.write.parquet(str(tmp_path / "altered"))
+    shutil.move(f"{path}/measurement/porosity", str(tmp_path / "porosity"))
+    shutil.copytree(str(tmp_path / "altered"), f"{path}/measurement/porosity")
+    assert report()[1]["status"] == "FAIL"
+    for n, (table, entry) in enumerate([("porosity", "measurements"), ("sections", "cross_sections"), ("contract", "contract")], 1):
+        shutil.move(f"{path}/measurement/{table}", str(tmp_path / f"away-{table}"))
+        code, got = report()
+        assert code == 1 and got["status"] == "NOT_EVALUABLE" and entry in got["missing"] and len(got["missing"]) == n
+
+
 def test_curves(spark):
     from voxlake.sources import phase
 

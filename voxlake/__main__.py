@@ -44,6 +44,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from voxlake.plans import film, generate, measure, validate
     from voxlake.sources import phase
+    from voxlake.tables import exists
 
     spark = SparkSession.builder.appName("voxlake").getOrCreate()
     if args.command == "generate":
@@ -59,18 +60,24 @@ def main(argv: list[str] | None = None) -> int:
         if best and args.out:
             one = tasks.where(tasks.sequence_index == best[0]["sequence_index"])
             shape = tuple(round(b / made["spacing"]) for b in made["box"])
-            phase.write_measurement(measure.measure_slabs(film.candidate_slabs(one, made), shape, made["spacing"], contract), args.out)
+            phase.write_measurement(measure.measure_slabs(film.candidate_slabs(one, made), shape, made["spacing"], contract), args.out, contract)
         return int(not best)
     voxels, meta = phase.read_phase(spark, args.path)
+    contract, folder = measure.CONTRACT | meta.get("contract", {}), args.out or f"{args.path}/measurement"
     from pyspark.sql import functions as F
 
     rows = voxels.withColumn("run_id", F.lit(0))
     if args.command == "measure":
-        phase.write_measurement(measure.measure(rows, tuple(meta["shape"]), meta["spacing_A"]), args.out or f"{args.path}/measurement")
+        phase.write_measurement(measure.measure(rows, tuple(meta["shape"]), meta["spacing_A"], contract), folder, contract)
         return 0
-    sections, porosity = (spark.read.parquet(f"{args.out or args.path + '/measurement'}/{n}") for n in ("sections", "porosity"))
-    present = spark.createDataFrame([(0, m) for m in validate.MANDATORY], "run_id int, entry string")
-    got = validate.validate(rows, sections, porosity, present, tuple(meta["shape"]), meta["spacing_A"]).collect()[0]
+    places = {"voxels": f"{args.path}/voxels"} | {entry: f"{folder}/{name}" for entry, name in validate.TABLES.items()}
+    there = [entry for entry in validate.MANDATORY if exists(spark, places[entry])]
+    present = spark.createDataFrame([(0, m) for m in there], "run_id int, entry string")
+    if "contract" in there:
+        contract = measure.CONTRACT | json.loads(spark.read.parquet(places["contract"]).first()["contract"])
+    empty = {"cross_sections": f"run_id int, {measure.SECTION}", "measurements": "run_id int, porosity double"}
+    sections, porosity = (spark.read.parquet(places[e]) if e in there else spark.createDataFrame([], kind) for e, kind in empty.items())
+    got = validate.validate(rows, sections, porosity, present, tuple(meta["shape"]), meta["spacing_A"], contract).collect()[0]
     print(json.dumps(got.asDict()))
     return int(got["status"] not in ("PASS", "WARNING"))
 

@@ -83,7 +83,7 @@ def through(points: DataFrame, centers: DataFrame) -> DataFrame:
     return each.join(ends, "run_id").where("a = low and b = high").select("run_id", "track_id")
 
 
-_SECTION = "track_id int, arc double, x double, y double, z double, tx double, ty double, tz double, valid boolean, invalid_reason string, area double, diameter double, fluctuation double"
+SECTION = "track_id int, arc double, x double, y double, z double, tx double, ty double, tz double, valid boolean, invalid_reason string, area double, diameter double, fluctuation double"
 
 
 def sections(slabs: DataFrame, points: DataFrame, shape: tuple[int, int, int], spacing: float, contract: dict = CONTRACT) -> DataFrame:
@@ -117,9 +117,9 @@ def sections(slabs: DataFrame, points: DataFrame, shape: tuple[int, int, int], s
                 else:
                     got = K.normal_section(mask, center, tangent, float((1 - t) * wall[i] + t * wall[i + 1]), contract, spacing, np.zeros(3))
                 rows.append({"run_id": key[0], "track_id": int(name), "arc": float(s), **dict(zip(("x", "y", "z", "tx", "ty", "tz"), [*center, *tangent], strict=True)), **got})
-        return pd.DataFrame(rows, columns=["run_id", *[c.split()[0] for c in _SECTION.split(", ")]])
+        return pd.DataFrame(rows, columns=["run_id", *[c.split()[0] for c in SECTION.split(", ")]])
 
-    return slabs.groupBy("run_id").cogroup(points.groupBy("run_id")).applyInPandas(run, f"run_id {kind}, {_SECTION}")
+    return slabs.groupBy("run_id").cogroup(points.groupBy("run_id")).applyInPandas(run, f"run_id {kind}, {SECTION}")
 
 
 def channels(points: DataFrame, cuts: DataFrame) -> DataFrame:

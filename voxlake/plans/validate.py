@@ -10,6 +10,8 @@ from voxlake.plans import measure
 
 #: Tables every bundle must have.
 MANDATORY = ["voxels", "centerlines", "cross_sections", "measurements", "contract"]
+#: Tables of a written measurement that stand for them; voxels are the phase's own.
+TABLES = {"centerlines": "points", "cross_sections": "sections", "measurements": "porosity", "contract": "contract"}
 #: Tolerances of recomputed values.
 ATOL, RTOL = 1e-6, 1e-6
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 META = {"version": 1, "axis_order": "z,y,x", "periodic_axes": ["x", "y"], "semiconductor": 0, "pore": 1}
 
 
-def write_phase(voxels: DataFrame, path: str, shape: tuple[int, int, int], spacing: float, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> None:
-    """voxel(x, y, z, pore) by slice, and one row that says what it is."""
+def write_phase(voxels: DataFrame, path: str, shape: tuple[int, int, int], spacing: float, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), contract: dict | None = None) -> None:
+    """voxel(x, y, z, pore) by slice, and one row that says what it is, with the measuring contract if it has one."""
     voxels.select("x", "y", "z", "pore").repartitionByRange("z").sortWithinPartitions("z", "y", "x").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/voxels")
-    meta = META | {"shape": list(shape), "spacing_A": spacing, "origin_A": list(origin)}
+    meta = META | {"shape": list(shape), "spacing_A": spacing, "origin_A": list(origin)} | ({"contract": contract} if contract else {})
     voxels.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -84,11 +84,14 @@ def unit_rows(units: DataFrame) -> DataFrame:
     return units.select(*[c for c in units.columns if c not in numbers], *fixed_decimals(numbers))
 
 
-def write_measurement(tables: dict[str, DataFrame], path: str) -> None:
-    """A measurement's tables: Parquet for the program, sections as CSV with a header and channels as JSON for others."""
+def write_measurement(tables: dict[str, DataFrame], path: str, contract: dict | None = None) -> None:
+    """A measurement's tables, and the contract that it was made by: Parquet for the program, sections as CSV with a header and channels as JSON for others."""
     for name, df in tables.items():
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
     if "sections" in tables:
         tables["sections"].write.mode("overwrite").option("header", True).csv(f"{path}/final_cross_sections")
     if "channels" in tables:
         tables["channels"].write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/final_channels")
+    if contract is not None:
+        spark = tables["sections"].sparkSession
+        spark.createDataFrame([(json.dumps(contract, sort_keys=True),)], "contract string").coalesce(1).write.mode("overwrite").parquet(f"{path}/contract")

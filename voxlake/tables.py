@@ -13,10 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir; a local one only where a session on one machine names none (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="voxlake-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -31,6 +33,11 @@ def written(df: DataFrame, what: str = "part") -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _at(df: DataFrame):
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._voxlake_path)
     return path, path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
