@@ -27,8 +27,9 @@ def _recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc32_text("doc_id") % 5 != 0)
     held = spark.sparkContext.broadcast(network)
-    scored = quality.labelled.scored(docs, lambda raw, offsets: held.value.score(raw, offsets), "_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    name = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's
+    scored = quality.labelled.scored(docs, lambda raw, offsets: held.value.score(raw, offsets), name)
+    return scored.where(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
