@@ -76,6 +76,26 @@ def interpolated(rows: DataFrame, by: str, order: list[str], at: str, value: str
     return points.select(by, s.alias("s"), mixed.alias(value))
 
 
+def interpolated_in_blocks(rows: DataFrame, by: str, order: list[str], at: str, value: str, spacing: float, block: float) -> DataFrame:
+    """by, place and value at every multiple of `spacing`, place its number: `interpolated`, for keys too large for one task.
+
+    A key's rows are put in order within blocks of `block` along `at`; the last row of a block takes its follower from
+    a table with the first row of every block, which alone is put in order by key.
+    """
+    placed = rows.withColumn("_block", F.floor(F.col(at) / block))
+    first = F.min(F.struct(*order, F.col(value).alias("_v"), F.col(at).alias("_a")))
+    starts = placed.groupBy(by, "_block").agg(first.alias("_first"))
+    following = starts.withColumn("_next", F.lead("_first").over(Window.partitionBy(by).orderBy("_block"))).select(by, "_block", F.col("_next._a").alias("_na"), F.col("_next._v").alias("_nv"))
+    w = Window.partitionBy(by, "_block").orderBy(*order)
+    ahead = placed.withColumn("_at", F.lead(at).over(w)).withColumn("_value", F.lead(value).over(w)).join(following, [by, "_block"])
+    ahead = ahead.withColumn("_value", F.when(F.col("_at").isNull(), F.col("_nv")).otherwise(F.col("_value"))).withColumn("_at", F.coalesce("_at", "_na"))
+    low = F.ceil(F.col(at) / spacing).cast("bigint")
+    high = F.when(F.col("_at").isNull(), F.floor(F.col(at) / spacing)).otherwise(F.ceil(F.col("_at") / spacing) - 1).cast("bigint")
+    points = ahead.withColumn("place", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))))
+    mixed = F.when(F.col("_at").isNull(), F.col(value)).otherwise(F.col(value) + (F.col("_value") - F.col(value)) * (F.col("place") * F.lit(spacing) - F.col(at)) / (F.col("_at") - F.col(at)))
+    return points.select(by, "place", mixed.alias(value))
+
+
 def near_event(rows: DataFrame, by: str, at: str, order: list[str], is_event: Column, reach: float) -> DataFrame:
     """`rows` with excluded: an event of the key is no farther than `reach`; rows stay, flagged."""
     marks = F.when(is_event, F.col(at))
