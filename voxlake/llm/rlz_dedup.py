@@ -26,6 +26,7 @@ are documents like others, and each comes back. An empty table gives no rows. On
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -86,24 +87,23 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nda
 class Piece:
     """Some documents of a run as words."""
 
-    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray, codes: dict[bytes, int]):
-        self.first = first
-        starts, ends, rows = word_spans(data, offsets)
+    def __init__(self, first: int, data: np.ndarray, offsets: np.ndarray):
+        self.first, self.data = first, np.ascontiguousarray(data)
+        self.starts, self.ends, rows = word_spans(data, offsets)
         self.bounds = np.searchsorted(rows, np.arange(len(offsets)))
-        if not len(starts):
-            self.words, self.codes, self.hashes = pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.uint64)
-            return
-        edges = np.empty(2 * len(starts), np.int32)
-        edges[0::2], edges[1::2] = starts, ends
-        both = pa.Array.from_buffers(pa.binary(), 2 * len(starts) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
-        self.words = both.take(pa.array(np.arange(0, len(both), 2)))  # every second one is a gap
-        named = self.words.dictionary_encode()
-        raw, at = string_buffers(named.dictionary)
-        part = raw[at[0] : at[-1]]
-        hashed = span_hash(prefix_hash(part), at[:-1] - at[0], at[1:] - at[0])
-        number = np.array([codes.setdefault(w, len(codes) + 1) for w in named.dictionary.to_pylist()], np.int32)
-        index = np.asarray(named.indices)
-        self.codes, self.hashes = number[index], hashed[index]
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return span_hash(prefix_hash(self.data), self.starts, self.ends)
+
+    @cached_property
+    def words(self) -> pa.Array:
+        if not len(self.starts):
+            return pa.array([], pa.binary())
+        edges = np.empty(2 * len(self.starts), np.int32)
+        edges[0::2], edges[1::2] = self.starts, self.ends
+        both = pa.Array.from_buffers(pa.binary(), 2 * len(self.starts) - 1, [None, pa.py_buffer(edges), pa.py_buffer(self.data)])
+        return both.take(pa.array(np.arange(0, len(both), 2)))  # every second one is a gap
 
     def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         return anchors(self.hashes, self.bounds, length)
@@ -113,6 +113,14 @@ class Piece:
         return np.searchsorted(self.bounds, at, side="right") - 1
 
 
+def _covered(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Places below n inside any of the spans."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, begins, 1)
+    np.add.at(edge, ends, -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+
 class Run:
     """The documents of a run, in an order that doesn't depend on how they came."""
 
@@ -120,11 +128,10 @@ class Run:
         docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])) if docs.num_rows else docs
         self.ids = docs.column("doc_id").combine_chunks() if docs.num_rows else pa.array([], pa.int64())
         self.raw, self.offsets = string_buffers(docs.column("text").combine_chunks()) if docs.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        self.codes: dict[bytes, int] = {}
 
     def pieces(self) -> Iterator[Piece]:
         for i, _, data, offsets in pieces(self.raw, self.offsets):
-            yield Piece(i, data, offsets, self.codes)
+            yield Piece(i, data, offsets)
 
 
 def _prints(length: int, buckets: int):
@@ -187,66 +194,76 @@ class Passages:
     def __init__(self, run: Run, told: pa.Table, buckets: int, length: int):
         self.length, self.before = length, length - anchor_words(length)
         wanted, hot = (np.sort(np.concatenate([np.zeros(0, np.int64), *((place << PRINT_BITS) + gap_decoded(x) for place, x in _told(told, kind))])) for kind in (0, 1))
-        span = np.arange(-self.before, length)[None, :]
-        rows, weights, self.at, self.spots = [np.zeros((0, 1 + span.size), np.int32)], [np.zeros(0, np.int64)], [], []
-        index, made, high, low = [np.zeros(0, np.int64)], 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        self.at, self.spots, held, words, high, low = [], [], [], [pa.array([], pa.binary())], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for piece in run.pieces():
             at, hashes = piece.anchors(length)
             bucket, mark = _placed(hashes, buckets)
             both = bucket << PRINT_BITS | mark
             keep, burning = np.isin(both, wanted), np.isin(both, hot)
-            mine = at[keep]
-            for a in range(0, len(mine), STEP):
-                some = mine[a : a + STEP]
-                doc = piece.doc(some)
-                place = some[:, None] + span
-                inside = (place >= piece.bounds[doc][:, None]) & (place < piece.bounds[doc + 1][:, None])
-                table = np.concatenate([bucket[keep][a : a + STEP, None], np.where(inside, piece.codes[np.clip(place, 0, len(piece.codes) - 1)], 0)], axis=1).astype(np.int32)
-                _, first, where, count = np.unique(_as_bytes(table), return_index=True, return_inverse=True, return_counts=True)
-                rows.append(table[first])
-                weights.append(count)
-                index.append(made + where)
-                made += len(first)
-            self.at.append(mine)
+            mine, doc = at[keep], piece.doc(at[keep])
+            lower, upper = piece.bounds[doc], piece.bounds[doc + 1]
+            around = _covered(np.maximum(mine - self.before, lower), np.minimum(mine + length, upper), len(piece.starts))
+            words.append(piece.words.take(pa.array(around)))
+            held.append((mine, bucket[keep], lower, upper, around, len(piece.starts)))
             spots = self._windows(piece, at[burning])
+            self.at.append(mine)
             self.spots.append(spots)
             if len(spots):
                 high.append(span_hash(_sums(piece.hashes), spots, spots + length))
                 low.append(span_hash(_sums(mix(piece.hashes ^ np.uint64(0x2545F4914F6CDD1D))), spots, spots + length))
-        every, weight = np.concatenate(rows), np.concatenate(weights)
-        _, first, where = np.unique(_as_bytes(every), return_index=True, return_inverse=True)
-        self.rows = every[first, 1:]
-        self.part = every[first, 0]
-        self.several = np.bincount(where, weight, len(first)) > 1
-        self.index = where[np.concatenate(index)]
+        named = pa.concat_arrays(words).dictionary_encode()
+        self.vocabulary, code = named.dictionary, np.asarray(named.indices) + 1
+        self._tables(held, code)
         self.hashes = np.stack([np.concatenate(high), np.concatenate(low)], axis=1)
         self.kinds, self.kind_of, count = np.unique(self.hashes, axis=0, return_inverse=True, return_counts=True)
         self.kind_of = self.kind_of.reshape(-1)
         self.kinds_several = count > 1
         self.kinds_part, _ = _placed(self.kinds[:, 0], buckets)
 
+    def _tables(self, held: list[tuple], code: np.ndarray) -> None:
+        """The different passages in order, whether they stand twice in this run, and which one each anchor has."""
+        span = np.arange(-self.before, self.length)[None, :]
+        rows, weights, index, made, done = [np.zeros((0, 1 + span.size), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+        for mine, bucket, lower, upper, around, n in held:
+            codes = np.zeros(n, np.int32)
+            codes[around] = code[done : done + len(around)]
+            done += len(around)
+            for a in range(0, len(mine), STEP):
+                z = slice(a, a + STEP)
+                place = mine[z, None] + span
+                inside = (place >= lower[z, None]) & (place < upper[z, None])
+                table = np.concatenate([bucket[z, None], np.where(inside, codes[np.clip(place, 0, n - 1)], 0)], axis=1).astype(np.int32)
+                _, first, where, count = np.unique(_as_bytes(table), return_index=True, return_inverse=True, return_counts=True)
+                rows.append(table[first])
+                weights.append(count)
+                index.append(made + where)
+                made += len(first)
+        every, weight = np.concatenate(rows), np.concatenate(weights)
+        _, first, where = np.unique(_as_bytes(every), return_index=True, return_inverse=True)
+        self.part, self.rows = every[first, 0], every[first, 1:]
+        self.several = np.bincount(where, weight, len(first)) > 1
+        self.index = where[np.concatenate(index)]
+
     def _windows(self, piece: Piece, at: np.ndarray) -> np.ndarray:
         """Starts of all windows about the anchors."""
         doc = piece.doc(at)
         begins = np.maximum(at - self.before, piece.bounds[doc])
         ends = np.minimum(at, piece.bounds[doc + 1] - self.length)
-        edge = np.zeros(len(piece.codes) + 2, np.int32)
         some = ends >= begins
-        np.add.at(edge, begins[some], 1)
-        np.add.at(edge, ends[some] + 1, -1)
-        return np.flatnonzero(np.cumsum(edge) > 0)
+        return _covered(begins[some], ends[some] + 1, len(piece.starts) + 1)
 
 
 def _passages(length: int, buckets: int):
     def run(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         mine = Run(docs)
         found = Passages(mine, told, buckets, length)
-        words = [b"", *mine.codes]
         out = []
         for p in np.union1d(found.part, found.kinds_part).tolist():
             here, there = found.part == p, found.kinds_part == p
             used, where = np.unique(found.rows[here], return_inverse=True)
-            vocabulary = b" ".join(words[w] for w in used.tolist())  # word 0 is empty, and no word holds a blank
+            names = found.vocabulary.take(pa.array(used[used > 0] - 1))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), b" ")[0].as_py()
+            vocabulary = b" " + joined if (used == 0).any() else joined  # word 0 is empty, and no word holds a blank
             out.append((p, zstandard.ZstdCompressor(level=3).compress(vocabulary), _packed(where.astype("<i4")), _packed(found.several[here]), _packed(found.kinds[there]), _packed(found.kinds_several[there])))
         trimmed()
         cols = list(zip(*out, strict=True)) or [()] * 6
@@ -291,12 +308,14 @@ def _answers(length: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """Of each run's passages the duplicate windows as bits, and of its windows which are duplicates."""
         runs, part = rows.column("run").to_pylist(), key[0].as_py()
-        codes: dict[bytes, int] = {b"": 0}
         width = 2 * length - anchor_words(length)
-        tables = []
-        for text, where in zip(rows.column("vocabulary").to_pylist(), rows.column("passages").to_pylist(), strict=True):
-            number = np.array([codes.setdefault(w, len(codes)) for w in zstandard.ZstdDecompressor().decompress(text).split(b" ")], np.int32)
-            tables.append(number[_unpacked(where, "<i4")].reshape(-1, width))
+        lists = pc.split_pattern(pa.array([zstandard.ZstdDecompressor().decompress(x) for x in rows.column("vocabulary").to_pylist()], pa.binary()), b" ")
+        named = lists.flatten().dictionary_encode()
+        empty = np.asarray(pc.equal(pc.binary_length(named.dictionary), 0))
+        code = np.asarray(named.indices)
+        code = np.where(empty[code], 0, code + 1).astype(np.int32)
+        ends = np.asarray(lists.offsets)
+        tables = [code[a:b][_unpacked(x, "<i4")].reshape(-1, width) for a, b, x in zip(ends[:-1].tolist(), ends[1:].tolist(), rows.column("passages").to_pylist(), strict=True)]
         several = np.concatenate([_unpacked(x, "?") for x in rows.column("several").to_pylist()])
         every = np.concatenate(tables)
         _, first, where = np.unique(_as_bytes(every), return_index=True, return_inverse=True)
@@ -340,7 +359,7 @@ def _marked(length: int, buckets: int, derive: Derive, schema: pa.Schema):
         for piece, at, spots in zip(mine.pieces(), found.at, found.spots, strict=True):
             some, burnt = own[done : done + len(at)], hot[gone_by : gone_by + len(spots)]
             done, gone_by = done + len(at), gone_by + len(spots)
-            edge = np.zeros(len(piece.codes) + 1, np.int32)
+            edge = np.zeros(len(piece.starts) + 1, np.int32)
             for begin in [spots[burnt], *(at[(some >> np.uint64(s)) & np.uint64(1) == 1] - found.before + s for s in range(found.before + 1))]:
                 np.add.at(edge, begin, 1)
                 np.add.at(edge, begin + length, -1)
