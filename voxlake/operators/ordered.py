@@ -25,6 +25,22 @@ def running_total(rows: DataFrame, order: list[str], value: str, out: str = "run
     return placed.join(starts, "_part", "left").withColumn(out, F.sum(value).over(w) + F.coalesce("_start", F.lit(0))).drop("_part", "_start")
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """`rows` with rank (from 0, by `order`, which decides every tie) and n within their group. Rows of a null group take no part.
+
+    A range sort over (by, order): a partition numbers its own rows, and a table of a row a partition and group says
+    where each group's part begins. Groups of any size and number; no task holds a group.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = rows.dropna(subset=by)
+    placed = written(kept.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = placed.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    starts = counts.select(*by, "_part", F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_n").over(group).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return placed.withColumn("_place", place).join(starts, [*by, "_part"]).withColumn("rank", F.col("_start") + F.col("_place") - 1).drop("_part", "_place", "_start")
+
+
 def by_partition(rows: DataFrame, values: list[tuple], name: str) -> DataFrame:
     """(_part, name) with a value a partition: never more rows than there are partitions, so every executor may have it."""
     kind = "double" if any(isinstance(v, float) for _, v in values) else "bigint"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators.ordered import by_partition, ecdf, running_total
+from voxlake.operators.ordered import by_partition, ecdf, ranked, running_total
 from voxlake.tables import written
 
 
@@ -91,8 +91,8 @@ def largest_remainder(weights: DataFrame, key: str, weight: str, seats: int) ->
 
 def stratified_levels(rows: DataFrame, by: str, order: list[str], u: float = 0.5) -> DataFrame:
     """level (i + u) / n of each row within its stratum, i its place in order."""
-    w = Window.partitionBy(by)
-    return rows.withColumn("level", (F.row_number().over(w.orderBy(*order)) - 1 + F.lit(u)) / F.count("*").over(w))
+    placed = ranked(rows.withColumn("_stratum", F.struct(by)), ["_stratum"], order)  # in a struct, null is a stratum too
+    return placed.withColumn("level", (F.col("rank") + F.lit(u)) / F.col("n")).drop("_stratum", "rank", "n")
 
 
 def nearest_prototype(rows: DataFrame, column: str, prototypes: list[float]) -> DataFrame:

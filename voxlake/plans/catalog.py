@@ -563,7 +563,7 @@ def scale_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Queries of the plans beside this module."""
-    from voxlake.plans import film, kernels, more  # noqa: F401
+    from voxlake.plans import film, kernels, more, units  # noqa: F401
 
 
 load()
