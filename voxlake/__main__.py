@@ -62,23 +62,33 @@ def main(argv: list[str] | None = None) -> int:
             shape = tuple(round(b / made["spacing"]) for b in made["box"])
             phase.write_measurement(measure.measure_slabs(film.candidate_slabs(one, made), shape, made["spacing"], contract), args.out, contract)
         return int(not best)
+    folder = args.out or f"{args.path}/measurement"
+    places = {"voxels": f"{args.path}/voxels"} | {entry: f"{folder}/{name}" for entry, name in validate.TABLES.items()}
+    there = [entry for entry in validate.MANDATORY if exists(spark, places[entry])]
+    if args.command == "validate" and "voxels" not in there:  # nothing to measure anew
+        print(json.dumps({"run_id": 0, "status": "NOT_EVALUABLE", "errors": [], "missing": sorted(set(validate.MANDATORY) - set(there))}))
+        return 1
     voxels, meta = phase.read_phase(spark, args.path)
-    contract, folder = measure.CONTRACT | meta.get("contract", {}), args.out or f"{args.path}/measurement"
+    contract = measure.CONTRACT | meta.get("contract", {})
     from pyspark.sql import functions as F
 
     rows = voxels.withColumn("run_id", F.lit(0))
     if args.command == "measure":
         phase.write_measurement(measure.measure(rows, tuple(meta["shape"]), meta["spacing_A"], contract), folder, contract)
         return 0
-    places = {"voxels": f"{args.path}/voxels"} | {entry: f"{folder}/{name}" for entry, name in validate.TABLES.items()}
-    there = [entry for entry in validate.MANDATORY if exists(spark, places[entry])]
     present = spark.createDataFrame([(0, m) for m in there], "run_id int, entry string")
+    off = []
     if "contract" in there:
-        contract = measure.CONTRACT | json.loads(spark.read.parquet(places["contract"]).first()["contract"])
+        held = measure.CONTRACT | json.loads(spark.read.parquet(places["contract"]).first()["contract"])
+        off = [f"contract_mismatch: {k}" for k in sorted(held) if meta.get("contract") and held[k] != contract.get(k)]
+        contract = contract if meta.get("contract") else held
     empty = {"cross_sections": f"run_id int, {measure.SECTION}", "measurements": "run_id int, porosity double"}
     sections, porosity = (spark.read.parquet(places[e]) if e in there else spark.createDataFrame([], kind) for e, kind in empty.items())
-    got = validate.validate(rows, sections, porosity, present, tuple(meta["shape"]), meta["spacing_A"], contract).collect()[0]
-    print(json.dumps(got.asDict()))
+    others = {t: spark.read.parquet(f"{folder}/{t}") for t in ("centers", "points", "orientations", "channels", "distances") if exists(spark, f"{folder}/{t}")}
+    got = validate.validate(rows, sections, porosity, present, tuple(meta["shape"]), meta["spacing_A"], contract, others).collect()[0].asDict()
+    if off:
+        got |= {"errors": sorted(got["errors"] + off), "status": "FAIL" if got["status"] in ("PASS", "WARNING") else got["status"]}
+    print(json.dumps(got))
     return int(got["status"] not in ("PASS", "WARNING"))
 
 

@@ -49,15 +49,16 @@ def pairs_within(points: DataFrame, radius: float, box: tuple[float, float], by:
     return met.select(*([by] if by else []), "a", "b", "distance")
 
 
-def joined_within(left: DataFrame, right: DataFrame, radius: float, box: tuple[float, float]) -> DataFrame:
-    """(a, b, distance) of a left and a right point within `radius`: collision tests, points near centres."""
+def joined_within(left: DataFrame, right: DataFrame, radius: float, box: tuple[float, float], by: list[str] | None = None) -> DataFrame:
+    """(by, a, b, distance) of a left and a right point within `radius`, of equal `by`: collision tests, points near centres."""
+    by = by or []
     solid = "z" in left.columns and "z" in right.columns
-    keys = ["_cx", "_cy", *(["_cz"] if solid else [])]
+    keys = ["_cx", "_cy", *(["_cz"] if solid else []), *by]
     axes = ("x", "y", *("z" * solid))
     many = _around(_with_cell(left, box, radius, solid), box, radius, solid).select(*keys, F.col("id").alias("a"), *[F.col(c).alias(f"_{c}") for c in axes])
     few = _with_cell(right, box, radius, solid).select(*keys, F.col("id").alias("b"), *axes)
     d2 = squared_distance(tuple(f"_{c}" for c in axes), axes, box)
-    return many.join(few, keys).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius).select("a", "b", "distance")
+    return many.join(few, keys).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius).select(*by, "a", "b", "distance")
 
 
 def histogram(values: DataFrame, column: str, width: float, bins: int, by: list[str] | None = None) -> DataFrame:

@@ -152,8 +152,29 @@ def center_distances(points: DataFrame, shape: tuple[int, int, int], spacing: fl
     return pairs.histogram(met, "distance", width, bins)
 
 
+def pair_curve(points: DataFrame, shape: tuple[int, int, int], spacing: float, contract: dict = CONTRACT) -> DataFrame:
+    """run_id, bin, n, reference and g of through centres: pairs within a slice by distance, over what an even spread of as many centres would give.
+
+    Bins of center_distance_bin_width_A (the voxel spacing without it) up to center_distance_max_A (half the shorter
+    side, beyond which rings aren't whole). Runs without two centres in a slice have a g of 0.
+    """
+    box = (shape[0] * spacing, shape[1] * spacing)
+    width = float(contract.get("center_distance_bin_width_A") or spacing)
+    bins = max(1, int(float(contract.get("center_distance_max_A") or min(box) / 2) / width + 1e-9))
+    spots = points.select("run_id", "z_index", F.col("track_id").alias("id"), F.col("wrapped_x").alias("x"), F.col("wrapped_y").alias("y"))
+    slices = spots.withColumn("_slice", F.struct("run_id", "z_index"))
+    met = pairs.pairs_within(slices.select("_slice", "id", "x", "y"), width * bins, box, "_slice").select("_slice.run_id", "distance")
+    n = F.count("*").cast("double")
+    total = spots.groupBy("run_id", "z_index").agg((n * (n - 1) / 2).alias("pairs")).groupBy("run_id").agg(F.sum("pairs").alias("pairs"))
+    k = F.col("bin").cast("double")
+    ring = F.pi() * width * width * (2 * k + 1) / (box[0] * box[1])
+    reference = total.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("reference", F.col("pairs") * ring)
+    both = reference.join(pairs.histogram(met, "distance", width, bins, ["run_id"]), ["run_id", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return both.select("run_id", "bin", "n", "reference", F.when(F.col("reference") > 0, F.col("n") / F.col("reference")).otherwise(0.0).alias("g"))
+
+
 def measure_slabs(slabs: DataFrame, shape: tuple[int, int, int], spacing: float = 1.0, contract: dict = CONTRACT) -> dict[str, DataFrame]:
-    """All tables of a measurement of slab(run_id, z, mask): slabs, centers, points, through, sections, channels, orientations, porosity."""
+    """All tables of a measurement of slab(run_id, z, mask): slabs, centers, points, through, sections, channels, orientations, distances, porosity."""
     from voxlake.tables import written
 
     slabs = written(slabs, "slabs")
@@ -167,7 +188,9 @@ def measure_slabs(slabs: DataFrame, shape: tuple[int, int, int], spacing: float
             yield pd.DataFrame({"run_id": frame["run_id"], "pores": [int(_unpacked(m, shape).sum()) for m in frame["mask"]]})
 
     pores = slabs.mapInPandas(counted, f"run_id {kind}, pores bigint").groupBy("run_id").agg((F.sum("pores") / float(shape[0] * shape[1] * shape[2])).alias("porosity"))
-    return {"slabs": slabs, "centers": centers, "points": points, "through": through(points, centers), "sections": cuts, "channels": channels(points, cuts), "orientations": orientations(points, contract), "porosity": pores}
+    whole = through(points, centers)
+    distances = pair_curve(points.join(whole, ["run_id", "track_id"], "left_semi"), shape, spacing, contract)
+    return {"slabs": slabs, "centers": centers, "points": points, "through": whole, "distances": distances, "sections": cuts, "channels": channels(points, cuts), "orientations": orientations(points, contract), "porosity": pores}
 
 
 def measure(voxels: DataFrame, shape: tuple[int, int, int], spacing: float = 1.0, contract: dict = CONTRACT) -> dict[str, DataFrame]:

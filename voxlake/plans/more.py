@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions import geometry as G
-from voxlake.operators import molecules, pairs, reconcile, statistics, tracks, voxels
-from voxlake.plans.catalog import _TRACKS, BOX, _tracks, query
+from voxlake.operators import matching, molecules, pairs, reconcile, statistics, tracks, voxels
+from voxlake.plans.catalog import _PLANE, _TRACKS, BOX, _tracks, query
 from voxlake.sources import phase, text
 from voxlake.tables import table
 
@@ -171,3 +171,33 @@ def molecule_intrusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     points = table(spark, sf_dir, "customer").select(*[((k * m) % q / 50.0).alias(c) for c, m, q in (("x", 37, 1000), ("y", 61, 997), ("z", 29, 1013))])
     return molecules.intrusion(points, drawn(spark, sf_dir).select("x", "y", "z"), SHAPE, 1.0)
+
+
+def _rounds(n: int) -> str:
+    """CTEs of n rounds of taking the pairs that are the cheapest of both their ends: taken0, taken1, ..."""
+    steps = []
+    for r in range(n):
+        steps.append(f"""best{r} as (select *, row_number() over (partition by slice, a order by distance, a, b) ra, row_number() over (partition by slice, b order by distance, a, b) rb from pairs{r}),
+taken{r} as materialized (select slice, a, b, distance from best{r} where ra = 1 and rb = 1),
+pairs{r + 1} as materialized (select * from pairs{r} p where not exists (select 1 from taken{r} t where t.slice = p.slice and t.a = p.a) and not exists (select 1 from taken{r} t where t.slice = p.slice and t.b = p.b))""")
+    return ",\n".join(steps)
+
+
+@query(
+    "match_centers",
+    f"""with l as (select c_nationkey slice, c_custkey id, ((c_custkey*37)%1000)/10.0::double x, ((c_custkey*61)%997)/10.0::double y from customer),
+e as (select slice, id, x + ((id * 17) % 21 - 10) / 10.0::double x, y + ((id * 23) % 19 - 9) / 10.0::double y from l where id % 11 <> 0
+      union all select s_nationkey, -1 - s_suppkey, ((s_suppkey*53)%1000)/10.0::double, ((s_suppkey*71)%991)/10.0::double from supplier),
+pairs0 as materialized (select a.slice, a.id a, b.id b, {_PLANE} distance from l a join e b on a.slice = b.slice where {_PLANE} <= 1.5),
+{_rounds(8)},
+taken as (select * from ({' union all '.join(f'select * from taken{r}' for r in range(8))}))
+select l.slice, id as reported, b as expected, round(distance, 9) distance, case when b is null then 'unexpected' else 'ok' end status from l left join taken on taken.slice = l.slice and taken.a = l.id
+union all select slice, null, id, null, 'missing' from e where not exists (select 1 from taken t where t.slice = e.slice and t.b = e.id)""",
+)
+def match_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of slices against the same ones moved, some gone and others added: one to one, nearest first."""
+    k, s = F.col("id"), F.col("s_suppkey")
+    left = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("slice"), F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 37) % 1000 / 10.0).alias("x"), ((F.col("c_custkey") * 61) % 997 / 10.0).alias("y"))
+    moved = left.where(k % 11 != 0).select("slice", "id", (F.col("x") + ((k * 17) % 21 - 10) / 10.0).alias("x"), (F.col("y") + ((k * 23) % 19 - 9) / 10.0).alias("y"))
+    added = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("slice"), (-1 - s).alias("id"), ((s * 53) % 1000 / 10.0).alias("x"), ((s * 71) % 991 / 10.0).alias("y"))
+    return matching.matched_points(left, moved.unionByName(added), 1.5, (100, 100), ["slice"]).withColumn("distance", F.round("distance", 9))
