@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,18 +9,39 @@ from voxlake.functions.geometry import minimum_image
 from voxlake.tables import written
 
 
-def running_total(rows: DataFrame, order: list[str], value: str, out: str = "running") -> DataFrame:
-    """`rows` with the total of `value` up to and including each row in the global order.
+def running_totals(rows: DataFrame, order: list[str], sums: dict[str, str], ahead: dict[str, str] | None = None) -> DataFrame:
+    """`rows` with, for each name of `sums`, the total of its column up to and including each row in the global order, and for each of `ahead` its column's value in the next row.
 
-    Rows are range-partitioned; each partition sums its own, and the few partition totals, one row each, give every
-    partition its start.
+    Rows are range-partitioned once; each partition sums its own. What the partitions tell each other, a row each of
+    totals and first values, is collected: never more rows than there are partitions.
     """
+    ahead = ahead or {}
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ordered")
-    sums = sorted((r["_part"], r["s"]) for r in placed.groupBy("_part").agg(F.sum(value).alias("s")).collect())
-    starts = by_partition(placed, list(zip([p for p, _ in sums], [0, *itertools.accumulate(s or 0 for _, s in sums)], strict=False)), "_start")
-    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(starts, "_part", "left").withColumn(out, F.sum(value).over(w) + F.coalesce("_start", F.lit(0))).drop("_part", "_start")
+    row = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *ahead.values()])])
+    facts = placed.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()], F.min(row).alias("_first")).orderBy("_part").collect()
+    starts, before = [], dict.fromkeys(sums)
+    for i, f in enumerate(facts):
+        following = facts[i + 1] if i + 1 < len(facts) else None
+        nexts = [following["_first"][c] if following else None for c in ahead.values()]
+        starts.append((f["_part"], *before.values(), *nexts))
+        before = {n: (b or 0) + (f[n] or 0) for n, b in before.items()}
+    kinds = dict(placed.agg(*[F.sum(c).alias(n) for n, c in sums.items()]).dtypes) | {n: dict(placed.dtypes)[c] for n, c in ahead.items()}
+    schema = "_part int" + "".join(f", `_{n}` {t}" for n, t in kinds.items())
+    known = F.broadcast(rows.sparkSession.createDataFrame(starts, schema))
+    w = Window.partitionBy("_part").orderBy(*order)
+    out = placed.join(known, "_part")
+    for n, c in sums.items():
+        out = out.withColumn(n, F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.col(f"_{n}"), F.lit(0)))
+    last = F.lead(F.lit(True)).over(w).isNull()
+    for n, c in ahead.items():
+        out = out.withColumn(n, F.when(last, F.col(f"_{n}")).otherwise(F.lead(c).over(w)))
+    return out.drop("_part", *[f"_{n}" for n in kinds])
+
+
+def running_total(rows: DataFrame, order: list[str], value: str, out: str = "running") -> DataFrame:
+    """`rows` with the total of `value` up to and including each row in the global order."""
+    return running_totals(rows, order, {out: value})
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -41,12 +60,6 @@ def ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return placed.withColumn("_place", place).join(starts, [*by, "_part"]).withColumn("rank", F.col("_start") + F.col("_place") - 1).drop("_part", "_place", "_start")
 
 
-def by_partition(rows: DataFrame, values: list[tuple], name: str) -> DataFrame:
-    """(_part, name) with a value a partition: never more rows than there are partitions, so every executor may have it."""
-    kind = "double" if any(isinstance(v, float) for _, v in values) else "bigint"
-    return F.broadcast(rows.sparkSession.createDataFrame([(p, v) for p, v in values], f"_part int, {name} {kind}"))
-
-
 def ecdf(rows: DataFrame, column: str) -> DataFrame:
     """value, n, upto (rows no larger) and total, one row for each different value."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

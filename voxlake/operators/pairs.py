@@ -73,14 +73,9 @@ def histogram(values: DataFrame, column: str, width: float, bins: int, by: list[
 def nearest_center(points: DataFrame, centers: DataFrame, box: tuple[float, float], radius: float) -> DataFrame:
     """points with center and distance of their nearest centre in the plane, the smaller id on a tie.
 
-    Few centres go to every executor and the arg-min is one pass. Many meet in cells of `radius`; points that find
-    none so near are tried again with twice the radius, until the cells are the box.
+    Points and centres meet in cells of `radius`; points that find none so near are tried again with twice the radius,
+    until the cells are the box. The table is written, so that what uses it twice doesn't search twice.
     """
-    if centers.count() <= BROADCAST_ROWS:
-        small = F.broadcast(centers.select(F.col("id").alias("center"), F.col("x").alias("_x"), F.col("y").alias("_y")))
-        d2 = squared_distance(("x", "y"), ("_x", "_y"), box)
-        near = points.select("id", "x", "y").crossJoin(small).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), F.col("center"))).alias("m"))
-        return points.join(near.select("id", F.col("m.center").alias("center"), F.sqrt("m.d2").alias("distance")), "id")
     left, found = points.select("id", "x", "y"), None
     while True:
         met = joined_within(left, centers.select("id", "x", "y"), radius, box)

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators.ordered import by_partition, ecdf, ranked, running_total
-from voxlake.tables import written
+from voxlake.operators.ordered import ecdf, ranked, running_total, running_totals
 
 
 def ks_distance(rows: DataFrame, column: str, cdf: Callable[[Column], Column]) -> DataFrame:
@@ -30,18 +29,9 @@ def wasserstein(first: DataFrame, second: DataFrame, column: str) -> DataFrame:
     both = first.select(F.col(column).alias("value"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(second.select(F.col(column), F.lit(0), F.lit(1))).where("value is not null")
     counts = both.groupBy("value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    # the next value of a row that ends its partition is the first of the next: carried by a running maximum over one more total
-    upto = running_total(running_total(counts, ["value"], "a", "ua"), ["value"], "b", "ub")
+    upto = running_totals(counts, ["value"], {"ua": "a", "ub": "b"}, {"after": "value"}).crossJoin(F.broadcast(totals))  # one row
     gap = F.abs(F.col("ua") / F.col("na") - F.col("ub") / F.col("nb"))
-    placed = upto.crossJoin(F.broadcast(totals)).select("value", gap.alias("gap"))  # one row
-    parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = written(placed.repartitionByRange(parts, "value").withColumn("_part", F.spark_partition_id()), "steps")
-    starts = {r["_part"]: r["s"] for r in held.groupBy("_part").agg(F.min("value").alias("s")).collect()}  # a row a partition
-    order = sorted(starts)
-    following = {p: starts[q] for p, q in zip(order, order[1:], strict=False)}
-    after = by_partition(held, [(p, float(s)) for p, s in following.items()], "_after")
-    ahead = F.coalesce(F.lead("value").over(Window.partitionBy("_part").orderBy("value")).cast("double"), F.col("_after").cast("double"))
-    return held.join(after, "_part", "left").withColumn("width", ahead - F.col("value")).agg(F.coalesce(F.sum(F.col("gap") * F.col("width")), F.lit(0.0)).alias("distance"))
+    return upto.agg(F.coalesce(F.sum(gap * (F.col("after").cast("double") - F.col("value").cast("double"))), F.lit(0.0)).alias("distance"))
 
 
 def quantiles(rows: DataFrame, column: str, at: list[float], by: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions.geometry import minimum_image, squared_distance
+from voxlake.operators.ordered import ranked
 from voxlake.operators.pairs import BROADCAST_ROWS
 from voxlake.tables import written
 
@@ -84,31 +85,38 @@ def sphere_field(points: DataFrame, units: DataFrame, box: tuple[float, float],
         d2 = F.pow(minimum_image(F.col("px") - cx, box[0]), 2) + F.pow(minimum_image(F.col("py") - cy, box[1]), 2) + F.pow(F.col("pz") - cz, 2)
         return F.sqrt(d2) - r
 
+    of = lambda u: distance(u["cx"], u["cy"], u["cz"], u["r"])
+    least = F.aggregate("units", F.lit(float("inf")), lambda acc, u: F.least(acc, of(u)))
+    total = F.aggregate("units", F.lit(0.0), lambda acc, u: acc + F.exp(-(sharpness or 0.0) * (of(u) - F.col("sdf"))))
     if units.count() <= BROADCAST_ROWS:
         rows = units.agg(F.sort_array(F.collect_list(F.struct("id", "cx", "cy", "cz", "r"))).alias("units"))
-        of = lambda u: distance(u["cx"], u["cy"], u["cz"], u["r"])
-        least = F.aggregate("units", F.lit(float("inf")), lambda acc, u: F.least(acc, of(u)))
         out = points.crossJoin(F.broadcast(rows)).withColumn("sdf", least)  # one row of at most BROADCAST_ROWS units
-        if sharpness:
-            total = F.aggregate("units", F.lit(0.0), lambda acc, u: acc + F.exp(-sharpness * (of(u) - F.col("sdf"))))
-            out = out.withColumn("sdf", F.col("sdf") - F.log(total) / sharpness)
-        return out.drop("units")
+        return (out.withColumn("sdf", F.col("sdf") - F.log(total) / sharpness) if sharpness else out).drop("units")
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within the partition
-    blocks = units.select(F.spark_partition_id().alias("_part"), F.floor(place / BROADCAST_ROWS).alias("_block"), F.struct(*[F.col(c).alias(f"_{c}") for c in ("cx", "cy", "cz", "r")]).alias("_unit"))
-    blocks = written(blocks.groupBy("_part", "_block").agg(F.collect_list("_unit").alias("_units")).select("_units"), "units")
+    blocks = units.select(F.spark_partition_id().alias("_part"), F.floor(place / BROADCAST_ROWS).alias("_block"), F.struct("cx", "cy", "cz", "r").alias("_unit"))
+    blocks = written(blocks.groupBy("_part", "_block").agg(F.collect_list("_unit").alias("units")).select("units"), "units")
     held = written(points.withColumn("_point", F.monotonically_increasing_id()), "points")
 
-    def reduced(rows: DataFrame, how: Column) -> DataFrame:
-        keys = [F.col(f"`{c}`") for c in rows.columns]
-        return rows.crossJoin(blocks.hint("shuffle_replicate_nl")).select(*keys, F.inline("_units")).groupBy(*keys).agg(how.alias("_reduced"))
+    def reduced(rows: DataFrame, of_block: Column, how) -> DataFrame:
+        """A value of each block and point, folded where they meet, then over the blocks by point alone; the points' columns come back by a join."""
+        met = rows.select("_point", "px", "py", "pz", *(["sdf"] if "sdf" in rows.columns else [])).crossJoin(blocks.hint("shuffle_replicate_nl"))
+        return rows.join(met.select("_point", of_block.alias("_value")).groupBy("_point").agg(how("_value").alias("_reduced")), "_point", "left")
 
-    d = distance(*[F.col(f"_{c}") for c in ("cx", "cy", "cz", "r")])
-    out = reduced(held, F.coalesce(F.min(d), F.lit(float("inf")))).withColumnRenamed("_reduced", "sdf")
+    out = reduced(held, least, F.min).withColumn("sdf", F.coalesce("_reduced", F.lit(float("inf")))).drop("_reduced")
     if sharpness:
-        out = reduced(written(out, "field"), F.sum(F.exp(-sharpness * (d - F.col("sdf"))))).withColumn("sdf", F.col("sdf") - F.log("_reduced") / sharpness)
+        out = reduced(written(out, "field"), total, F.sum).withColumn("sdf", F.col("sdf") - F.log("_reduced") / sharpness)
     return out.select(*[F.col(f"`{c}`") for c in points.columns], "sdf")
 
 
+def evenly_sampled(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """`most` rows at even ranks from the first to the last, whole ranks rounded down; all rows if there are no more."""
+    placed = ranked(rows.withColumn("_all", F.lit(0)), ["_all"], order)
+    last = F.greatest(F.col("n") - 1, F.lit(1))
+    i = F.ceil(F.col("rank") * F.lit(most - 1.0) / last)
+    here = (F.floor(i * last / F.lit(most - 1.0)) == F.col("rank")) | (F.floor((i - 1) * last / F.lit(most - 1.0)) == F.col("rank")) if most > 1 else F.col("rank") == 0
+    return placed.where((F.col("n") <= most) | here).drop("_all", "rank", "n")
+
+
 def coverage_by_run(runs: DataFrame) -> DataFrame:
     """Longest run of pore voxels along z and the column that has it: islands by row number minus z."""
     from pyspark.sql import Window

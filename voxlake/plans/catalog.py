@@ -87,10 +87,10 @@ def coverage_by_voxel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sphere_field_slab",
-    f"""with {_UNITS}, {_V} select id::bigint id, round(min(sqrt({_D2}) - r), 8) sdf from (select * exclude id, v.id from v where z < 3) v cross join (select cx, cy, cz, r from s) group by id""",
+    f"""with {_UNITS}, {_V} select id::bigint id, round(min(sqrt({_D2}) - r), 8) sdf from v cross join (select cx, cy, cz, r from s) group by id""",
 )
 def sphere_field_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = voxels.lattice(spark, BOX, BOX, 3)
+    points = voxels.lattice(spark, BOX, BOX, BOX)
     return voxels.sphere_field(points, spheres(spark, sf_dir), (BOX, BOX)).select("id", F.round("sdf", 8).alias("sdf"))
 
 
@@ -466,10 +466,12 @@ _CURVE = [{"kind": "peak", "amplitude": 1.5, "center": 1.0, "width": 0.2}, {"kin
 
 @query(
     "rdf_target_curve",
-    "select i::bigint i, round(greatest(0.0::double, 1 + 1.5::double*exp(-0.5*pow((i/50.0::double-1)/0.2::double,2)) - exp(-0.5*pow((i/50.0::double)/0.3::double,2)) + 0.1::double*cos(2*pi()*((i/50.0::double-2)/0.8::double))), 9) g from range(200) t(i)",
+    """with x as (select p_partkey, p_retailprice / 500.0::double x from part)
+select p_partkey, round(greatest(0.0::double, 1 + 1.5::double*exp(-0.5*pow((x-1)/0.2::double,2)) - exp(-0.5*pow(x/0.3::double,2)) + 0.1::double*cos(2*pi()*((x-2)/0.8::double))), 9) g from x""",
 )
 def rdf_target_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(200).select(F.col("id").alias("i"), F.round(G.target_curve(F.col("id") / 50.0, _CURVE), 9).alias("g"))
+    """The curve asked for at the distance each part's price stands for."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(G.target_curve(F.col("p_retailprice") / 500.0, _CURVE), 9).alias("g"))
 
 
 def _phase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,7 +511,18 @@ def percolates_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.percolates_x(_phase(spark, sf_dir), SHAPE)
 
 
-@query("winds_x", None)
+_TILES = "(select i % 3 i, i // 3 j from range(9) t(i))"
+_TILED = f"""{_COVER.replace('with ', 'with recursive ', 1)}, k as materialized (select x + {BOX} * i + {3 * BOX} * (y + {BOX} * j + {3 * BOX} * z) id, x + {BOX} * i as x, y + {BOX} * j as y, z from c, {_TILES}),
+m as materialized (select a.id a, b.id b from k a join k b on abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 and b.z between a.z - 1 and a.z + 1 and b.y between a.y - 1 and a.y + 1),
+r(root, id) as (select id, id from k union select r.root, m.b from r join m on m.a = r.id where m.b > r.root),
+lab as (select id, min(root) label from r group by 1)"""
+
+
+@query(
+    "winds_x",
+    f"""{_TILED}, w as (select min(x) lo, max(x) hi, bool_or(x between {BOX} and {2 * BOX - 1} and y between {BOX} and {2 * BOX - 1}) middle from lab join k using (id) group by label)
+select coalesce(bool_or(middle and lo < {BOX} and hi >= {2 * BOX}), false) winds from w""",
+)
 def winds_x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.winds_x(_phase(spark, sf_dir), SHAPE)
 

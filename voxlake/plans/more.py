@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import geometry as G
 from voxlake.operators import matching, molecules, pairs, reconcile, statistics, tracks, voxels
-from voxlake.plans.catalog import _PLANE, _TRACKS, BOX, _tracks, query
+from voxlake.plans.catalog import _COVER, _PLANE, _TRACKS, BOX, _tracks, drawn, query
 from voxlake.sources import phase, text
 from voxlake.tables import table
 
@@ -123,17 +123,24 @@ def curve_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.curve_loss(curve, "g", "t").select(F.round("loss", 9).alias("loss"))
 
 
-@query("sampled_voxels", f"select distinct floor(i * ({BOX**3} - 1) / 999.0::double)::bigint id from range(1000) t(i)")
+@query(
+    "sampled_voxels",
+    f"""{_COVER}, p as (select x + {BOX} * (y + {BOX} * z) id, n units from c), o as (select *, row_number() over (order by id) - 1 r, count(*) over () n from p),
+w as (select distinct floor(i * (greatest(n - 1, 1)) / 499.0::double)::bigint r from range(500) t(i), (select max(n) n from o))
+select id::bigint id, units from o where n <= 500 or r in (select r from w)""",
+)
 def sampled_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evenly spaced voxels of the lattice."""
-    return spark.range(1000).select(F.floor(F.col("id") * (BOX**3 - 1) / 999.0).alias("id")).distinct()
+    """Pore voxels at even ranks, with the units that cover them."""
+    pore = drawn(spark, sf_dir).select((F.col("x") + BOX * (F.col("y") + BOX * F.col("z"))).cast("bigint").alias("id"), F.col("n").alias("units"))
+    return voxels.evenly_sampled(pore, ["id"], 500).select("id", "units")
 
 
-@query("sampled_slices", f"select distinct ((i // {BOX * BOX})::int) z from range({BOX**3}) t(i) where (i // {BOX * BOX}) % 3 = 0 or i // {BOX * BOX} = {BOX - 1}")
+@query("sampled_slices", f"{_COVER} select z::int z, count(*) n, max(n) most from c where z % 3 = 0 or z = {BOX - 1} group by z")
 def sampled_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pore voxels, and the most units over one, of every third slice and the last."""
     from voxlake.plans.measure import sampled_slices as sampled
 
-    return sampled(voxels.lattice(spark, BOX, BOX, BOX).select("z").distinct(), BOX, 1.0, 3.0)
+    return sampled(drawn(spark, sf_dir), BOX, 1.0, 3.0).groupBy("z").agg(F.count("*").alias("n"), F.max("n").alias("most"))
 
 
 @query(
