@@ -40,6 +40,8 @@ LENGTH = 50
 #: Least and most bytes of text in a run, and as many times a bucket's share; between them it grows with the root of all bytes, so that runs times buckets grow as the input.
 LEAST_BYTES, MOST_BYTES, ROOT_BYTES = 4 << 20, 256 << 20, 128
 PRINT_BITS = 26
+#: Suffixes that are made at once.
+STEP = 1 << 14
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -184,33 +186,45 @@ class Contexts:
         rows = told.filter(pa.compute.equal(told.column("kind"), 0)) if told.num_rows else told
         known = [(place << PRINT_BITS) + gap_decoded(x) for place, x in zip(rows.column("place").to_pylist(), rows.column("payload").to_pylist(), strict=True)]
         wanted = np.sort(np.concatenate(known)) if known else np.zeros(0, np.int64)
-        table, part, doc, self.at = [np.zeros((0, length + self.before + 2), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        width = length + self.before + 2
+        rows_, leasts, index, docs, self.at, made = [np.zeros((0, 4 + width), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
         for i, data, offsets, at, hashes, row in run.pieces():
             bucket, mark = _placed(hashes, buckets)
             both = bucket << PRINT_BITS | mark
             spot = np.minimum(np.searchsorted(wanted, both), max(0, len(wanted) - 1))
             keep = wanted[spot] == both if len(wanted) else np.zeros(len(both), bool)
             at, bucket, row = at[keep], bucket[keep], row[keep]
-            ahead = np.minimum(offsets[row - i + 1] - at, length)
-            behind = np.minimum(at - offsets[row - i], self.before)
-            span, back = np.arange(length)[None, :], np.arange(self.before)[None, :]
-            right = data[np.minimum(at[:, None] + span, max(0, len(data) - 1))] * (span < ahead[:, None])
-            left = data[np.maximum(at[:, None] - 1 - back, 0)] * (back < behind[:, None])
-            table.append(np.concatenate([right, ahead[:, None], left, behind[:, None]], axis=1).astype(np.uint8))
-            part.append(bucket)
-            doc.append(run.doc[row])
             self.at.append((i, len(data), at, row))
-        rows_, part, doc = np.concatenate(table), np.concatenate(part), np.concatenate(doc)
-        packed = np.ascontiguousarray(rows_).view(f"S{rows_.shape[1]}").ravel()
-        order = np.lexsort((packed, part)) if len(part) else np.zeros(0, np.int64)
-        new = np.ones(len(order), bool)
-        new[1:] = (rows_[order[1:]] != rows_[order[:-1]]).any(axis=1)
-        self.index = np.zeros(len(order), np.int64)
-        self.index[order] = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        self.rows, self.part = rows_[order[first]], part[order[first]]
-        self.least = np.minimum.reduceat(doc[order], first) if len(first) else np.zeros(0, np.int64)
-        self.doc = doc
+            docs.append(run.doc[row])
+            for a in range(0, len(at), STEP):  # the different ones of each step are kept, so that repetitive texts stay small
+                z = slice(a, a + STEP)
+                table = np.concatenate([bucket[z].astype(">u4").view(np.uint8).reshape(-1, 4), self._around(data, offsets, at[z], row[z] - i)], axis=1)
+                _, first, where = np.unique(_packed(table), return_index=True, return_inverse=True)
+                rows_.append(table[first])
+                leasts.append(docs[-1][z][first])  # documents come in order, so the first is the least
+                index.append(made + where)
+                made += len(first)
+        every, least = np.concatenate(rows_), np.concatenate(leasts)
+        _, first, where = np.unique(_packed(every), return_index=True, return_inverse=True)
+        self.index = where[np.concatenate(index)]
+        self.rows, self.part = every[first, 4:], every[first, :4].copy().view(">u4").ravel().astype(np.int64)
+        self.least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, where, least)
+        self.doc = np.concatenate(docs)
+
+    def _around(self, data: np.ndarray, offsets: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        length = self.run.length
+        ahead = np.minimum(offsets[row + 1] - at, length)
+        behind = np.minimum(at - offsets[row], self.before)
+        span, back = np.arange(length)[None, :], np.arange(self.before)[None, :]
+        right = data[np.minimum(at[:, None] + span, max(0, len(data) - 1))] * (span < ahead[:, None])
+        left = data[np.maximum(at[:, None] - 1 - back, 0)] * (back < behind[:, None])
+        return np.concatenate([right, ahead[:, None], left, behind[:, None]], axis=1).astype(np.uint8)
+
+
+def _packed(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as byte strings, which sort as they do."""
+    return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
 def front_coded(rows: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
@@ -253,7 +267,7 @@ def _suffixes(length: int, buckets: int):
 
 def _common(a: bytes, b: bytes, start: int) -> int:
     """Length of the common prefix, known to be `start` at least."""
-    if a == b:
+    if a[start:] == b[start:]:
         return len(a)
     most = min(len(a), len(b))
     while start + 8 <= most and a[start : start + 8] == b[start : start + 8]:
@@ -395,16 +409,17 @@ def _marked(length: int, buckets: int, derive: Derive, schema: pa.Schema):
         for o in range(mine.before + 1):
             every |= np.where((back >= o) & (size >= length - o), np.uint32(1 << o), np.uint32(0))
         own = np.where(mine.doc > mine.least[mine.index], every[mine.index], bits[mine.index]) if len(mine.index) else np.zeros(0, np.uint32)
-        removed = np.zeros(len(mine.run.raw) + 1, np.int64)
+        gone = np.zeros(len(mine.run.raw), bool)
         base, done = mine.run.offsets, 0
-        for i, _, at, _ in mine.at:
+        for i, n, at, _ in mine.at:
             some = own[done : done + len(at)]
             done += len(at)
+            edge = np.zeros(n + 1, np.int32)
             for o in range(mine.before + 1):
-                begin = at[(some >> np.uint32(o)) & np.uint32(1) == 1] - o + base[i]
-                np.add.at(removed, begin, 1)
-                np.add.at(removed, begin + length, -1)
-        gone = np.cumsum(removed[:-1]) > 0
+                begin = at[(some >> np.uint32(o)) & np.uint32(1) == 1] - o
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + length, -1)
+            np.greater(np.cumsum(edge[:-1], out=edge[:-1]), 0, out=gone[base[i] : base[i] + n])
         out: dict[str, list] = {c: [] for c in schema.names}
         for r, (a, b) in enumerate(zip(base[:-1].tolist(), base[1:].tolist(), strict=True)):
             flags = gone[a:b]
