@@ -1,13 +1,13 @@
 """Nearest neighbours by largest inner product over shifted space-filling curves.
 
 Each of CURVES orderings projects the vectors onto DIMS random orthonormal directions, shifts them by a random offset
-and sorts them along a Hilbert curve; the order is cut into SEGMENTS ranges of equal size at quantiles of a sample. A
-query meets all rows of its own range and of `reach` ranges on either side, on every curve, in double precision; the
+and sorts them along a Hilbert curve; the order is cut at quantiles of a sample into ranges of equal size, SEGMENTS or as
+many as keep a range near RANGE_ROWS rows. A query meets all rows of its own range and of `reach` ranges on either side, on every curve, in double precision; the
 best of all curves are merged. Inner products become nearness by one more component, which fills every row up to the
 largest norm. Rows of equal keys are ordered by a hash of their id, so a range stays of equal size however many rows
 agree.
 
-The sample (SAMPLE rows by a hash of the id) gives the quantiles, and the reach: the smallest at which the sample's own
+The sample (SAMPLE rows by a hash of the id, 4 a range if those are more, SAMPLE_MOST at most) gives the quantiles, and the reach: the smallest at which the sample's own
 neighbours are found to TARGET. That is on the safe side, as neighbours in a sample are farther than in all rows.
 Vectors that spread alike in all directions have no near ones to speak of; there the reach is wide and much of the
 table is scored. Every row is indexed and every query answered.
@@ -22,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import mix, written
 from voxlake.llm.hilbert import hilbert_keys
-from voxlake.llm.vectors import matrix, of_common_width, usable
+from voxlake.llm.vectors import matrix, usable
 
-CURVES, DIMS, BITS, SEGMENTS, SAMPLE, TARGET = 12, 6, 10, 64, 4096, 0.95
+CURVES, DIMS, BITS, SEGMENTS, RANGE_ROWS, SAMPLE, SAMPLE_MOST, TARGET = 12, 6, 10, 64, 50_000, 4096, 65_536, 0.95
 
 
 class Curves:
@@ -87,9 +87,19 @@ def _top(query: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.nda
         last = -np.partition(-rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(rough), -np.inf)
         for q, line, least in zip(query[i : i + step], rough, last, strict=True):
             near = np.flatnonzero((line >= least - 1e-9 * max(1.0, abs(least))) & (line > -np.inf)) if least > -np.inf else np.flatnonzero(line > -np.inf)
-            exact = (rows[near] * q).sum(axis=1)
-            best = np.lexsort((ids[near], -exact))[:k]
-            yield ids[near][best], exact[best]
+            found, scores = _first(rows, ids, q, near, k)
+            if len(found) < k and len(near) < len(line):  # repeated ids took the places of others
+                found, scores = _first(rows, ids, q, np.flatnonzero(line > -np.inf), k)
+            yield found, scores
+
+
+def _first(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best different ids of the rows `near`, by exact score and id."""
+    exact = (rows[near] * q).sum(axis=1)
+    order = np.lexsort((ids[near], -exact))
+    found, scores = ids[near][order], exact[order]
+    once = np.sort(np.unique(found, return_index=True)[1])[:k]
+    return found[once], scores[once]
 
 
 def _reach(curves: Curves, sample: np.ndarray, ids: np.ndarray, k: int, target: float) -> int:
@@ -108,10 +118,32 @@ def _reach(curves: Curves, sample: np.ndarray, ids: np.ndarray, k: int, target:
     return int(np.quantile(least, target, method="higher"))
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", segments: int = SEGMENTS, target: float = TARGET) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", segments: int | None = None, target: float = TARGET) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest rows found for every row of `is_query`."""
     marked = rows.select(F.col(key).cast("bigint").alias("_key"), F.col(vector).alias("_vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    vectors, width = of_common_width(written(usable(marked, "_key", "_vector", ["asks"]), "vectors"))
+    vectors = written(usable(marked, "_key", "_vector", ["asks"]), "vectors")
+    widths = vectors.groupBy("width").agg(F.count("*").alias("n")).orderBy("width").collect()
+    found = [_of_width(vectors.where(F.col("width") == r["width"]), r["width"], r["n"], k, segments, target) for r in widths]
+    if not found:
+        return rows.sparkSession.createDataFrame([], FOUND)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out if len(found) == 1 else _best(out, k)
+
+
+FOUND = "query_id bigint, rank int, vec_id bigint, score double"
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The best of an id that asks with vectors of several widths; a query has at most k rows of each."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_width(vectors: DataFrame, width: int, n: int, k: int, segments: int | None, target: float) -> DataFrame:
+    segments = segments or max(SEGMENTS, min(SAMPLE_MOST // 4, -(-n // RANGE_ROWS)))
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,28 +151,17 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
             yield pa.RecordBatch.from_arrays([pa.array([float((x * x).sum(axis=1).max()) if len(batch.column(0)) else 0.0])], names=["squared"])
 
     top = vectors.select("vec").mapInArrow(norms, "squared double").agg(F.max("squared")).collect()[0][0] or 0.0
-    held = vectors.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    held = vectors.select("id", "vec").orderBy(F.xxhash64("id"), "id", "vec").limit(min(SAMPLE_MOST, max(SAMPLE, 4 * segments))).collect()
     sample = np.array([np.frombuffer(r["vec"]) for r in held]).reshape(len(held), width)
     sample_ids = np.array([r["id"] for r in held], np.int64)
-    curves = Curves(sample, sample_ids, float(np.sqrt(top)), segments) if len(held) else None
-    reach = _reach(curves, sample, sample_ids, k, target) if curves else 0
+    curves = Curves(sample, sample_ids, float(np.sqrt(top)), segments)
+    reach = _reach(curves, sample, sample_ids, k, target)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, x, asks = batch.column(0).to_numpy(), matrix(batch.column(1)), np.array(batch.column(2))
-            if not len(ids):
-                continue
-            filled, wanted = curves.filled(x), np.flatnonzero(asks)
-            pointed = curves.as_query(x[wanted])
-            for c in range(len(curves.bases)):
-                own = curves.segment(c, filled, ids)
-                query = curves.segment(c, pointed, ids[wanted])
-                span = query[:, None] + np.arange(-reach, reach + 1)[None, :]
-                inside = (span >= 0) & (span < curves.segments)
-                at = np.concatenate([np.arange(len(ids)), wanted[np.nonzero(inside)[0]]])
-                segment = np.concatenate([own, span[inside]])
-                asked = np.arange(len(at)) >= len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c), pa.int32()), pa.array(segment, pa.int32()), pa.array(ids[at], pa.int64()), pa.array(asked), batch.column(1).take(pa.array(at))], names=["curve", "segment", "id", "asks", "vec"])
+        yield from _dealt(batches, curves, len(curves.bases), reach)
+
+    def dealt_to_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _dealt(batches, curves, 1, segments)
 
     def searched(group: pa.Table) -> pa.Table:
         ids, asks, x = np.array(group.column("id")), np.array(group.column("asks")), matrix(group.column("vec"))
@@ -156,9 +177,37 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
         first = np.sort(np.unique(ids, return_index=True)[1])[:k]
         return pa.table({"query_id": pa.array(np.full(len(first), query), pa.int64()), "rank": pa.array(np.arange(1, len(first) + 1), pa.int32()), "vec_id": pa.array(ids[first], pa.int64()), "score": pa.array(scores[first], pa.float64())})
 
-    met = vectors.select("id", "vec", "asks").mapInArrow(dealt, "curve int, segment int, id bigint, asks boolean, vec binary")
-    best = met.groupBy("curve", "segment").applyInArrow(searched, "query_id bigint, ids binary, scores binary")
-    return best.groupBy("query_id").applyInArrow(merged, "query_id bigint, rank int, vec_id bigint, score double")
+    def found_by(rows: DataFrame, deal) -> DataFrame:
+        met = rows.select("id", "vec", "asks").mapInArrow(deal, "curve int, segment int, id bigint, asks boolean, vec binary")
+        return met.groupBy("curve", "segment").applyInArrow(searched, "query_id bigint, ids binary, scores binary").groupBy("query_id").applyInArrow(merged, FOUND)
+
+    best = written(found_by(vectors, dealt), "nearest")
+    asked = vectors.where("asks").select(F.col("id").alias("query_id")).distinct()
+    full = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = written(asked.join(full, "query_id", "left_anti"), "short")
+    if not short.limit(1).count():
+        return best
+    again = vectors.join(short.select(F.col("query_id").alias("id"), F.lit(True).alias("_short")), "id", "left").withColumn("asks", F.col("asks") & F.coalesce("_short", F.lit(False)))
+    return best.join(short, "query_id", "left_anti").unionByName(found_by(again, dealt_to_all))
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], curves: Curves, some: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """Rows in their own range, and queries in all ranges within reach, of the first `some` curves."""
+    for batch in batches:
+        ids, x, asks = batch.column(0).to_numpy(), matrix(batch.column(1)), np.array(batch.column(2))
+        if not len(ids):
+            continue
+        filled, wanted = curves.filled(x), np.flatnonzero(asks)
+        pointed = curves.as_query(x[wanted])
+        for c in range(some):
+            own = curves.segment(c, filled, ids)
+            query = curves.segment(c, pointed, ids[wanted])
+            span = query[:, None] + np.arange(-reach, reach + 1)[None, :]
+            inside = (span >= 0) & (span < curves.segments)
+            at = np.concatenate([np.arange(len(ids)), wanted[np.nonzero(inside)[0]]])
+            segment = np.concatenate([own, span[inside]])
+            asked = np.arange(len(at)) >= len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c), pa.int32()), pa.array(segment, pa.int32()), pa.array(ids[at], pa.int64()), pa.array(asked), batch.column(1).take(pa.array(at))], names=["curve", "segment", "id", "asks", "vec"])
 
 
 def nearest_exact(vectors: dict[int, list[float]], queries: list[int], k: int) -> list[tuple[int, int, int, float]]:

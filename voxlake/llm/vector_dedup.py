@@ -7,8 +7,8 @@ at most CELL x CELL classes, so a bucket with a third of all rows is many tasks;
 all tables, and a pair counts in the first table it shares a bucket of, so nothing is counted twice and no pair leaves
 its cell. Out of a cell come link counts and a spanning set of the links.
 
-Vectors null, zero, of another length than most, or with null or non-finite components link with nothing, as do rows of
-a null label; each is its own component. Equal vectors link (their cosine is 1). Rows of a null id count as vectors of
+Vectors null, zero, or with null or non-finite components link with nothing, as do rows of a null label; each is its own
+component. Vectors of different widths have no cosine: a width is part of the label. Equal vectors link (their cosine is 1). Rows of a null id count as vectors of
 no part. An empty table gives no rows.
 """
 
@@ -16,15 +16,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import written
 from voxlake.llm.components import components
-from voxlake.llm.vectors import matrix, of_common_width, usable
+from voxlake.llm.vectors import matrix, usable
 
 #: Classes a bucket should hold, classes on either side of a cell, and the chance to miss a pair at the threshold.
 BUCKET, CELL, MISS = 64, 512, 1e-5
@@ -37,6 +39,12 @@ def plan(classes: int, labels: int, threshold: float, bucket: int = BUCKET, miss
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - alike)))
 
 
+@lru_cache(maxsize=4)
+def planes(width: int, n: int) -> np.ndarray:
+    """n random directions for vectors of a width, the same in every task."""
+    return np.random.default_rng((5, width)).normal(size=(width, n))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -44,19 +52,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept per row of `rows`."""
     mine = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
-    vectors, width = of_common_width(written(usable(mine.where("label is not null"), "id", "v", ["label"]), "vectors"))
+    vectors = written(usable(mine.where("label is not null"), "id", "v", ["label"]).select("id", "vec", F.struct("label", "width").alias("label")), "vectors")
     classes = written(vectors.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     size = classes.agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).collect()[0]
     bits, tables = plan(size["n"], size["labels"], threshold)
-    planes = np.random.default_rng(5).normal(size=(max(1, width), bits * tables))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(bits)).astype(np.int64)
         for batch in batches:
-            if batch.num_rows:
-                signs = (matrix(batch.column(1)) @ planes > 0).reshape(batch.num_rows, tables, bits)
+            widths = np.asarray(pa.compute.struct_field(batch.column(2), "width"))
+            for width in np.unique(widths).tolist():
+                part = batch.take(pa.array(np.flatnonzero(widths == width)))
+                signs = (matrix(part.column(1)) @ planes(width, bits * tables) > 0).reshape(part.num_rows, tables, bits)
                 sigs = (signs * weights).sum(axis=2).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array(list(sigs), pa.list_(pa.int32())), batch.column(2), batch.column(1), batch.column(3)], names=["rep", "sigs", "each", "label", "vec", "copies"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sigs], pa.binary()), pa.array(list(sigs), pa.list_(pa.int32())), part.column(2), part.column(1), part.column(3)], names=["rep", "sigs", "each", "label", "vec", "copies"])
 
     kind = dict(classes.dtypes)["label"]
     held = written(classes.select("rep", "vec", "label", "copies").mapInArrow(signed, f"rep bigint, sigs binary, each array<int>, label {kind}, vec binary, copies bigint"), "signed")

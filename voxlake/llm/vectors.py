@@ -22,10 +22,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(rows: DataFrame, key: str, vector: str, extra: list[str] | None = None) -> DataFrame:
-    """id, vec (float64 bytes) and `extra` of rows whose key isn't null and whose vector is neither null nor zero nor holds null or non-finite components.
-
-    Vectors of another length than most take no part either.
-    """
+    """id, vec (float64 bytes), width and `extra` of rows whose key isn't null and whose vector is neither null nor zero nor holds null or non-finite components."""
     extra = extra or []
     got = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), *[F.col(c) for c in extra]).where("id is not null and v is not null and size(v) > 0")
     schema = "id bigint, vec binary, width int" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.select(*extra).schema) if extra else "id bigint, vec binary, width int"
@@ -48,10 +45,3 @@ def usable(rows: DataFrame, key: str, vector: str, extra: list[str] | None = Non
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(vecs, pa.binary()), pa.array(widths, pa.int32()), *rest], names=["id", "vec", "width", *extra])
 
     return got.mapInArrow(run, schema)
-
-
-def of_common_width(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """The rows of the commonest width (the smaller on a tie), and that width; 0 for an empty table."""
-    top = vectors.groupBy("width").count().orderBy(F.desc("count"), "width").limit(1).collect()
-    width = top[0]["width"] if top else 0
-    return vectors.where(F.col("width") == width).drop("width"), width
