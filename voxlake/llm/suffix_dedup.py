@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from voxlake.llm.common import in_small_batches, mix, pieces, powers, prefix_hash, string_buffers
+from voxlake.llm.common import in_small_batches, mix, pieces, powers, prefix_hash, string_buffers, trimmed
 
 LENGTH = 50
 #: Least and most bytes of text in a run, and as many times a bucket's share; between them it grows with the root of all bytes, so that runs times buckets grow as the input.
 LEAST_BYTES, MOST_BYTES, ROOT_BYTES = 4 << 20, 256 << 20, 128
 PRINT_BITS = 26
-#: Suffixes that are made at once.
-STEP = 1 << 14
+#: Suffixes that are made at once, and bytes of text that are hashed at once (longer single texts form a piece of their own).
+STEP, HASHED_BYTES = 1 << 14, 1 << 18
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -114,7 +114,7 @@ class Run:
 
     def pieces(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(first row, bytes, offsets, anchor positions, their hashes, their rows in the run) without rows of a null id."""
-        for i, _, data, offsets in pieces(self.raw, self.offsets):
+        for i, _, data, offsets in pieces(self.raw, self.offsets, HASHED_BYTES):
             at, hashes = anchors(data, offsets, self.length)
             row = i + np.searchsorted(offsets, at, side="right") - 1
             use = self.known[row] if len(row) else np.zeros(0, bool)
@@ -141,6 +141,7 @@ def _prints(length: int, buckets: int):
         cut = np.searchsorted(both >> PRINT_BITS, np.arange(buckets + 1))
         rows = [b for b in range(buckets) if cut[b + 1] > cut[b]]
         low = both & ((1 << PRINT_BITS) - 1)
+        trimmed()
         return pa.table(
             {
                 "bucket": pa.array(rows, pa.int32()),
@@ -170,6 +171,7 @@ def _shared(key: tuple, rows: pa.Table) -> pa.Table:
     ends = np.cumsum([len(v) for v in lists])
     runs = rows.column("run").to_pylist()
     out = [(r, gap_coded(v[mine[e - len(v) : e]])) for r, v, e in zip(runs, lists, ends, strict=True) if mine[e - len(v) : e].any()]
+    trimmed()
     return pa.table({"run": pa.array([r for r, _ in out], pa.int64()), "kind": pa.array([0] * len(out), pa.int32()), "place": pa.array([key[0].as_py()] * len(out), pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
 
@@ -260,6 +262,7 @@ def _suffixes(length: int, buckets: int):
             out.append((p, *map(pack, (rows[:, length].tobytes(), shared, rest, rows[:, length + 1 :].tobytes(), mine.least[cut[p] : cut[p + 1]].tobytes()))))
         columns = list(zip(*out, strict=True)) or [[]] * 6
         names = ["sizes", "shared", "rest", "before", "least"]
+        trimmed()
         return pa.table({"part": pa.array(columns[0], pa.int32()), "run": pa.array([key[0].as_py()] * len(out), pa.int64())} | {n: pa.array(columns[i + 1], pa.binary()) for i, n in enumerate(names)})
 
     return run
@@ -387,6 +390,7 @@ def _answers(length: int):
         back[entry] = bits
         part = key[0].as_py()
         out = [(names[i], back[a : a + n].tobytes()) for i, a, n in zip(by_run, start.tolist(), counts.tolist(), strict=True)]
+        trimmed()
         return pa.table({"run": pa.array([r for r, _ in out], pa.int64()), "kind": pa.array([1] * len(out), pa.int32()), "place": pa.array([part] * len(out), pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
     return run
@@ -434,6 +438,7 @@ def _marked(length: int, buckets: int, derive: Derive, schema: pa.Schema):
             out["n_spans"].append(len(spans))
             for c, (_, f) in derive.items():
                 out[c].append(f(kept, spans))
+        trimmed()
         return pa.table(out, schema=schema)
 
     return run
