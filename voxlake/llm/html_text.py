@@ -5,6 +5,11 @@ around it: of the article (article, main), of the page's furniture (navigation,
 notices, comments, by element or by the words of class, id and role), or open. Scripts, styles and what else isn't text
 never become blocks.
 
+Words alone are weak evidence. Inside an article headings and headers are its own whatever they are called, ids are
+anchors unless they are one of the words as a whole, and only words that never name content (comments, adverts, sharing)
+make furniture; elements with other such words are open there. Around the article a block that is furniture by its words
+may still hold what is called main or content.
+
 Furniture that changes from page to page can only be told by its element. Open blocks are told by differencing: the
 pages of a host are sorted by URL path, each page is paired with its nearest neighbour, the block sequences of the two
 are aligned by their longest common subsequence, and shared blocks are deleted, on either page. Blocks of the article
@@ -41,7 +46,7 @@ from pyspark.sql import functions as F
 
 from voxlake.llm.common import dropped, in_small_batches, stored_bytes, written
 
-ARTICLE, OPEN, FURNITURE = 0, 1, 2
+ARTICLE, OPEN, FURNITURE, NAMED = 0, 1, 2, 3  # the last: furniture by its words alone
 #: Lists of shared blocks of up to this size in all are sent to every executor; larger ones meet the pages in a shuffled join.
 BROADCAST_BYTES = 4 << 20
 
@@ -59,6 +64,14 @@ _FURNITURE_WORD = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|banner|footer|sidebar|aside|ads?|advert|adverts|advertisement|sponsor(?:ed)?|promo|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|disqus|reply|replies|respond|widget|pagination|pager|toolbar|login|signup|search|skip|complementary|contentinfo)(?=$|[\s_-])",
     re.I,
 )
+#: Those that mark furniture even inside an article, as words of class or role, or as the whole id.
+_NEVER_CONTENT = re.compile(
+    r"(?:^|[\s_-])(?:nav|navbar|navigation|breadcrumbs?|footer|sidebar|ads?|advert|adverts|advertisement|sponsor(?:ed)?|promo|cookies?|consent|popup|modal|newsletter|subscribe|share|sharing|social|comments?|disqus|reply|replies|respond|pagination|pager|contentinfo|related(?=$|\s|[_-](?:posts|articles|links|stories|content))|recommended(?=$|\s|[_-](?:posts|articles|links|stories|content)))(?=$|[\s_-])",
+    re.I,
+)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup"}
+#: Names of what holds a page's text.
+_CONTENT_WORD = re.compile(r"(?:^|\s)(?:main|content|article|post|entry|story)(?:[_-](?:main|content|body|text|wrap|wrapper|inner|area))?(?=$|\s)", re.I)
 #: What an article element of the page's own isn't called, and words that only say how a page is laid out.
 _ASIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond|related|recommended|promo|ads?|advert|sponsored|teaser)(?=$|[\s_-])", re.I)
 _LAYOUT_WORD = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|hide|show)[_-][\w-]+", re.I)
@@ -82,13 +95,18 @@ def _role(tag: str, attributes: str, inside: int) -> int:
     marks = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
     if "hidden" in marks or marks.get("aria-hidden", "").lower() == "true":
         return FURNITURE
-    words = _LAYOUT_WORD.sub("", " ".join(marks[k] for k in ("class", "id", "role") if k in marks))
-    mark = _ASIDE_ARTICLE if tag == "article" else _FURNITURE_WORD
-    if tag not in ("html", "body", "main") and words and mark.search(words):
-        return FURNITURE
+    named, called = (_LAYOUT_WORD.sub("", " ".join(marks[k] for k in keys if k in marks)) for keys in (("class", "role"), ("class", "id", "role")))
     if tag in _ARTICLE or marks.get("role", "").lower() in ("main", "article"):
+        return NAMED if tag == "article" and called and _ASIDE_ARTICLE.search(called) else ARTICLE
+    if inside == NAMED:
+        return OPEN if called and _CONTENT_WORD.search(called) else NAMED
+    if tag in ("html", "body") or not called or not _FURNITURE_WORD.search(called):
+        return inside
+    if inside != ARTICLE:
+        return NAMED
+    if tag in _HEADINGS:
         return ARTICLE
-    return inside
+    return FURNITURE if _NEVER_CONTENT.search(named) or _NEVER_CONTENT.fullmatch(marks.get("id", "").strip()) else OPEN
 
 
 def _tag_end(page: str, at: int) -> int:
