@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import distributions as D
 from voxlake.functions import kernels as K
-from voxlake.operators import statistics
+from voxlake.operators import distance, statistics
 from voxlake.plans import generate, measure
-from voxlake.plans.catalog import BOX, SHAPE, drawn, query
+from voxlake.plans.catalog import _COVER, BOX, SHAPE, drawn, query
 from voxlake.tables import table
 
 
@@ -73,18 +73,30 @@ def marching_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slabs(spark, sf_dir).mapInPandas(run, "z int, contours int, area double")
 
 
-@query("local_thickness")
-def local_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest fitting diameter at every pore voxel, counted; a run is one task."""
+def _apart(a: str, b: str) -> str:
+    """Squared distance of two voxels, x and y around the border."""
+    short = " + ".join(f"pow(least(abs({a}.{c} - {b}.{c}), {BOX} - abs({a}.{c} - {b}.{c})), 2)" for c in "xy")
+    return f"({short} + pow({a}.z - {b}.z, 2))"
+
+
+_NEAR = f"""{_COVER}, p as materialized (select v.id, v.x, v.y, v.z from v where exists (select 1 from c where c.x = v.x and c.y = v.y and c.z = v.z)),
+q as materialized (select x, y, z from v where not exists (select 1 from c where c.x = v.x and c.y = v.y and c.z = v.z)),
+d as materialized (select p.id, p.x, p.y, p.z, min({_apart('p', 'q')}) d2 from p, q group by all)"""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((BOX, BOX, BOX), bool)
-        for z, m in zip(frame["z"], frame["mask"], strict=True):
-            mask[int(z)] = np.unpackbits(np.frombuffer(m, np.uint8))[: BOX * BOX].reshape(BOX, BOX).astype(bool)
-        values, counts = np.unique(np.round(K.local_thickness(mask)[mask], 6), return_counts=True)
-        return pd.DataFrame({"run_id": 0, "diameter": values, "n": counts})
 
-    return _slabs(spark, sf_dir).groupBy("run_id").applyInPandas(run, "run_id int, diameter double, n bigint")
+@query("squared_distances", f"{_NEAR} select x, y, z, d2::bigint d2 from d")
+def squared_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared distance of every pore voxel to the solid."""
+    return distance.squared_distances(_slabs(spark, sf_dir), SHAPE).select("x", "y", "z", "d2")
+
+
+@query(
+    "local_thickness",
+    f"{_NEAR}, t as (select a.id, max(b.d2) r2 from d a, d b where {_apart('a', 'b')} < b.d2 group by a.id) select round(2 * sqrt(r2), 6) diameter, count(*) n from t group by 1",
+)
+def local_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest fitting diameter at every pore voxel, counted."""
+    return distance.local_thickness(_slabs(spark, sf_dir), SHAPE).groupBy(F.round("diameter", 6).alias("diameter")).agg(F.count("*").alias("n"))
 
 
 def _of_triplets(spark: SparkSession, sf_dir: str, name: str, least: int, measured: Callable[[np.ndarray], float]) -> DataFrame:
