@@ -552,28 +552,33 @@ def cubic_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c[k] * a**3 / (6 * d) + c[k + 1] * b**3 / (6 * d) + (y[k] / d - c[k] * d / 6) * a + (y[k + 1] / d - c[k + 1] * d / 6) * b
 
 
+#: Degree, coefficients and initial numbers of each Sobol dimension after the first.
+SOBOL_START = [(1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3])]
+SOBOL_BITS = 30
+
+
+def sobol_directions(d: int) -> list[int]:
+    """The direction numbers of a dimension, from the lowest bit of the Gray code on."""
+    if d == 0:
+        return [1 << (SOBOL_BITS - 1 - i) for i in range(SOBOL_BITS)]
+    s, a, first = SOBOL_START[d - 1]
+    m = list(first)
+    for i in range(s, SOBOL_BITS):
+        x = m[i - s] ^ (m[i - s] << s)
+        for k in range(1, s):
+            x ^= (a >> (s - 1 - k) & 1) * (m[i - k] << k)
+        m.append(x)
+    return [m[i] << (SOBOL_BITS - 1 - i) for i in range(SOBOL_BITS)]
+
+
 def sobol(n: int, dims: int) -> np.ndarray:
     """The first n points of the unscrambled Sobol sequence in up to six dimensions, by Gray code."""
-    #: Degree, coefficients and initial numbers of each dimension after the first.
-    start = [(1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3])]
-    bits = 30
     out = np.zeros((n, dims))
     index = np.arange(n, dtype=np.int64)
     gray = index ^ (index >> 1)
     for d in range(dims):
-        if d == 0:
-            v = [1 << (bits - 1 - i) for i in range(bits)]
-        else:
-            s, a, m = start[d - 1]
-            m = list(m)
-            for i in range(s, bits):
-                x = m[i - s] ^ (m[i - s] << s)
-                for k in range(1, s):
-                    x ^= (a >> (s - 1 - k) & 1) * (m[i - k] << k)
-                m.append(x)
-            v = [m[i] << (bits - 1 - i) for i in range(bits)]
         value = np.zeros(n, np.int64)
-        for i in range(bits):
-            value ^= np.where(gray >> i & 1, v[i], 0)
-        out[:, d] = value / (1 << bits)
+        for i, v in enumerate(sobol_directions(d)):
+            value ^= np.where(gray >> i & 1, v, 0)
+        out[:, d] = value / (1 << SOBOL_BITS)
     return out
