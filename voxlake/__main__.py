@@ -85,6 +85,7 @@ def main(argv: list[str] | None = None) -> int:
     empty = {"cross_sections": f"run_id int, {measure.SECTION}", "measurements": "run_id int, porosity double"}
     sections, porosity = (spark.read.parquet(places[e]) if e in there else spark.createDataFrame([], kind) for e, kind in empty.items())
     others = {t: spark.read.parquet(f"{folder}/{t}") for t in ("centers", "points", "orientations", "channels", "distances") if exists(spark, f"{folder}/{t}")}
+    others |= {t: spark.read.parquet(f"{args.path}/{t}") for t in ("units", "curves") if exists(spark, f"{args.path}/{t}")}
     got = validate.validate(rows, sections, porosity, present, tuple(meta["shape"]), meta["spacing_A"], contract, others).collect()[0].asDict()
     if off:
         got |= {"errors": sorted(got["errors"] + off), "status": "FAIL" if got["status"] in ("PASS", "WARNING") else got["status"]}

@@ -1,4 +1,4 @@
-"""Queries on pair distance curves."""
+"""Queries on pair distance curves and on channels' curves."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import geometry as G
 from voxlake.functions.kernels import SOBOL_BITS, sobol_directions
+from voxlake.operators import curves as C
 from voxlake.operators import pair_curve as P
-from voxlake.plans.catalog import _image, query
+from voxlake.plans.catalog import _TRACKS, _image, _tracks, query
 from voxlake.plans.units import centers
 from voxlake.tables import written
 
@@ -72,3 +73,26 @@ def pair_curve_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = G.target_curve(WIDTH * F.col("bin") + WIDTH / 2, _WANTED)
     full, bare = (P.losses(c.withColumn("target", target)) for c in (curve, P.bare_curve(curve)))
     return full.join(bare.select("run_id", F.col("loss").alias("bare_loss")), "run_id").select("run_id", F.round("loss", 7).alias("loss"), F.round("bare_loss", 7).alias("bare_loss"), "peaks")
+
+
+@query(
+    "curve_facts",
+    f"""with {_TRACKS}, p as (select user_id, t, event_id, t / 3600.0::double x, value y, (event_id % 100)::double z, 1 + (event_id % 7) / 10.0::double r from e),
+a as (select *, row_number() over w i, lead(x) over w - x dx, lead(y) over w - y dy, lead(z) over w - z dz, lead(r) over w r1 from p window w as (partition by user_id order by t, event_id)),
+s as (select *, sqrt(dx * dx + dy * dy + dz * dz) step from a),
+b as (select *, lag(dx) over w bx, lag(dy) over w by_, lag(dz) over w bz, lag(step) over w bs from s window w as (partition by user_id order by i)),
+f as (select user_id, count(*) points, sum(step) arc, sum(pi() * step * (r * r + r1 * r1) / 2) volume, stddev_pop(r) / avg(r) radius_cv, min(r) / max(r) radius_ratio,
+  count(*) filter (step * bs > 0 and acos(greatest(-1, least(1, (dx * bx + dy * by_ + dz * bz) / nullif(step * bs, 0)))) > {C.BEND}) bend_count,
+  sqrt(pow(arg_max(x, i) - arg_min(x, i), 2) + pow(arg_max(y, i) - arg_min(y, i), 2) + pow(arg_max(z, i) - arg_min(z, i), 2)) chord,
+  covar_pop(x, x) xx, covar_pop(y, y) yy, covar_pop(z, z) zz, covar_pop(x, y) xy, covar_pop(x, z) xz, covar_pop(y, z) yz from b group by 1),
+q as (select *, (xx + yy + zz) / 3 q from f), c as (select *, xx - q a, yy - q b, zz - q d from q),
+g as (select *, sqrt((a * a + b * b + d * d + 2 * (xy * xy + xz * xz + yz * yz)) / 6) p from c),
+h as (select *, acos(greatest(-1, least(1, (a * (b * d - yz * yz) - xy * (xy * d - yz * xz) + xz * (xy * yz - b * xz)) / (2 * p * p * p)))) / 3 phi from g)
+select user_id, points, round(coalesce(arc, 0), 5) arc, round(chord, 5) chord, round(coalesce(volume, 0), 3) volume, round(radius_cv, 9) radius_cv, round(radius_ratio, 9) radius_ratio, bend_count,
+  round(case when points < 3 or q <= 0 then 0 when p <= 0 then 1 else sqrt(greatest(q + 2 * p * cos(phi + 2 * pi() / 3), 0) / (q + 2 * p * cos(phi))) end, 6) nonplanarity from h""",
+)
+def curve_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as curves in time, value and place, with a radius: length, swept volume, bends and flatness."""
+    rows = _tracks(spark, sf_dir).select("user_id", F.struct("t", "event_id").alias("idx"), (F.col("t") / 3600.0).alias("x"), F.col("value").alias("y"), (F.col("event_id") % 100).cast("double").alias("z"), (1 + (F.col("event_id") % 7) / 10.0).alias("radius"))
+    digits = {"arc": 5, "chord": 5, "volume": 3, "radius_cv": 9, "radius_ratio": 9, "nonplanarity": 6}
+    return C.facts(rows, ["user_id"]).select("user_id", "points", "bend_count", *[F.round(c, d).alias(c) for c, d in digits.items()])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import distributions as D
 from voxlake.functions import kernels as K
-from voxlake.operators import distance, statistics
+from voxlake.operators import curves, distance, statistics
 from voxlake.plans import generate, measure
 from voxlake.plans.catalog import _COVER, BOX, SHAPE, drawn, query
 from voxlake.tables import table
@@ -120,9 +120,33 @@ def kabsch_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of_triplets(spark, sf_dir, "rmsd", 2, lambda p: K.kabsch_rmsd(p[: (len(p) + 1) // 2], p[len(p) // 2 :]))
 
 
-@query("nonplanarity")
+@query(
+    "nonplanarity",
+    """with e as (select row_number() over () rid, vec_id, len(embedding) n, list_transform(embedding, lambda x: x::double) v, len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x))) sound from embeddings),
+p as (select rid, v[3 * i + 1] x, v[3 * i + 2] y, v[3 * i + 3] z from (select rid, v, unnest(range(n // 3)) i from e where sound)),
+c as (select rid, count(*) n, covar_pop(x, x) xx, covar_pop(y, y) yy, covar_pop(z, z) zz, covar_pop(x, y) xy, covar_pop(x, z) xz, covar_pop(y, z) yz from p group by 1),
+q as (select *, (xx + yy + zz) / 3 q from c), a as (select *, xx - q a, yy - q b, zz - q d from q),
+r as (select *, sqrt((a * a + b * b + d * d + 2 * (xy * xy + xz * xz + yz * yz)) / 6) p from a),
+f as (select *, acos(greatest(-1, least(1, (a * (b * d - yz * yz) - xy * (xy * d - yz * xz) + xz * (xy * yz - b * xz)) / (2 * p * p * p)))) / 3 phi from r)
+select vec_id, round(case when f.n is null then null when f.n < 3 or q <= 0 then 0 when p <= 0 then 1 else sqrt(greatest(q + 2 * p * cos(phi + 2 * pi() / 3), 0) / (q + 2 * p * cos(phi))) end, 6) nonplanarity from e left join f using (rid)""",
+)
 def nonplanarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _of_triplets(spark, sf_dir, "nonplanarity", 1, K.nonplanarity)
+    """Of all whole triplets of each vector; null for vectors without one and those that hold null or non-finite components."""
+    v = F.col("v")
+    n = F.floor(F.size(v) / 3).cast("int")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False)) & (F.size(v) >= 3)
+    at = F.sequence(F.lit(0), n - 1)
+    parts = rows.withColumn("n", F.when(sound, n))
+    add = lambda acc, x: acc + x
+    for k, c in enumerate("xyz"):
+        parts = parts.withColumn(c, F.when(sound, F.transform(at, lambda i: F.get(v, 3 * i + k))))  # noqa: B023
+        parts = parts.withColumn(f"m{c}", F.aggregate(c, F.lit(0.0), add) / F.col("n"))
+        parts = parts.withColumn(c, F.transform(c, lambda x: x - F.col(f"m{c}")))  # noqa: B023
+    spreads = [F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), add) / F.col("n") for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")]
+    held = parts.select("vec_id", "n", *[s.alias(f"s{i}") for i, s in enumerate(spreads)])
+    flat = F.when(F.col("n") < 3, 0.0).when(F.col("n").isNotNull(), curves.flatness(*[F.col(f"s{i}") for i in range(6)]))
+    return held.select("vec_id", F.round(flat, 6).alias("nonplanarity"))
 
 
 #: A small film for the candidate query.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.operators.curves import record_issues
 from voxlake.operators.matching import matched_points, mutual
 from voxlake.operators.reconcile import differs, reconciled, report_status
 from voxlake.plans import measure
@@ -113,13 +114,17 @@ def geometry_issues(reported: dict[str, DataFrame], anew: dict[str, DataFrame],
 def validate(voxels: DataFrame, reported_sections: DataFrame, reported_porosity: DataFrame, present: DataFrame, shape: tuple[int, int, int], spacing: float = 1.0, contract: dict | None = None, reported: dict[str, DataFrame] | None = None) -> DataFrame:
     """run_id, status and issues of every run, everything measured anew from its voxels.
 
-    reported: other tables of the measurement to be judged, see geometry_issues; those that aren't given aren't judged.
+    reported: other tables of the measurement to be judged, see geometry_issues, and units and curves, see
+    record_issues; those that aren't given aren't judged.
     """
     anew = measure.measure(voxels, shape, spacing, contract or measure.CONTRACT)
     reported = reported or {}
     paired = written(track_pairs(reported["points"], anew["points"], shape, spacing), "paired-tracks") if "points" in reported else None
     sections = renamed(reported_sections, paired) if paired is not None else reported_sections
     issues = section_issues(sections, anew["sections"]).unionByName(porosity_issues(reported_porosity, anew["porosity"]))
+    if "units" in reported and "curves" in reported:
+        records = record_issues(reported["units"], reported["curves"], ["run_id", "unit_id"])
+        issues = issues.unionByName(records.select("run_id", "code", F.concat_ws(" ", F.col("unit_id").cast("string"), "detail").alias("detail")))
     geometry = geometry_issues(reported, anew, shape, spacing, paired)
     issues = issues if geometry is None else issues.unionByName(geometry)
     missing = missing_entries(present).groupBy("run_id").agg(F.sort_array(F.collect_list("entry")).alias("missing"))
