@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 
@@ -413,49 +415,55 @@ def local_thickness(mask: np.ndarray, spacing: float = 1.0, periodic: tuple[bool
 TETRAHEDRA = ((0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7))
 
 
+_CORNER = np.array([(k & 1, k >> 1 & 1, k >> 2) for k in range(8)])
+
+
+@cache
+def _cut_cube(case: int) -> np.ndarray:
+    """(triangles, 3, 3): where the surface crosses a cube whose corner k is inside if bit k is set, as sums of the two corners of the edges it crosses in the middle, seen anticlockwise from outside."""
+    out = []
+    for tet in TETRAHEDRA:
+        on, off = [k for k in tet if case >> k & 1], [k for k in tet if not case >> k & 1]
+        if not on or not off:
+            continue
+        cut = lambda a, b: _CORNER[a] + _CORNER[b]
+        if len(on) == 2:
+            q = [cut(on[0], off[0]), cut(on[0], off[1]), cut(on[1], off[1]), cut(on[1], off[0])]
+            made = [(q[0], q[1], q[2]), (q[0], q[2], q[3])]
+        else:
+            one, rest = (on[0], off) if len(on) == 1 else (off[0], on)
+            made = [tuple(cut(one, r) for r in rest)]
+        outward = _CORNER[off].mean(axis=0) - _CORNER[on].mean(axis=0)
+        for t in made:
+            turned = np.cross(t[1] - t[0], t[2] - t[0]) @ outward < 0
+            out.append([t[0], t[2], t[1]] if turned else list(t))
+    return np.array(out, np.int64).reshape(-1, 3, 3)
+
+
+def surface_triangles(inside: np.ndarray) -> np.ndarray:
+    """(triangles, corners, xyz) of the surface between inside[z, y, x] and the rest, in twice the array's places."""
+    nz, ny, nx = inside.shape
+    case = np.zeros((max(0, nz - 1), max(0, ny - 1), max(0, nx - 1)), np.int64)
+    for k, (x, y, z) in enumerate(_CORNER.tolist()):
+        case |= inside[z : nz - 1 + z, y : ny - 1 + y, x : nx - 1 + x].astype(np.int64) << k
+    out = [np.zeros((0, 3, 3), np.int64)]
+    for c in np.unique(case).tolist():
+        shape = _cut_cube(c)
+        if len(shape):
+            at = 2 * np.argwhere(case == c)[:, ::-1]
+            out.append((at[:, None, None, :] + shape[None]).reshape(-1, 3, 3))
+    return np.concatenate(out)
+
+
 def surface(mask: np.ndarray, spacing: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(vertices xyz, faces) of the closed surface around the True cells: each cube of cell centres is cut into tetrahedra, each of which is crossed in a triangle or two.
 
     Vertices lie in the middle of the edges they cross, are shared, and moved onto the outer faces of the box.
     """
-    wide = np.pad(mask, 1)
-    nz, ny, nx = wide.shape
-    shift = [(k & 1, k >> 1 & 1, k >> 2) for k in range(8)]
-    corner = np.stack([wide[z : nz - 1 + z, y : ny - 1 + y, x : nx - 1 + x] for x, y, z in shift], axis=-1)
-    mixed = np.argwhere(corner.any(axis=-1) & ~corner.all(axis=-1))
-    vertices: dict[tuple, int] = {}
-    faces = []
-    for z, y, x in mixed.tolist():
-        inside = corner[z, y, x]
-        at = [(x + a, y + b, z + c) for a, b, c in shift]
-
-        def cut(a: int, b: int, at=at) -> int:
-            key = (min(at[a], at[b]), max(at[a], at[b]))
-            return vertices.setdefault(key, len(vertices))
-
-        for tet in TETRAHEDRA:
-            on, off = [k for k in tet if inside[k]], [k for k in tet if not inside[k]]
-            if not on or not off:
-                continue
-            if len(on) == 2:
-                q = [cut(on[0], off[0]), cut(on[0], off[1]), cut(on[1], off[1]), cut(on[1], off[0])]
-                made = [(q[0], q[1], q[2]), (q[0], q[2], q[3])]
-            else:
-                one, rest = (on[0], off) if len(on) == 1 else (off[0], on)
-                made = [tuple(cut(one, r) for r in rest)]
-            outward = np.mean([at[k] for k in off], axis=0) - np.mean([at[k] for k in on], axis=0)
-            faces += [(f, outward) for f in made]
-    if not vertices:
-        return np.zeros((0, 3)), np.zeros((0, 3), int)
-    place = np.array([(np.array(a, float) + np.array(b)) / 2 for a, b in vertices]) - 0.5
-    place = np.clip(place, 0, np.array(mask.shape[::-1], float))
-    solid = np.array([f for f, _ in faces])
-    out = np.array([o for _, o in faces])
-    raw = np.array([(np.array(a, float) + np.array(b)) / 2 for a, b in vertices])
-    normal = np.cross(raw[solid[:, 1]] - raw[solid[:, 0]], raw[solid[:, 2]] - raw[solid[:, 0]])
-    flip = (normal * out).sum(axis=1) < 0
-    solid[flip] = solid[flip][:, [0, 2, 1]]
-    return place * spacing, solid
+    found = surface_triangles(np.pad(mask, 1))
+    vertices, faces = np.unique(found.reshape(-1, 3), axis=0, return_inverse=True)
+    place = np.clip(vertices / 2 - 0.5, 0, np.array(mask.shape[::-1], float))
+    return place * spacing, faces.reshape(-1, 3)
 
 
 def mesh_volume(vertices: np.ndarray, faces: np.ndarray) -> float:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.operators import mesh
-from voxlake.plans.catalog import _COVER, _UNITS, BOX, _phase, query, spheres
+from voxlake.operators import mesh, surface
+from voxlake.plans.catalog import _COVER, _UNITS, BOX, SHAPE, _phase, drawn, query, spheres
+from voxlake.plans.measure import packed
 from voxlake.tables import table
 
 _FACES = """f as (select id * 8 + k face, cx + case when a = 0 then va * r else 0 end x1, cy + case when a = 1 then va * r else 0 end y1, cz + case when a = 2 then va * r else 0 end z1,
@@ -52,3 +53,11 @@ def mesh_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels of the spheres' phase that the octahedra's surface puts on the other side."""
     out = mesh.occupancy_mismatch(_phase(spark, sf_dir), mesh.octahedra(spheres(spark, sf_dir)))
     return out.select("n", F.round("mismatch", 9).alias("mismatch"))
+
+
+@query("surface_summary")
+def surface_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces, area and volume of the supplier phase's surface, by slabs of three layers; tests hold it against the kernel that takes the phase whole."""
+    voxels = drawn(spark, sf_dir).select(F.lit(0).alias("run_id"), "x", "y", "z", F.lit(True).alias("pore"))
+    out = surface.summary(surface.triangles(packed(voxels, SHAPE), SHAPE, 1.0, 3))
+    return out.select("run_id", "faces", F.round("area", 6).alias("area"), F.round("volume", 6).alias("volume"), "open_edges")

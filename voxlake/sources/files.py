@@ -43,8 +43,8 @@ def instance_rows(instances: DataFrame, quaternion: str = "xyzw") -> DataFrame:
 
 
 def write_text(lines: DataFrame, path: str, order: str) -> None:
-    """One text file of lines in order: a range sort, then parts one after another."""
-    lines.orderBy(order).select("value").coalesce(1).write.mode("overwrite").text(path)
+    """Lines in order as text parts whose names are in that order: one after another they are the file, and no task writes all of it."""
+    lines.orderBy(order).select("value").write.mode("overwrite").text(path)
 
 
 def fixed_decimals(columns: list[str], digits: int = 10) -> list[Column]:
