@@ -80,7 +80,7 @@ def run(spark: SparkSession, source: str, output: str, mark: str, config: dict)
 
     def take(batch: DataFrame, number: int) -> None:
         rows = entries(batch, config["size_tolerance"]).withColumn("batch", F.lit(number).cast("bigint"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "run").parquet(ledger)
+        rows.hint("rebalance", "run").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "run").parquet(ledger)  # few files a run, and a large run in several
         n = _read(spark, ledger, LEDGER).where(F.col("batch") == number).count()
         took["batches"] += 1
         took["rows"] += n
@@ -96,7 +96,7 @@ def run(spark: SparkSession, source: str, output: str, mark: str, config: dict)
     stale = behind.count()
     if stale:
         anew = summaries(rows.join(behind, "run", "left_semi"), config["warn_copies"])
-        anew.repartition("run").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(summary)
+        anew.hint("rebalance", "run").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(summary)
     took["runs"] = stale
     log.info("took %(rows)d rows in %(batches)d batches; summary written for %(runs)d runs", took)
     return took

@@ -66,11 +66,12 @@ def report(rows: DataFrame, config: dict) -> DataFrame:
 def run(spark: SparkSession, source: str, output: str, mark: str, config: dict) -> dict:
     """Writes samples and report of the table at `source`; `mark` isn't needed, as every run takes the whole table."""
     base = output.rstrip("/")
-    samples(spark.read.parquet(source), config).repartition("day", "track").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{base}/samples")
+    events = spark.read.parquet(source)
+    samples(events, config).hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{base}/samples")
     made = _read(spark, f"{base}/samples", SAMPLES)
-    report(made, config).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{base}/report")
-    wrote = {"samples": made.count(), "tracks_and_days": _read(spark, f"{base}/report", REPORT).count()}
-    log.info("read %s; wrote %d samples and %d rows of report to %s", source, wrote["samples"], wrote["tracks_and_days"], output)
+    report(made, config).hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{base}/report")
+    wrote = {"events": events.count(), "samples": made.count(), "tracks_and_days": _read(spark, f"{base}/report", REPORT).count()}
+    log.info("read %d events of %s; wrote %d samples and %d rows of report to %s", wrote["events"], source, wrote["samples"], wrote["tracks_and_days"], output)
     return wrote
 
 

@@ -1,9 +1,13 @@
 """The jobs: against DuckDB on whole tables, over growing input, on awkward rows, and run again after an interruption."""
 
 import datetime
+import json
+import os
+import subprocess
+import sys
 
 import pytest
-from conftest import SF
+from conftest import ROOT, SF
 from test_catalog import plain
 
 from jobs import artifact_ledger, registered, track_resampling
@@ -105,4 +109,26 @@ def test_resampling_on_awkward_rows(spark, tmp_path):
 
 def test_resampling_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], EVENTS).write.parquet(f"{tmp_path}/events")
-    assert track_resampling.run(spark, f"{tmp_path}/events", f"{tmp_path}/out", f"{tmp_path}/mark", config_of("track_resampling")) == {"samples": 0, "tracks_and_days": 0}
+    assert track_resampling.run(spark, f"{tmp_path}/events", f"{tmp_path}/out", f"{tmp_path}/mark", config_of("track_resampling")) == {"events": 0, "samples": 0, "tracks_and_days": 0}
+
+
+def test_a_track_that_outgrows_its_blocks(spark, tmp_path):
+    """One track holds most rows; blocks of an hour give what one block gives."""
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(i, day + datetime.timedelta(minutes=7 * i), 1 if i % 5 else 2, "error" if i % 50 == 0 else "view", float(i % 13), None) for i in range(1500)]
+    frame = spark.createDataFrame(rows, EVENTS)
+    got = [same(track_resampling.samples(frame, config_of("track_resampling") | {"spacing_s": 600, "block_s": b}).collect(), ["day", "track", "place", "value", "formal"]) for b in (3600, 10**9)]
+    assert got[0] == got[1] and len(got[0]) > 1700
+
+
+def test_command_lines(spark, tmp_path):
+    """Each in a session of its own, with a configuration file that changes a default."""
+    (tmp_path / "config.json").write_text(json.dumps({"warn_copies": False}))
+    docs = [(1, "same", "en", "s", 4, None), (2, "same", "en", "s", 4, None)]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/docs")
+    line = [sys.executable, "-m", "jobs.artifact_ledger", "--input", f"{tmp_path}/docs", "--output", f"{tmp_path}/out", "--mark", f"{tmp_path}/mark", "--config", str(tmp_path / "config.json")]
+    for rows in (2, 0):
+        done = subprocess.run(line, cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT}, capture_output=True, text=True, timeout=300)
+        assert done.returncode == 0, done.stderr
+        assert f"took {rows} rows" in done.stderr
+    assert {r["source_status"] for r in artifact_ledger.read(spark, f"{tmp_path}/out").collect()} == {"PASS"}
