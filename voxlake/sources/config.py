@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import copy
 import math
+import re
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,6 +234,82 @@ def checked(raw: dict) -> dict:
     return out
 
 
+def _without(data: dict, place: str, message: str) -> bool:
+    """Takes what an error is about out of the data; False if it isn't there."""
+    if unknown := re.match(r"unknown (?:fields|blocks) (\[.*\])$", message):
+        names = [n.strip(" '\"") for n in unknown[1].strip("[]").split(",")]
+    else:
+        place, _, last = place.rpartition(".")
+        names = [last]
+    at: Any = data
+    for part in filter(None, re.split(r"[.\[\]]+", place)):
+        at = at[int(part)] if isinstance(at, list) and part.isdigit() else at.get(part) if isinstance(at, dict) else None
+    if not isinstance(at, dict) or not any(n in at for n in names):
+        return False
+    for n in names:
+        at.pop(n, None)
+    return True
+
+
+def collected(raw: dict) -> tuple[dict | None, dict, list[tuple[str, str]]]:
+    """(configuration, what was good of it, issues as (place, message)): goes on after an error without the value it is about, so that defaults stand in.
+
+    The configuration is None where something is missing that has no default, or an error isn't about one value.
+    """
+    good, issues = copy.deepcopy(raw) if isinstance(raw, dict) else {}, []
+    if not isinstance(raw, dict):
+        return None, good, [("", "a configuration is a mapping")]
+    while True:
+        try:
+            return checked(copy.deepcopy(good)), good, issues
+        except ConfigError as e:
+            place, _, message = str(e).partition(": ") if ": " in str(e) else ("", "", str(e))
+            known = any(p == place for p, _ in issues)
+            if not known:  # what is missing because it was taken out has been said
+                issues.append((place, message))
+            if known or not _without(good, place, message):
+                return None, good, issues
+        except (AttributeError, KeyError, TypeError, ValueError) as e:
+            return None, good, [*issues, ("", f"{type(e).__name__}: {e}")]
+
+
+def blocks_of(text: str) -> tuple[dict, list[tuple[str, str]]]:
+    """(mapping, issues) of YAML text; if it doesn't parse as a whole, of each of its top-level blocks that does."""
+    import yaml
+
+    def parsed(part: str) -> dict:
+        got = yaml.safe_load(part)
+        if got is not None and not isinstance(got, dict):
+            raise yaml.YAMLError("a mapping is needed")
+        return got or {}
+
+    try:
+        return parsed(text), []
+    except yaml.YAMLError:
+        out, issues = {}, []
+        for part in re.split(r"(?m)^(?=[^\s#\-])", text):
+            try:
+                out |= parsed(part)
+            except yaml.YAMLError as e:
+                mark = getattr(e, "problem_mark", None)
+                issues.append((part.partition(":")[0].strip(), f"{getattr(e, 'problem', None) or e}" + (f" (line {mark.line + 1} of the block)" if mark else "")))
+        return out, issues
+
+
+def scanned(spark: SparkSession, path: str) -> DataFrame:
+    """file, place and message of everything that is wrong with configuration files: a row a fault, none for sound files. Files are read and checked where they are."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for name, raw in zip(frame["path"], frame["content"], strict=True):
+                data, issues = blocks_of(bytes(raw).decode("utf-8", "replace"))
+                rows += [(name, *i) for i in [*issues, *collected(data)[2]]]
+            yield pd.DataFrame(rows, columns=["file", "place", "message"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, place string, message string")
+
+
 def load(path: str) -> dict:
     """A YAML configuration; a relative molecule file is looked for beside it."""
     import yaml

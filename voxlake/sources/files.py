@@ -15,6 +15,7 @@ from pathlib import Path
 from zoneinfo import ZoneInfo
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,8 +97,43 @@ def glb(vertices: np.ndarray, faces: np.ndarray, metadata: dict | None = None) -
     return struct.pack("<III", 0x46546C67, 2, 12 + len(chunks)) + chunks
 
 
+def _matrix(node: dict) -> np.ndarray:
+    """A node's transform: its matrix, or translation times rotation times scale."""
+    if "matrix" in node:
+        return np.array(node["matrix"], float).reshape(4, 4).T  # stored by column
+    out = np.eye(4)
+    x, y, z, w = node.get("rotation", (0, 0, 0, 1))
+    turn = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+    out[:3, :3] = turn * np.array(node.get("scale", (1, 1, 1)), float)
+    out[:3, 3] = node.get("translation", (0, 0, 0))
+    return out
+
+
+def placed_meshes(scene: dict) -> list[tuple[int, np.ndarray]]:
+    """(mesh, transform) of every node of the scene shown that has a mesh, transforms composed from the root down; all meshes as they are if there are no nodes."""
+    nodes = scene.get("nodes", [])
+    if not nodes:
+        return [(i, np.eye(4)) for i in range(len(scene.get("meshes", [])))]
+    scenes = scene.get("scenes", [])
+    children = {c for n in nodes for c in n.get("children", [])}
+    roots = scenes[scene.get("scene", 0)].get("nodes", []) if scenes else [i for i in range(len(nodes)) if i not in children]
+    out, open_ = [], [(i, np.eye(4), frozenset()) for i in reversed(roots)]
+    while open_:
+        i, above, path = open_.pop()
+        if i in path:
+            raise ValueError("a node is its own descendant")
+        here = above @ _matrix(nodes[i])
+        if "mesh" in nodes[i]:
+            out.append((nodes[i]["mesh"], here))
+        open_ += [(c, here, path | {i}) for c in reversed(nodes[i].get("children", []))]
+    return out
+
+
 def read_glb(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """All triangles of a binary glTF file as one mesh."""
+    """All triangles of a binary glTF file's scene as one mesh, each where its nodes put it; mirrored ones keep facing outwards.
+
+    Strips and fans are triangles too; points and lines are left out. Interleaved and normalised accessors are read as they are laid out, sparse ones refused.
+    """
     magic, version, _ = struct.unpack_from("<III", raw)
     if magic != 0x46546C67 or version != 2:
         raise ValueError("no binary glTF of version 2")
@@ -107,24 +143,56 @@ def read_glb(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         chunks[kind] = raw[at + 8 : at + 8 + size]
         at += 8 + size
     scene, body = json.loads(chunks[0x4E4F534A]), chunks.get(0x004E4942, b"")
-    kinds, width = {5121: "u1", 5123: "<u2", 5125: "<u4", 5126: "<f4"}, {"SCALAR": 1, "VEC3": 3}
+    kinds, width = {5120: "i1", 5121: "u1", 5122: "<i2", 5123: "<u2", 5125: "<u4", 5126: "<f4"}, {"SCALAR": 1, "VEC3": 3}
 
     def accessor(i: int) -> np.ndarray:
         a = scene["accessors"][i]
-        start = scene["bufferViews"][a["bufferView"]].get("byteOffset", 0) + a.get("byteOffset", 0)
-        return np.frombuffer(body, kinds[a["componentType"]], a["count"] * width[a["type"]], start).reshape(a["count"], -1)
+        if "sparse" in a:
+            raise ValueError("sparse accessors aren't read")
+        kind, n = np.dtype(kinds[a["componentType"]]), width[a["type"]]
+        if "bufferView" not in a:
+            return np.zeros((a["count"], n), kind)
+        view = scene["bufferViews"][a["bufferView"]]
+        start, stride = view.get("byteOffset", 0) + a.get("byteOffset", 0), view.get("byteStride") or n * kind.itemsize
+        if a["count"] and start + stride * (a["count"] - 1) + n * kind.itemsize > len(body):
+            raise ValueError("an accessor goes beyond its buffer")
+        values = np.ndarray((a["count"], n), kind, body, start, (stride, kind.itemsize))
+        return values / np.iinfo(kind).max if a.get("normalized") and kind.kind in "iu" else values
 
     points, faces, base = [np.zeros((0, 3))], [np.zeros((0, 3), int)], 0
-    for mesh in scene.get("meshes", []):
-        for p in mesh["primitives"]:
+    for mesh, transform in placed_meshes(scene):
+        for p in scene["meshes"][mesh]["primitives"]:
+            mode = p.get("mode", 4)
+            if mode < 4 or "POSITION" not in p["attributes"]:
+                continue
             v = accessor(p["attributes"]["POSITION"]).astype(float)
-            f = accessor(p["indices"]).reshape(-1, 3).astype(int) if "indices" in p else np.arange(len(v)).reshape(-1, 3)
-            points.append(v)
-            faces.append(f + base)
+            i = accessor(p["indices"]).ravel().astype(int) if "indices" in p else np.arange(len(v))
+            k = np.arange(max(0, len(i) - 2))
+            f = i[: len(i) // 3 * 3].reshape(-1, 3) if mode == 4 else np.stack([i[k + k % 2], i[k + 1 - k % 2], i[k + 2]], axis=1) if mode == 5 else np.stack([np.broadcast_to(i[:1], len(k)), i[k + 1], i[k + 2]], axis=1)
+            points.append(v @ transform[:3, :3].T + transform[:3, 3])
+            faces.append((f[:, ::-1] if np.linalg.det(transform[:3, :3]) < 0 else f) + base)
             base += len(v)
     return np.concatenate(points), np.concatenate(faces)
 
 
+def scene_triangles(spark: SparkSession, path: str) -> DataFrame:
+    """file, face and corners x1 .. z3 (see operators.mesh) of binary glTF files, and error, for a file that can't be read, in a row of its own; a file is a task's."""
+    from voxlake.operators.mesh import CORNERS
+
+    def run(frames):
+        for frame in frames:
+            for name, raw in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    v, f = read_glb(bytes(raw))
+                    out = pd.DataFrame(v[f].reshape(-1, 9), columns=CORNERS)
+                    yield pd.concat([pd.DataFrame({"file": name, "face": np.arange(len(f))}), out, pd.DataFrame({"error": pd.Series([None] * len(f), dtype=object)})], axis=1)
+                except (ValueError, KeyError, IndexError, TypeError, struct.error) as e:
+                    yield pd.DataFrame([{"file": name, "face": None, **dict.fromkeys(CORNERS), "error": f"{type(e).__name__}: {e}"}]).astype({"face": "Int64", **dict.fromkeys(CORNERS, float)})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "file string, face bigint, " + ", ".join(f"{c} double" for c in CORNERS) + ", error string")
+
+
 def ply(vertices: np.ndarray, faces: np.ndarray) -> str:
     head = ["ply", "format ascii 1.0", f"element vertex {len(vertices)}", *[f"property float {c}" for c in "xyz"], f"element face {len(faces)}", "property list uchar int vertex_indices", "end_header"]
     return "\n".join([*head, *[" ".join(f"{x:.6f}" for x in v) for v in vertices], *[f"3 {a} {b} {c}" for a, b, c in faces]]) + "\n"
