@@ -576,7 +576,7 @@ def scale_bisection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Queries of the plans beside this module."""
-    from voxlake.plans import curves, film, kernels, more, surfaces, units  # noqa: F401
+    from voxlake.plans import curves, filling, film, kernels, more, surfaces, units  # noqa: F401
 
 
 load()
