@@ -33,6 +33,7 @@ def main(argv: list[str] | None = None) -> int:
         sub.add_argument("path", help="a configuration, or the folder of a stored phase")
         sub.add_argument("--out", help="folder to write to")
         sub.add_argument("--candidates", type=int)
+        sub.add_argument("--replay", action="store_true", help="generate: evaluate the chosen candidate again, and fail if anything differs")
     args = parser.parse_args(argv)
     from voxlake.sources import config as configs
 
@@ -57,6 +58,11 @@ def main(argv: list[str] | None = None) -> int:
         results = generate.evaluated(tasks, made)
         best = generate.chosen(results, made["porosity"]).collect()
         print(json.dumps([r.asDict() for r in results.orderBy("sequence_index").collect()]))  # a row a candidate
+        if best and args.replay:
+            differing = generate.replayed(results, results.where(results.sequence_index == best[0]["sequence_index"]), made).first()["differing"]
+            if differing:
+                print(json.dumps({"replay": "differs", "columns": differing}))
+                return 1
         if best and args.out:
             one = tasks.where(tasks.sequence_index == best[0]["sequence_index"])
             shape = tuple(round(b / made["spacing"]) for b in made["box"])

@@ -230,3 +230,13 @@ def evaluated(tasks: DataFrame, config: dict) -> DataFrame:
 def chosen(results: DataFrame, target: float) -> DataFrame:
     """The first candidate that passed its audit; else, of those that have one, the porosity nearest the target."""
     return select_candidate(results.where("succeeded"), F.col("audit_passed"), "porosity", target, "sequence_index")
+
+
+def replayed(results: DataFrame, winner: DataFrame, config: dict) -> DataFrame:
+    """sequence_index, same and differing: the winner evaluated once more from its seed, and the columns of its row that come out otherwise. A candidate must not depend on where or when it ran."""
+    kept = written(winner.select(results.columns), "winner")
+    again = evaluated(kept.select("sequence_index", "seed"), config)
+    columns = [c for c in kept.columns if c != "sequence_index"]
+    both = kept.select("sequence_index", F.struct(*columns).alias("_a")).join(again.select("sequence_index", F.struct(*columns).alias("_b")), "sequence_index", "left")
+    off = F.array_compact(F.array(*[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in columns]))
+    return both.select("sequence_index", off.alias("differing")).select("sequence_index", (F.size("differing") == 0).alias("same"), "differing")
