@@ -108,3 +108,53 @@ def test_no_units(spark):
     assert U.assembled(centers(spark, 1, 1).limit(0), plan.CONFIG).count() == 0
     one = U.assembled(centers(spark, 1, 1), plan.CONFIG).collect()
     assert len(one) == 1 and one[0]["kind"] == "compact"
+
+
+SHAPE, SPACING = (12, 10, 8), 2.0
+BOX = tuple(n * SPACING for n in SHAPE)
+SMALL = plan.CONFIG | {"box": list(BOX), "channel": {k: v for k, v in plan.CONFIG["channel"].items() if k != "diameter"}}
+
+
+def inside_any(units, lines):
+    """Plain numpy over all voxels, all periodic images and all pieces."""
+    at = np.stack(np.meshgrid(*[(np.arange(n) + 0.5) * SPACING for n in SHAPE], indexing="ij"), axis=-1).reshape(-1, 3)
+    out = np.zeros(len(at), bool)
+    shifts = [(i * BOX[0], j * BOX[1], 0) for i in range(-2, 3) for j in range(-2, 3)]
+    for u in units:
+        for s in shifts:
+            p = at + s
+            if u["kind"] == "compact":
+                off = p - [u["x"], u["y"], u["z"]]
+                along = off @ [u["dx"], u["dy"], u["dz"]]
+                out |= ((off**2).sum(1) - along**2) / u["minor_radius"] ** 2 + along**2 / u["major_radius"] ** 2 < 1
+            else:
+                points = np.array([(r["x"], r["y"], r["z"]) for r in sorted(lines[u["unit_id"]], key=lambda r: r["place"])])
+                for a, b in zip(points, points[1:], strict=False):
+                    t = np.clip((p - a) @ (b - a) / ((b - a) @ (b - a)), 0, 1)
+                    out |= ((p - a - t[:, None] * (b - a)) ** 2).sum(1) < (u["diameter"] / 2) ** 2
+    return {tuple(int(c) for c in np.round(v / SPACING - 0.5)) for v in at[out]}
+
+
+def test_units_drawn_into_voxels(spark):
+    made = U.assembled(centers(spark, 2, 9), SMALL).cache()
+    lines = U.centerlines(made)
+    got = {}
+    for r in U.covered(made, lines, SHAPE, SPACING).collect():
+        got.setdefault(r["run_id"], set()).add((r["x"], r["y"], r["z"]))
+    points = {}
+    for r in lines.collect():
+        points.setdefault((r["run_id"], r["unit_id"]), []).append(r)
+    for run in range(2):
+        mine = [u for u in made.collect() if u["run_id"] == run]
+        assert got[run] == inside_any(mine, {u: rows for (r, u), rows in points.items() if r == run})
+
+
+def test_scales_that_give_a_porosity(spark):
+    made = U.assembled(centers(spark, 2, 9), SMALL).cache()
+    got = {r["run_id"]: r for r in U.solved_scales(made, 0.28, SHAPE, SPACING, each=6, rounds=3).collect()}
+    for run in range(2):
+        assert abs(got[run]["porosity"] - 0.28) <= 0.01
+        again = U.porosities(made, spark.createDataFrame([(run, got[run]["scale"])], "run_id int, scale double"), SHAPE, SPACING).first()
+        assert again["porosity"] == got[run]["porosity"]
+    larger = U.scaled(made, F.lit(2.0))
+    assert math.isclose(larger.agg(F.sum("volume")).first()[0], 8 * made.agg(F.sum("volume")).first()[0])

@@ -15,12 +15,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.functions import distributions as D
 from voxlake.functions import geometry as G
 from voxlake.operators.ordered import ranked
+from voxlake.tables import written
 
 #: Straight pieces of a channel, and turns of its coil.
 PIECES, TURNS = 16, 2
@@ -207,3 +208,84 @@ def ks_by_group(samples: DataFrame, by: list[str], value: str, cdf: Column) -> D
     placed = ranked(samples.where(F.col(value).isNotNull()).withColumn("_f", cdf).select(*by, F.col(value), "_f"), by, [value])
     upper, lower = F.max(F.abs((F.col("rank") + 1) / F.col("n") - F.col("_f"))), F.max(F.abs(F.col("_f") - F.col("rank") / F.col("n")))
     return placed.groupBy(*by).agg(F.first("n").alias("n"), F.greatest(upper, lower).alias("ks"))
+
+
+def _span(low: Column, high: Column, spacing: float, n: int | None) -> Column:
+    """Voxels whose centres may lie between two places; within 0 .. n - 1 if n is given."""
+    first, last = F.ceil(low / spacing - 0.5), F.floor(high / spacing - 0.5)
+    if n is not None:
+        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(n - 1))
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def covered(units: DataFrame, lines: DataFrame, shape: tuple[int, int, int], spacing: float, by: list[str] | None = None) -> DataFrame:
+    """by, x, y, z of the voxels whose centre lies in any unit: in the capsule of a channel's piece, or in the ellipsoid of a compact unit.
+
+    Each piece and each body walks through its own bounding box; x and y wrap, z doesn't. by: what keeps phases apart,
+    run_id without it; `lines` has it too.
+    """
+    by = by or ["run_id"]
+    nx, ny, nz = shape
+    follow = Window.partitionBy(*by, "unit_id").orderBy("place")  # as many rows as a channel has points
+    ahead = lines.select(*by, "unit_id", "place", *[F.col(c).alias(f"a{c}") for c in "xyz"], *[F.lead(c).over(follow).alias(f"b{c}") for c in "xyz"]).where("bx is not null")
+    radius = units.where(F.col("kind") == CHANNEL).select(*by, "unit_id", (F.col("diameter") / 2).alias("r"))
+    pieces = ahead.join(radius, [*by, "unit_id"]).select(*by, "ax", "ay", "az", "bx", "by", "bz", "r")
+    boxed = pieces.select(*by, F.struct("ax", "ay", "az", "bx", "by", "bz", "r").alias("s"), *[(F.least(f"a{c}", f"b{c}") - F.col("r")).alias(f"l{c}") for c in "xyz"], *[(F.greatest(f"a{c}", f"b{c}") + F.col("r")).alias(f"h{c}") for c in "xyz"])
+
+    def walked(rows: DataFrame) -> DataFrame:
+        for c, n in (("z", nz), ("y", None), ("x", None)):
+            rows = rows.withColumn(f"v{c}", F.explode(_span(F.col(f"l{c}"), F.col(f"h{c}"), spacing, n)))
+        return rows
+
+    centre = {c: (F.col(f"v{c}") + 0.5) * spacing for c in "xyz"}
+    s = F.col("s")
+    way = [s[f"b{c}"] - s[f"a{c}"] for c in "xyz"]
+    off = [centre[c] - s[f"a{c}"] for c in "xyz"]
+    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    t = F.least(F.greatest(F.coalesce(dot(off, way) / F.nullif(dot(way, way), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    rest = [o - t * w for o, w in zip(off, way, strict=True)]
+    tubes = walked(boxed).where(dot(rest, rest) < s["r"] * s["r"])
+    bodies = units.where(F.col("kind") == COMPACT).select(*by, F.struct("x", "y", "z", "dx", "dy", "dz", "minor_radius", "major_radius").alias("s"), *[(F.col(c) - F.greatest("minor_radius", "major_radius")).alias(f"l{c}") for c in "xyz"], *[(F.col(c) + F.greatest("minor_radius", "major_radius")).alias(f"h{c}") for c in "xyz"])
+    from_middle = [centre[c] - s[c] for c in "xyz"]
+    along = dot(from_middle, [s[f"d{c}"] for c in "xyz"])
+    across = dot(from_middle, from_middle) - along * along
+    filled = walked(bodies).where(across / (s["minor_radius"] * s["minor_radius"]) + along * along / (s["major_radius"] * s["major_radius"]) < 1)
+    at = [F.pmod("vx", F.lit(nx)).cast("int").alias("x"), F.pmod("vy", F.lit(ny)).cast("int").alias("y"), F.col("vz").cast("int").alias("z")]
+    return tubes.select(*by, *at).unionByName(filled.select(*by, *at)).distinct()
+
+
+def scaled(units: DataFrame, scale: Column) -> DataFrame:
+    """Units made larger about their own centres: lengths by the scale, volumes by its cube."""
+    lengths = ["diameter", "chord", "coil_radius", "minor_radius", "major_radius"]
+    out = units.withColumn("volume", F.col("volume") * scale * scale * scale)
+    for c in lengths:
+        out = out.withColumn(c, F.col(c) * scale)
+    return out
+
+
+def porosities(units: DataFrame, scales: DataFrame, shape: tuple[int, int, int], spacing: float) -> DataFrame:
+    """run_id, scale and porosity of every (run_id, scale): all of them in one job."""
+    by = ["run_id", "scale"]
+    larger = scaled(units.join(scales, "run_id"), F.col("scale"))
+    lines = centerlines(larger.withColumn("unit_id", F.struct("scale", "unit_id"))).select("run_id", F.col("unit_id.scale").alias("scale"), F.col("unit_id.unit_id").alias("unit_id"), "place", "x", "y", "z")
+    counts = covered(larger, lines, shape, spacing, by).groupBy(*by).agg(F.count("*").alias("n"))
+    return scales.join(counts, by, "left").select(*by, (F.coalesce("n", F.lit(0)) / F.lit(float(shape[0] * shape[1] * shape[2]))).alias("porosity"))
+
+
+def solved_scales(units: DataFrame, target: float, shape: tuple[int, int, int], spacing: float, low: float = 0.1, high: float = 10.0, each: int = 7, rounds: int = 4) -> DataFrame:
+    """run_id, scale and porosity: of all scales tried, the one whose porosity is nearest the target, the smaller one on a tie.
+
+    Porosity grows with the scale. A round tries `each` scales between each run's bounds, evenly in their logarithm,
+    and the next goes on between the two around the target: after r rounds bounds are (each + 1)**r times as close.
+    """
+    bounds = units.select("run_id").distinct().select("run_id", F.lit(low).alias("low"), F.lit(high).alias("high"))
+    tried = None
+    for _ in range(rounds):
+        bounds = written(bounds, "bounds")
+        steps = F.transform(F.sequence(F.lit(1), F.lit(each)), lambda i: F.col("low") * F.pow(F.col("high") / F.col("low"), i / F.lit(each + 1.0)))
+        found = written(porosities(units, bounds.select("run_id", F.explode(steps).alias("scale")), shape, spacing), "porosities")
+        tried = found if tried is None else tried.unionByName(found)
+        around = found.groupBy("run_id").agg(F.max(F.when(F.col("porosity") < target, F.col("scale"))).alias("_low"), F.min(F.when(F.col("porosity") >= target, F.col("scale"))).alias("_high"))
+        bounds = bounds.join(around, "run_id").select("run_id", F.coalesce("_low", "low").alias("low"), F.coalesce("_high", "high").alias("high"))
+    best = F.min(F.struct(F.abs(F.col("porosity") - target).alias("off"), "scale", "porosity")).alias("b")
+    return tried.groupBy("run_id").agg(best).select("run_id", "b.scale", "b.porosity")

@@ -9,8 +9,7 @@ from voxlake.functions import geometry as G
 from voxlake.functions.kernels import SOBOL_BITS, sobol_directions
 from voxlake.operators import curves as C
 from voxlake.operators import pair_curve as P
-from voxlake.plans.catalog import _TRACKS, _image, _tracks, query
-from voxlake.plans.units import centers
+from voxlake.plans.catalog import _TRACKS, _image, _tracks, centers, query
 from voxlake.tables import written
 
 BOX, WIDTH, BINS = (100.0, 100.0, 100.0), 5.0, 10

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.operators import units as U
-from voxlake.plans.catalog import query
-from voxlake.tables import table, written
+from voxlake.plans.catalog import centers, query
+from voxlake.tables import written
 
 
 def between(low: float, high: float, alpha: float = 1.0, beta: float = 1.0) -> dict:
@@ -25,13 +25,6 @@ CONFIG = {
 KS_LIMIT = 0.2
 
 
-def centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as centres of their nations' films."""
-    k = F.col("c_custkey")
-    place = [((k * m) % q / 10.0).alias(c) for c, m, q in (("x", 37, 1000), ("y", 61, 997), ("z", 29, 991))]
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("run_id"), k.alias("unit_id"), (F.col("c_nationkey") + 20260000).cast("bigint").alias("seed"), *place)
-
-
 def _beta(level: str, spec: dict) -> str:
     return f"({spec['lower']}::double + {spec['upper'] - spec['lower']}::double * (1 - pow(1 - {level}, {1 / spec['beta']}::double)))"
 
@@ -138,3 +131,44 @@ def units_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Films whose units' diameters, shapes and angles, measured again from points and half axes, follow the targets."""
     made = written(U.assembled(centers(spark, sf_dir), CONFIG), "units")
     return audit(made, CONFIG).select("run_id", "quantity", "n", F.round("ks", 6).alias("ks"), "passed")
+
+
+SHAPE, SPACING = (20, 20, 20), 5.0
+
+
+def _phase_sql() -> str:
+    """Voxels by walking through the same bounding boxes."""
+    norm = "sqrt(n1x * n1x + n1y * n1y + n1z * n1z)"
+    turn = f"(phase + hand * i * {2 * U.TURNS / U.PIECES}::double * pi())"
+    box = lambda low, high, n: f"generate_series({'greatest(0, ' if n else ''}ceil(({low}) / {SPACING}::double - 0.5)::bigint{')' if n else ''}, {'least(19, ' if n else ''}floor(({high}) / {SPACING}::double - 0.5)::bigint{')' if n else ''})"
+    tube = ", ".join(f"unnest({box(f'least(s{c}, e{c}) - r', f'greatest(s{c}, e{c}) + r', c == 'z')}) v{c}" for c in "z")
+    at = lambda c: f"((v{c} + 0.5) * {SPACING}::double)"
+    return f"""{_sql(CONFIG)},
+w2 as (select *, 1 / long dx, ty / long dy, tz / long dz, {_COIL} coil, {_uniform("'phase'")} * 2 * pi() phase, case when {_uniform("'hand'")} < 0.5 then -1.0::double else 1.0::double end hand from f),
+ch as (select *, case when abs(dz) > 0.85 then 0 else dy end n1x, case when abs(dz) > 0.85 then dz else -dx end n1y, case when abs(dz) > 0.85 then -dy else 0 end n1z from w2 where channel = 1),
+ax as (select *, n1x / {norm} ux, n1y / {norm} uy, n1z / {norm} uz from ch),
+bx as (select *, dy * uz - dz * uy wx, dz * ux - dx * uz wy, dx * uy - dy * ux wz, unnest(range({U.PIECES + 1})) i from ax),
+pt as (select run_id, unit_id, i, diameter / 2 r, {', '.join(f"{c} + (i / {float(U.PIECES)}::double - 0.5) * chord * d{c} + coil * (cos({turn}) - cos(phase)) * u{c} + coil * (sin({turn}) - sin(phase)) * w{c} p{c}" for c in 'xyz')} from bx),
+sg as (select run_id, r, {', '.join(f"p{c} s{c}, lead(p{c}) over (partition by run_id, unit_id order by i) e{c}" for c in 'xyz')} from pt),
+s1 as (select *, {tube} from sg where ex is not null),
+s2 as (select *, unnest({box('least(sy, ey) - r', 'greatest(sy, ey) + r', False)}) vy from s1),
+s3 as (select *, unnest({box('least(sx, ex) - r', 'greatest(sx, ex) + r', False)}) vx from s2),
+s4 as (select *, {', '.join(f'{at(c)} - s{c} o{c}' for c in 'xyz')}, {', '.join(f'e{c} - s{c} w{c}' for c in 'xyz')} from s3),
+s5 as (select *, least(greatest(coalesce((ox * wx + oy * wy + oz * wz) / nullif(wx * wx + wy * wy + wz * wz, 0), 0), 0), 1) t from s4),
+tubes as (select run_id, vx, vy, vz from s5 where pow(ox - t * wx, 2) + pow(oy - t * wy, 2) + pow(oz - t * wz, 2) < r * r),
+e0 as (select *, minor_radius * eta major from w2 where channel = 0),
+e1 as (select *, unnest({box('z - greatest(minor_radius, major)', 'z + greatest(minor_radius, major)', True)}) vz from e0),
+e2 as (select *, unnest({box('y - greatest(minor_radius, major)', 'y + greatest(minor_radius, major)', False)}) vy from e1),
+e3 as (select *, unnest({box('x - greatest(minor_radius, major)', 'x + greatest(minor_radius, major)', False)}) vx from e2),
+e4 as (select *, {', '.join(f'{at(c)} - {c} o{c}' for c in 'xyz')} from e3), e5 as (select *, ox * dx + oy * dy + oz * dz along from e4),
+bodies as (select run_id, vx, vy, vz from e5 where (ox * ox + oy * oy + oz * oz - along * along) / (minor_radius * minor_radius) + along * along / (major * major) < 1),
+cells as (select distinct run_id, ((vx % 20) + 20) % 20 x, ((vy % 20) + 20) % 20 y, vz z from (select * from tubes union all select * from bodies))
+select run_id, count(*) voxels, round(count(*) / 8000.0::double, 9) porosity from cells group by run_id"""
+
+
+@query("unit_phases", _phase_sql())
+def unit_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Porosity of the films that the assembled units make on a lattice of 20 a side."""
+    made = written(U.assembled(centers(spark, sf_dir), CONFIG), "units")
+    found = U.covered(made, U.centerlines(made), SHAPE, SPACING).groupBy("run_id").agg(F.count("*").alias("voxels"))
+    return found.select("run_id", "voxels", F.round(F.col("voxels") / 8000.0, 9).alias("porosity"))
