@@ -5,7 +5,8 @@ encoder takes the longest one, and steps back to a shorter token, or to the one
 is one that merging in rank order could not have left; `PairTable` answers that and remembers. Each byte is entered at
 most once per failed end, so the work is linear in the pre-token, and the result is that of the merges exactly.
 
-Null texts are empty and give no tokens.
+Null texts are empty and give no tokens. Texts of any length are encoded whole. Rows of one id, of a null id and of equal
+texts are rows of their own, and an empty table gives none. Only doc_id and text are read of other columns.
 """
 
 from __future__ import annotations

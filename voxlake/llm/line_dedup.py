@@ -6,8 +6,8 @@ back to the pages as one array of hashes per host.
 
 A null host is a host of its own. A null text has no lines and stays null; lines of blanks are neither counted nor
 dropped. A line counts once per page however often it repeats there, and every repeat goes. Hosts under
-`min_host_pages` pages, and lines on fewer than `min_pages`, are left alone. An empty table gives no rows. Columns `n_lines` and `n_dropped` are replaced; all others come back as they
-were, whatever their names.
+`min_host_pages` pages, and lines on fewer than `min_pages`, are left alone. An empty table gives no rows. Columns
+`n_lines` and `n_dropped` are replaced; all others come back as they were, whatever their names.
 
 Each row is a page. With `copies_once`, rows of one host with the same text (by a 64-bit hash; null texts too) are one
 page together, in lines and totals alike: a text that is copied often doesn't make boilerplate of its own lines.

@@ -9,7 +9,9 @@ temperature fitted on texts kept aside makes it a probability.
 
 Fitted on the driver on at most ONES + ZEROS labelled texts (whole ones, the first by a hash of their id), weighed to
 the classes' true shares. Without labels of both kinds every score is the share of label 1, or 1 without any label.
-Every text is scored whole; null, empty and wordless texts have a zero vector and what the network makes of it.
+Every text is scored whole; null, empty and wordless texts have a zero vector and what the network makes of it. Equal
+texts have equal scores. An empty table gives no rows; other columns come back as they were, but for one named like the
+score, which is replaced.
 """
 
 from __future__ import annotations

@@ -2,12 +2,13 @@
 
 Terms are the letter runs of a text, ASCII in lower case, and their first 4, 5 and 6 bytes, hashed to 2**BITS buckets;
 a text has each term once. Of the buckets the machine takes those that label 1 has more often, by a likelihood ratio of
-at least LEAST; terms of clean texts say nothing, as a clean passage doesn't make up for an insult. To a bias and a weight for each term it adds, for each pair of terms in a text, the product
-of their factor vectors, so that two terms can mean what neither means alone.
+at least LEAST; terms of clean texts say nothing, as a clean passage doesn't make up for an insult. To a bias and a weight for each term it adds, for each
+pair of terms in a text, the product of their factor vectors, so that two terms can mean what neither means alone.
 
 Fitted on the driver on at most POSITIVES + NEGATIVES labelled texts (whole ones, the first by a hash of their id);
 without labels of both kinds every score is the share of label 1, or 0 without any label. Every text is scored whole,
-null texts as empty ones. Equal texts have equal scores.
+null texts as empty ones. Equal texts have equal scores. An empty table gives no rows; other columns come back as they
+were, but for one named like the score, which is replaced.
 """
 
 from __future__ import annotations
