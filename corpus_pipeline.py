@@ -1,7 +1,9 @@
 """A training corpus from `documents`, stage by stage.
 
 Every stage but the last returns the columns of its documents; each is written to the shared folder and read again.
-Null ids are kept by every stage; texts that a stage empties stay as empty texts.
+Null ids are kept by every stage; texts that a stage empties stay as empty texts. Of a group of near duplicates the one
+of the smallest id stays, and rows of one id stay or go together; substrings that repeat stay where the id is smallest.
+An empty table gives an empty one from every stage. Columns may have any names; a stage brings back those it was given.
 """
 
 from __future__ import annotations
