@@ -88,3 +88,28 @@ def test_octahedra_are_closed_and_inside_their_spheres(spark):
     assert faces.count() == 16
     points = points_of(spark, [(1.0, 2.0, 3.0), (1.3, 2.3, 3.3), (1.4, 2.4, 3.4), (5.1, 5.1, 5.1), (1.0, 2.0, 1.0)])
     assert {r["id"]: r["inside"] for r in mesh.inside(points, faces).collect()} == {0: True, 1: True, 2: False, 3: True, 4: False}
+
+
+def test_copies_are_met_once_and_counted(spark):
+    """Copies of a surface don't lengthen the join, and a cell's points go to several tasks."""
+    spheres = spark.range(40).selectExpr("id", "2.0D cx", "2.0D cy", "2.0D cz", "case when id % 2 = 0 then 1.0D else 0.5D end r")
+    faces = mesh.octahedra(spheres)
+    assert mesh._sound(faces).agg(F.count("*"), F.sum("copies")).first() == (16, 320)
+    points = points_of(spark, [(2.2, 2.1, 0.0), (2.2, 2.1, 1.9), (9.0, 9.0, 9.0)] * 40)
+    got = {r["id"]: r["n"] for r in mesh.crossings(points, faces).collect()}
+    assert all(got.get(i) == (80, 40, None)[i % 3] for i in range(120))
+    ends = {c: (0.0, 1.0) for c in "xyz"}
+    met = mesh._met(points, mesh._sound(faces), 50.0, ends, "xy").select("id", F.spark_partition_id().alias("p")).distinct()
+    assert met.select("p").distinct().count() > 1
+
+
+def test_terms_worked_out_once_give_the_same_as_the_expressions(spark):
+    rng = np.random.default_rng(7)
+    at = np.concatenate([rng.integers(0, 4, (60, 9)).astype(float), rng.uniform(0, 4, (60, 9))])
+    faces = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(at)], "face bigint, " + ", ".join(f"{c} double" for c in mesh.CORNERS))
+    points = points_of(spark, np.concatenate([rng.integers(0, 4, (20, 3)).astype(float), rng.uniform(0, 4, (20, 3))]))
+    every = points.crossJoin(faces)
+    want = {tuple(r) for r in every.where(F.expr(mesh.CROSSED)).select("id", "face").collect()}
+    assert {tuple(r) for r in mesh._crossed(points.crossJoin(mesh._sides(faces))).select("id", "face").collect()} == want and want
+    want = {(r["id"], r["face"]): r["s"] for r in every.select("id", "face", F.expr(mesh.SQUARED).alias("s")).collect()}
+    assert {(r["id"], r["face"]): r["_s"] for r in mesh._squared(points.crossJoin(mesh._edges(faces))).collect()} == want

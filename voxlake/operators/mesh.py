@@ -1,8 +1,9 @@
 """Points against triangles: sides of a closed surface by columns, nearest faces by cells, and both against voxels.
 
-Triangles are rows (face, x1, y1, z1 .. z3). A triangle is dealt to the grid cells its bounding box meets, a point to its own
-cell, and they meet by an equi-join; no point meets all triangles and no task holds the surface. Expressions are SQL
-text in the functions that both Spark and other engines have, so that they can be checked there as they are.
+Triangles are rows (face, x1, y1, z1 .. z3); equal ones are met once. A triangle is dealt to the grid cells its bounding box
+meets, a point to its own cell, and they meet by an equi-join; no point meets all triangles and no task holds the surface.
+A cell's points are spread over several tasks where there are few cells. Expressions are SQL text in the functions that both
+Spark and other engines have, so that they can be checked there as they are.
 """
 
 from __future__ import annotations
@@ -67,19 +68,61 @@ _OVER = " and ".join(f"{_dot(_NORMAL, _cross(_minus(q, p), _minus('', p)))} >= 0
 SQUARED = f"(case when {_dot(_NORMAL, _NORMAL)} > 0 and {_OVER} then {_dot(_NORMAL, _minus('', '1'))} * {_dot(_NORMAL, _minus('', '1'))} / nullif({_dot(_NORMAL, _NORMAL)}, 0) else least({_to_segment('1', '2')}, {_to_segment('2', '3')}, {_to_segment('3', '1')}) end)"
 
 
-def _dealt(triangles: DataFrame, cell: float, axes: str) -> DataFrame:
-    """Each triangle once for every cell its bounding box meets."""
+def _sides(triangles: DataFrame) -> DataFrame:
+    """Triangles that have a shadow, with what CROSSED needs of each worked out once: a test of a pair then is a few operations, with the same results."""
+    out = triangles.where(f"{SHADOW} <> 0").withColumns({"_nx": F.expr(_NX), "_ny": F.expr(_NY), "_shadow": F.expr(SHADOW)})
+    for p, q in ("12", "23", "31"):
+        first, turned = f"(x{p} < x{q} or (x{p} = x{q} and y{p} <= y{q}))", f"(case when {SHADOW} > 0 then 1 else -1 end)"
+        u = {c: f"(case when {first} then {c}{p} else {c}{q} end)" for c in "xy"}
+        along = {c: f"({turned} * (case when {first} then 1 else -1 end) * (case when {first} then {c}{q} - {c}{p} else {c}{p} - {c}{q} end))" for c in "xy"}
+        on = f"((y{q} - y{p}) * {turned} > 0 or (y{q} = y{p} and (x{q} - x{p}) * {turned} < 0))"
+        out = out.withColumns({f"_ux{p}": F.expr(u["x"]), f"_uy{p}": F.expr(u["y"]), f"_dx{p}": F.expr(along["x"]), f"_dy{p}": F.expr(along["y"]), f"_on{p}": F.expr(on)})
+    return out
+
+
+def _crossed(met: DataFrame) -> DataFrame:
+    """The pairs that CROSSED holds for, of points and triangles of _sides."""
+    side = [F.col(f"_dx{p}") * (F.col("y") - F.col(f"_uy{p}")) - F.col(f"_dy{p}") * (F.col("x") - F.col(f"_ux{p}")) for p in "123"]
+    within = [(s > 0) | ((s == 0) & F.col(f"_on{p}")) for s, p in zip(side, "123", strict=True)]
+    return met.where(within[0] & within[1] & within[2] & F.expr("z1 - (_nx * (x - x1) + _ny * (y - y1)) / _shadow > z"))
+
+
+def _edges(triangles: DataFrame) -> DataFrame:
+    """Triangles with their normals and edges, which SQUARED needs."""
+    out = triangles.withColumns({f"_n{c}": F.expr(e) for c, e in zip("xyz", _NORMAL, strict=True)}).withColumn("_nn", F.expr(_dot(["_nx", "_ny", "_nz"], ["_nx", "_ny", "_nz"])))
+    for p, q in ("12", "23", "31"):
+        along = [f"_{c}{p}" for c in "xyz"]
+        out = out.withColumns({n: F.expr(e) for n, e in zip(along, _minus(q, p), strict=True)}).withColumn(f"_l{p}", F.expr(_dot(along, along)))
+    return out
+
+
+def _squared(met: DataFrame) -> DataFrame:
+    """id, face and _s, SQUARED of points and triangles of _edges: step by step, since the whole expression makes a method too long for the compiler."""
+    normal = ["_nx", "_ny", "_nz"]
+    out = met.withColumns({f"_o{c}{p}": F.expr(f"{c} - {c}{p}") for p in "123" for c in "xyz"})
+    step = {"_over": " and ".join(f"{_dot(normal, _cross([f'_{c}{p}' for c in 'xyz'], [f'_o{c}{p}' for c in 'xyz']))} >= 0" for p in "123"), "_plane": _dot(normal, [f"_o{c}1" for c in "xyz"])}
+    for p in "123":
+        step[f"_t{p}"] = f"case when _l{p} > 0 then least(greatest({_dot([f'_o{c}{p}' for c in 'xyz'], [f'_{c}{p}' for c in 'xyz'])} / _l{p}, 0D), 1D) else 0D end"
+    out = out.withColumns({n: F.expr(e) for n, e in step.items()})
+    out = out.withColumns({f"_r{c}{p}": F.expr(f"_o{c}{p} - _t{p} * _{c}{p}") for p in "123" for c in "xyz"})
+    edge = ", ".join(_dot([f"_r{c}{p}" for c in "xyz"], [f"_r{c}{p}" for c in "xyz"]) for p in "123")
+    return out.select("id", "face", F.expr(f"case when _nn > 0 and _over then _plane * _plane / _nn else least({edge}) end").alias("_s"))
+
+
+def _dealt(triangles: DataFrame, cell: float, axes: str, reach: float = 0.0) -> DataFrame:
+    """Each triangle once for every cell within `reach` of its bounding box."""
     out = triangles
     for c in axes:
         ends = [F.col(f"{c}{v}") for v in "123"]
-        out = out.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.least(*ends) / cell), F.floor(F.greatest(*ends) / cell))))
+        out = out.withColumn(f"_{c}", F.explode(F.sequence(F.floor((F.least(*ends) - reach) / cell), F.floor((F.greatest(*ends) + reach) / cell))))
     return out
 
 
 def _sound(triangles: DataFrame) -> DataFrame:
-    """Triangles with all their numbers."""
+    """Triangles with all their numbers, once for each set of corners in order: the smallest face, and copies, how many there are."""
     size = sum((F.abs(F.col(c)) for c in CORNERS[1:]), F.abs(F.col(CORNERS[0])))
-    return triangles.select("face", *[F.col(c).cast("double").alias(c) for c in CORNERS]).where(size < float("inf"))
+    sound = triangles.select("face", *[F.col(c).cast("double").alias(c) for c in CORNERS]).where(size < float("inf"))
+    return sound.groupBy(*CORNERS).agg(F.min("face").alias("face"), F.count("*").alias("copies"))
 
 
 def cell_size(triangles: DataFrame) -> float:
@@ -88,13 +131,39 @@ def cell_size(triangles: DataFrame) -> float:
     return float(triangles.agg(F.avg(longest)).first()[0] or 1.0) or 1.0
 
 
+def _ends(points: DataFrame, triangles: DataFrame) -> dict[str, tuple[float, float]] | None:
+    """Where points and triangles lie, by axis; None without either."""
+    held = triangles.agg(*[g(h(*[F.col(f"{c}{v}") for v in "123"])).alias(f"{n}{c}") for c in "xyz" for n, g, h in (("l", F.min, F.least), ("h", F.max, F.greatest))]).first()
+    spread = points.agg(*[g(c).alias(f"{n}{c}") for c in "xyz" for n, g in (("l", F.min), ("h", F.max))]).first()
+    if held["lx"] is None or spread["lx"] is None:
+        return None
+    return {c: (min(held[f"l{c}"], spread[f"l{c}"]), max(held[f"h{c}"], spread[f"h{c}"])) for c in "xyz"}
+
+
+def _finite(points: DataFrame) -> DataFrame:
+    return points.select("id", "x", "y", "z").where(F.abs(F.col("x")) + F.abs(F.col("y")) + F.abs(F.col("z")) < float("inf"))
+
+
+def _met(points: DataFrame, triangles: DataFrame, cell: float, ends: dict[str, tuple[float, float]], axes: str, reach: float = 0.0) -> DataFrame:
+    """Points with the triangles of their cell. With fewer cells than keep all tasks busy, a cell's points are dealt to several tasks and its triangles go to each."""
+    spark = points.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    cells = math.prod((ends[c][1] - ends[c][0]) / cell + 1 for c in axes)
+    ways = math.ceil(min(max(4 * parts / cells, 1), parts))
+    keys = [*[f"_{c}" for c in axes], "_way"]
+    here = points.withColumns({f"_{c}": F.floor(F.col(c) / cell) for c in axes}).withColumn("_way", F.pmod(F.hash("id"), F.lit(ways)))
+    there = _dealt(triangles, cell, axes, reach).withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return here.repartition(parts, *keys).join(there, keys)
+
+
 def crossings(points: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
     """id and n, the triangles over each point (id, x, y, z) that has any: only those of its own column of cells are tried."""
-    held = _sound(triangles)
-    cell = cell or cell_size(held)
-    here = points.select("id", "x", "y", "z").withColumn("_x", F.floor(F.col("x") / cell)).withColumn("_y", F.floor(F.col("y") / cell))
-    met = here.join(_dealt(held, cell, "xy"), ["_x", "_y"]).where(F.expr(CROSSED))
-    return met.groupBy("id").agg(F.count("*").alias("n"))
+    here, held = _finite(points), written(_sides(_sound(triangles).drop("face")), "triangles")
+    ends = _ends(here, held)
+    if ends is None:
+        return points.select("id", F.lit(0).cast("bigint").alias("n")).limit(0)
+    met = _crossed(_met(here, held, cell or cell_size(held), ends, "xy"))
+    return met.groupBy("id").agg(F.sum("copies").alias("n"))
 
 
 def inside(points: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
@@ -106,27 +175,25 @@ def inside(points: DataFrame, triangles: DataFrame, cell: float | None = None) -
 def nearest_face(points: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
     """id, face and distance of the nearest triangle of every point (id, x, y, z), the smaller face on a tie.
 
-    Points try the cells around their own; those that find no face within a cell's width are tried again with cells
-    twice as wide, until one covers all. Points with a null or non-finite place, and all if there are no triangles, have no row.
+    Triangles go to the cells within half a cell of them, a point to its own, and only those whose bounding boxes are as near
+    are measured; points that find no face so near are tried again with cells twice as wide, until one covers all.
+    Points with a null or non-finite place, and all if there are no triangles, have no row.
     """
-    held = written(_sound(triangles), "triangles")
+    held = written(_edges(_sound(triangles).drop("copies")), "triangles")
     cell = cell or cell_size(held)
-    left = points.select("id", "x", "y", "z").where(F.abs(F.col("x")) + F.abs(F.col("y")) + F.abs(F.col("z")) < float("inf"))
-    ends = held.agg(*[g(h(*[F.col(f"{c}{v}") for v in "123"])).alias(f"{n}{c}") for c in "xyz" for n, g, h in (("l", F.min, F.least), ("h", F.max, F.greatest))]).first()
-    spread = left.agg(*[g(c).alias(f"{n}{c}") for c in "xyz" for n, g in (("l", F.min), ("h", F.max))]).first()
-    found = None
-    if ends["lx"] is None or spread["lx"] is None:
+    left, found = _finite(points), None
+    ends = _ends(left, held)
+    if ends is None:
         return points.select("id", F.lit(None).cast(dict(held.dtypes)["face"]).alias("face"), F.lit(None).cast("double").alias("distance")).limit(0)
-    reach = math.sqrt(sum((max(ends[f"h{c}"], spread[f"h{c}"]) - min(ends[f"l{c}"], spread[f"l{c}"])) ** 2 for c in "xyz"))
+    widest = math.sqrt(sum((high - low) ** 2 for low, high in ends.values()))
     while True:
-        around = left
-        for c in "xyz":
-            around = around.withColumn(f"_{c}", F.explode(F.array(*[F.floor(F.col(c) / cell) + d for d in (-1, 0, 1)])))
-        met = around.join(_dealt(held, cell, "xyz"), ["_x", "_y", "_z"]).withColumn("_d", F.sqrt(F.expr(SQUARED)))
-        best = met.where(F.col("_d") <= cell).groupBy("id").agg(F.min(F.struct("_d", "face")).alias("m")).select("id", "m.face", F.col("m._d").alias("distance"))
-        best = written(best, "nearest")
+        reach = cell / 2
+        off = [F.greatest(F.least(*e) - F.col(c), F.col(c) - F.greatest(*e), F.lit(0.0)) for c, e in ((c, [F.col(f"{c}{v}") for v in "123"]) for c in "xyz")]
+        near = _met(left, held, cell, ends, "xyz", 1.001 * reach).where(off[0] * off[0] + off[1] * off[1] + off[2] * off[2] <= (1.001 * reach) ** 2)
+        nearest = _squared(near).select("id", F.struct(F.sqrt("_s").alias("_d"), "face").alias("m")).groupBy("id").agg(F.min("m").alias("m"))
+        best = written(nearest.where(F.col("m._d") <= reach).select("id", "m.face", F.col("m._d").alias("distance")), "nearest")
         found = best if found is None else found.unionByName(best)
-        if cell > reach:
+        if reach > widest:
             return found
         rest = written(left.join(best, "id", "left_anti"), "unmet")
         if not rest.limit(1).count():
