@@ -112,4 +112,4 @@ def test_terms_worked_out_once_give_the_same_as_the_expressions(spark):
     want = {tuple(r) for r in every.where(F.expr(mesh.CROSSED)).select("id", "face").collect()}
     assert {tuple(r) for r in mesh._crossed(points.crossJoin(mesh._sides(faces))).select("id", "face").collect()} == want and want
     want = {(r["id"], r["face"]): r["s"] for r in every.select("id", "face", F.expr(mesh.SQUARED).alias("s")).collect()}
-    assert {(r["id"], r["face"]): r["_s"] for r in mesh._squared(points.crossJoin(mesh._edges(faces))).collect()} == want
+    assert {(r["id"], r["face"]): r["_s"] for r in mesh._squared(every).collect()} == want

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,26 +89,25 @@ def _crossed(met: DataFrame) -> DataFrame:
     return met.where(within[0] & within[1] & within[2] & F.expr("z1 - (_nx * (x - x1) + _ny * (y - y1)) / _shadow > z"))
 
 
-def _edges(triangles: DataFrame) -> DataFrame:
-    """Triangles with their normals and edges, which SQUARED needs."""
-    out = triangles.withColumns({f"_n{c}": F.expr(e) for c, e in zip("xyz", _NORMAL, strict=True)}).withColumn("_nn", F.expr(_dot(["_nx", "_ny", "_nz"], ["_nx", "_ny", "_nz"])))
-    for p, q in ("12", "23", "31"):
-        along = [f"_{c}{p}" for c in "xyz"]
-        out = out.withColumns({n: F.expr(e) for n, e in zip(along, _minus(q, p), strict=True)}).withColumn(f"_l{p}", F.expr(_dot(along, along)))
-    return out
+def _squares(*columns: pd.Series) -> pd.Series:
+    """SQUARED of x, y, z and the nine corners by arrays, operation by operation: as an expression it makes a method too long for the compiler."""
+    at, *corner = (np.stack([c.to_numpy() for c in columns[i : i + 3]]) for i in range(0, 12, 3))
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    cross = lambda a, b: np.stack([a[i] * b[j] - a[j] * b[i] for i, j in ((1, 2), (2, 0), (0, 1))])
+    normal = cross(corner[1] - corner[0], corner[2] - corner[0])
+    plane, size, over, edge = dot(normal, at - corner[0]), dot(normal, normal), True, None
+    for p, q in ((0, 1), (1, 2), (2, 0)):
+        along, off = corner[q] - corner[p], at - corner[p]
+        over = over & (dot(normal, cross(along, off)) >= 0)
+        length = dot(along, along)
+        rest = off - np.clip(np.where(length > 0, dot(off, along) / np.where(length > 0, length, 1.0), 0.0), 0.0, 1.0) * along
+        edge = dot(rest, rest) if edge is None else np.minimum(edge, dot(rest, rest))
+    return pd.Series(np.where((size > 0) & over, plane * plane / np.where(size > 0, size, 1.0), edge))
 
 
 def _squared(met: DataFrame) -> DataFrame:
-    """id, face and _s, SQUARED of points and triangles of _edges: step by step, since the whole expression makes a method too long for the compiler."""
-    normal = ["_nx", "_ny", "_nz"]
-    out = met.withColumns({f"_o{c}{p}": F.expr(f"{c} - {c}{p}") for p in "123" for c in "xyz"})
-    step = {"_over": " and ".join(f"{_dot(normal, _cross([f'_{c}{p}' for c in 'xyz'], [f'_o{c}{p}' for c in 'xyz']))} >= 0" for p in "123"), "_plane": _dot(normal, [f"_o{c}1" for c in "xyz"])}
-    for p in "123":
-        step[f"_t{p}"] = f"case when _l{p} > 0 then least(greatest({_dot([f'_o{c}{p}' for c in 'xyz'], [f'_{c}{p}' for c in 'xyz'])} / _l{p}, 0D), 1D) else 0D end"
-    out = out.withColumns({n: F.expr(e) for n, e in step.items()})
-    out = out.withColumns({f"_r{c}{p}": F.expr(f"_o{c}{p} - _t{p} * _{c}{p}") for p in "123" for c in "xyz"})
-    edge = ", ".join(_dot([f"_r{c}{p}" for c in "xyz"], [f"_r{c}{p}" for c in "xyz"]) for p in "123")
-    return out.select("id", "face", F.expr(f"case when _nn > 0 and _over then _plane * _plane / _nn else least({edge}) end").alias("_s"))
+    """id, face and _s, SQUARED of points and triangles."""
+    return met.select("id", "face", F.pandas_udf(_squares, "double")("x", "y", "z", *CORNERS).alias("_s"))
 
 
 def _dealt(triangles: DataFrame, cell: float, axes: str, reach: float = 0.0) -> DataFrame:
@@ -179,7 +180,7 @@ def nearest_face(points: DataFrame, triangles: DataFrame, cell: float | None = N
     are measured; points that find no face so near are tried again with cells twice as wide, until one covers all.
     Points with a null or non-finite place, and all if there are no triangles, have no row.
     """
-    held = written(_edges(_sound(triangles).drop("copies")), "triangles")
+    held = written(_sound(triangles).drop("copies"), "triangles")
     cell = cell or cell_size(held)
     left, found = _finite(points), None
     ends = _ends(left, held)
