@@ -296,3 +296,20 @@ def test_quantiles_are_exact(spark):
     for g in range(3):
         mine = np.array([v for k, v in rows if k == g])
         assert [got[g][c] for c in ("q0", "q10", "q50", "q95", "q100")] == pytest.approx(np.quantile(mine, [0, 0.1, 0.5, 0.95, 1])) and got[g]["mean"] == pytest.approx(mine.mean())
+
+
+def test_pairs_counted_by_distance_without_rows(spark, monkeypatch):
+    """Copies of a place, edges of bins, several packs of a cell, rows without a place: as by pairs one by one."""
+    monkeypatch.setattr(pairs, "PACK", 50)
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.integers(0, 12, (150, 3)).astype(float), rng.uniform(0, 12, (700, 3)), np.full((40, 3), 3.0)])
+    rows = [(i, i % 2, *map(float, p)) for i, p in enumerate(at)]
+    df = spark.createDataFrame([*rows, (-1, 0, None, 1.0, 1.0), (-2, 1, float("nan"), 1.0, 1.0), (-3, None, 1.0, 1.0, 1.0)], "id int, g int, x double, y double, z double")
+    for axes, bins in ((["x", "y", "z"], 4), (["x", "y"], 6)):
+        for by in ("g", None):
+            some = df.select("id", *([by] if by else []), *axes).where("id >= 0 or g is not null" if by else "id >= 0")
+            key = [by] if by else []
+            want = pairs.histogram(pairs.pairs_within(some.where("id >= 0"), float(bins), (12, 12), by), "distance", 1.0, bins, key)
+            got = pairs.pair_histogram(some, 1.0, bins, (12, 12), by)
+            assert sorted(tuple(r) for r in got.select(*key, "bin", "n").collect()) == sorted(tuple(r) for r in want.select(*key, "bin", "n").collect())
+    assert pairs.pair_histogram(df.where("id < -5"), 1.0, 4, (12, 12)).count() == 0

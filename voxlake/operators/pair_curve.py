@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions.geometry import minimum_image
 from voxlake.functions.kernels import SOBOL_BITS, sobol_directions
-from voxlake.operators.pairs import histogram, pairs_within
+from voxlake.operators.pairs import histogram, pair_histogram
 
 #: Most and fewest pairs of even points; their numbers in between are powers of two.
 MOST_PAIRS, FEWEST_PAIRS = 1 << 16, 1 << 4
@@ -49,11 +49,10 @@ def reference(sizes: DataFrame, box: tuple[float, float, float], width: float, b
 def pair_curve(points: DataFrame, box: tuple[float, float, float], width: float, bins: int) -> DataFrame:
     """run_id, bin, n, reference and g of points(run_id, id, x, y, z): pair counts over the reference, over the mean of that over the bins that have one.
 
-    Distances are periodic in x and y and plain in z; pairs meet in cells, see pairs_within. Runs of one point have no
+    Distances are periodic in x and y and plain in z; pairs are counted in arrays, see pair_histogram. Runs of one point have no
     pairs and a g of 0.
     """
-    met = pairs_within(points.select("id", "x", "y", "z", "run_id"), width * bins, (box[0], box[1]), "run_id")
-    counts = histogram(met, "distance", width, bins, ["run_id"])
+    counts = pair_histogram(points.select("x", "y", "z", "run_id"), width, bins, (box[0], box[1]), "run_id")
     sizes = points.groupBy("run_id").agg(F.count("*").alias("n"))
     both = reference(sizes, box, width, bins).join(counts, ["run_id", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ratio = F.when(F.col("reference") > 0, F.col("n") / F.col("reference"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from voxlake.tables import dropped, written
 #: Broadcast tables of up to this many rows; larger ones meet in cells.
 BROADCAST_ROWS = 4096
 
+#: Places in a pack of pair_histogram.
+PACK = 8192
+
 
 def _cells(box: tuple[float, float], radius: float) -> tuple[int, int]:
     """Cells per periodic axis, none narrower than the radius."""
@@ -61,6 +66,110 @@ def joined_within(left: DataFrame, right: DataFrame, radius: float, box: tuple[f
     return many.join(few, keys).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius).select(*by, "a", "b", "distance")
 
 
+def pair_histogram(points: DataFrame, width: float, bins: int, box: tuple[float, float], by: str | None = None) -> DataFrame:
+    """by, bin and n: the pairs of points of equal `by`, counted by distance in bins as in `histogram`. Points: x, y, z if there is one.
+
+    Pairs aren't made as rows. Points of one place become one with a weight; places are dealt to cells, and a cell's to packs
+    of about PACK by hash; each two packs of cells near enough meet once, in arrays. Rows without a finite place or without `by` count nowhere.
+    """
+    spark, reach = points.sparkSession, width * bins
+    axes, keys = ["x", "y", *("z" * ("z" in points.columns))], [by] if by else []
+    sized = sum((F.abs(F.col(c)) for c in axes[1:]), F.abs(F.col("x"))) < float("inf")
+    spots = points.where(sized & F.col(by).isNotNull() if by else sized).groupBy(*keys, *axes).agg(F.count("*").alias("_w"))
+    spots = written(spots.select(*keys, *[F.col(c).cast("double").alias(c) for c in axes], F.col("_w").cast("double").alias("_w")), "places")
+    cells = _with_cell(spots, box, reach, len(axes) == 3)
+    home = ["_cx", "_cy", *(["_cz"] if len(axes) == 3 else [])]
+    sizes = cells.groupBy(*keys, *home).agg(F.count("*").alias("_n")).withColumn("_packs", F.ceil(F.col("_n") / PACK))
+    held = cells.join(sizes, [*keys, *home]) if not by else cells.join(sizes, [*home, by])
+    pack = F.pmod(F.xxhash64(*axes), F.col("_packs")).alias("_p")
+    packed = written(held.select(*keys, *home, pack, *axes, "_w").groupBy(*keys, *home, "_p").agg(*[F.collect_list(F.struct(*axes, "_w")).alias("_at")]), "packs")
+    packed = packed.withColumn("_pack", F.struct(*home, "_p"))
+    # which packs meet: keys only, then their points are joined to them
+    near = _around(packed.select(*keys, *home, F.col("_pack").alias("_a")), box, reach, len(axes) == 3)
+    met = near.join(packed.select(*keys, *home, F.col("_pack").alias("_b")), [*home, *keys]).where(F.col("_a") <= F.col("_b")).select(*keys, "_a", "_b")
+    left, right = (packed.select(*keys, F.col("_pack").alias(end), F.col("_at").alias(f"_at{end}")) for end in ("_a", "_b"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    both = met.join(left, [*keys, "_a"]).join(right, [*keys, "_b"]).repartition(parts, *keys, "_a", "_b")
+    kind = dict(points.dtypes)[by] if by else None
+
+    def counted(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                a, b = (_array(row.column(end), axes) for end in ("_at_a", "_at_b"))
+                n = _pair_counts(a, b, row.column("_a")[0].as_py() == row.column("_b")[0].as_py(), width, bins, box)
+                out = {"bin": pa.array(range(bins), pa.int32()), "n": pa.array(n, pa.int64())}
+                yield pa.RecordBatch.from_pydict(({by: pa.array([row.column(by)[0].as_py()] * bins, row.column(by).type)} if by else {}) | out)
+
+    schema = (f"`{by}` {kind}, " if by else "") + "bin int, n bigint"
+    counts = both.select(*keys, "_a", "_b", "_at_a", "_at_b").mapInArrow(counted, schema)
+    return counts.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _array(column: pa.Array, axes: list[str]) -> np.ndarray:
+    flat = column.flatten()
+    return np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in [*axes, "_w"]])
+
+
+def _blocks(a: np.ndarray, size: int = 192) -> list[np.ndarray]:
+    """Points (coordinates and weight by row) split at medians of their widest side until a part fits the processor's cache."""
+    if a.shape[1] <= size:
+        return [a]
+    axis = int(np.argmax(np.ptp(a[:-1], axis=1)))
+    a, half = a[:, np.argsort(a[axis], kind="stable")], a.shape[1] // 2
+    return _blocks(a[:, :half], size) + _blocks(a[:, half:], size)
+
+
+def _pair_counts(a: np.ndarray, b: np.ndarray, same: bool, width: float, bins: int, box: tuple[float, float]) -> np.ndarray:
+    """Weighted pairs by distance between two packs, or within one: blocks whose distances all lie in one bin, or beyond the last, by product, the others one by one in the order of `squared_distance`."""
+    out, top = np.zeros(bins, np.int64), width * bins
+    parts = _blocks(a)
+    others = parts if same else _blocks(b)
+    low, high = (np.array([f(o[:-1], axis=1) for o in others]) for f in (np.min, np.max))
+    weights = np.array([o[-1].sum() for o in others])
+    for i, p in enumerate(parts):
+        start = i if same else 0
+        middle = (p[:-1].min(axis=1) + p[:-1].max(axis=1)) / 2 - (low[start:] + high[start:]) / 2
+        slack = (np.ptp(p[:-1], axis=1) + high[start:] - low[start:]) / 2
+        for k, side in enumerate(box):
+            middle[:, k] -= side * np.rint(middle[:, k] / side)
+        middle = np.abs(middle)
+        most = middle + slack
+        least = np.maximum(middle - slack, 0)
+        for k, side in enumerate(box):  # the nearer image of some may be another one
+            least[:, k] = np.minimum(least[:, k], np.maximum(side - most[:, k], 0))
+            most[:, k] = np.minimum(most[:, k], side / 2)
+        least, most = np.sqrt((least**2).sum(1)) * (1 - 1e-9) - 1e-9, np.sqrt((most**2).sum(1)) * (1 + 1e-9) + 1e-9
+        first, last = np.floor(np.maximum(least, 0) / width), np.floor(most / width)
+        for j in np.flatnonzero(least <= top):
+            o, own = others[start + j], same and j == 0
+            if first[j] == last[j] < bins and not own:
+                out[int(first[j])] += int(p[-1].sum() * weights[start + j])
+                continue
+            d = p[0][:, None] - o[0]
+            d -= box[0] * np.rint(d / box[0])
+            d2 = d * d
+            d = p[1][:, None] - o[1]
+            d -= box[1] * np.rint(d / box[1])
+            d2 += d * d
+            if len(p) == 4:
+                d = p[2][:, None] - o[2]
+                d2 += d * d
+            np.sqrt(d2, out=d2)
+            at = np.minimum(np.floor(d2 / width), bins + 1).astype(np.int64)
+            at[d2 == top] = bins - 1
+            at[d2 > top] = bins
+            w = p[-1][:, None] * o[-1]
+            plain = w.size == w.sum() and w.min() == 1
+            n = np.bincount(at.ravel(), None if plain else w.ravel(), bins + 2)[:bins].astype(np.int64)
+            if own:  # both orders of each pair of places, and each place with itself
+                n[0] -= int((p[-1] ** 2).sum())
+                n //= 2
+                n[0] += int((p[-1] * (p[-1] - 1) / 2).sum())
+            out += n
+    return out
+
+
 def histogram(values: DataFrame, column: str, width: float, bins: int, by: list[str] | None = None) -> DataFrame:
     """bin and n over equal bins from 0: half-open, the last one closed, what lies outside left out."""
     value = F.col(column)

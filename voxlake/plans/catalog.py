@@ -118,7 +118,7 @@ select (case when d = 8 then 7 else floor(d) end)::int bin, count(*) n from d wh
 )
 def pair_distance_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = spheres(spark, sf_dir).select("id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
-    return pairs.histogram(pairs.pairs_within(points, 8.0, (BOX, BOX)), "distance", 1.0, 8)
+    return pairs.pair_histogram(points, 1.0, 8, (BOX, BOX))
 
 
 @query(
@@ -131,7 +131,7 @@ select bin, coalesce(n, 0)::bigint n, round(reference, 6) reference, round(case
 )
 def gxy_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _spots(spark, sf_dir)
-    counts = pairs.histogram(pairs.pairs_within(points.select("id", "slice", "x", "y"), 30.0, (100, 100), "slice"), "distance", 5.0, 6)
+    counts = pairs.pair_histogram(points.select("slice", "x", "y"), 5.0, 6, (100, 100), "slice").groupBy("bin").agg(F.sum("n").alias("n"))
     n = F.count("*").cast("double")
     total = points.groupBy("slice").agg((n * (n - 1) / 2).alias("pairs")).agg(F.sum("pairs").alias("pairs"))
     k = F.col("bin").cast("double")
