@@ -119,3 +119,15 @@ def test_fields_of_more_units_than_travel_together(spark, monkeypatch):
             blocks = voxels.sphere_field(points.withColumnRenamed("_point", "tag"), frame, (10, 10), sharpness)
             np.testing.assert_allclose(sorted(tuple(r) for r in blocks.collect()), once, rtol=1e-12)
     assert voxels.sphere_field(points, frame.limit(0), (10, 10)).agg(F.min("sdf")).first()[0] == float("inf")
+
+
+def test_dense_centers_are_searched_in_narrow_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points, centers = rng.uniform(0, 20, (150, 2)), np.concatenate([rng.uniform(0, 20, (400, 2)), np.full((100, 2), 7.0)])
+    frames = [spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id int, x double, y double") for x in (points, centers)]
+    met, joined = [], pairs.joined_within
+    monkeypatch.setattr(pairs, "joined_within", lambda *args: met.append(joined(*args).count()) or joined(*args))
+    got = {r["id"]: r["center"] for r in pairs.nearest_center(*frames, (20, 20), 8.0).collect()}
+    d = points[:, None] - centers[None]
+    d -= 20 * np.rint(d / 20)
+    assert got == dict(enumerate((d**2).sum(2).argmin(1).tolist())) and sum(met) < 20 * len(points)

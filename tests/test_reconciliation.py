@@ -139,3 +139,18 @@ def test_command_line_on_altered_bundles(spark, bundle, tmp_path, capsys):
     shutil.move(f"{path}/voxels", str(tmp_path / "voxels"))
     code, got = report()
     assert code == 1 and got["status"] == "NOT_EVALUABLE" and got["missing"] == ["voxels"]
+
+
+def test_dense_points_matched_by_bands_of_distance(spark, monkeypatch):
+    """Pairs are never all met at once, and are those of the greedy matching all the same."""
+    rng = random.Random(8)
+    left = [(i, rng.uniform(0, 6), rng.uniform(0, 6)) for i in range(150)]
+    right = [(500 + i, rng.uniform(0, 6), rng.uniform(0, 6)) for i in range(140)] + [(900 + i, 1.0, 1.0) for i in range(5)]
+    met, joined = [], matching.joined_within
+    monkeypatch.setattr(matching, "joined_within", lambda *args: met.append(joined(*args).count()) or joined(*args))
+    got = matching.matched_points(spark.createDataFrame(left, "id int, x double, y double"), spark.createDataFrame(right, "id int, x double, y double"), 2.5, (6, 6)).where("status = 'ok'").collect()
+    apart = lambda a, b: math.hypot(*(abs((p - q + 3) % 6 - 3) for p, q in zip(a, b, strict=True)))
+    pairs = [(i, j, apart((x, y), (u, v))) for i, x, y in left for j, u, v in right]
+    pairs = [p for p in pairs if p[2] <= 2.5]
+    assert {(r["reported"], r["expected"]) for r in got} == {(a, b) for a, b, _ in greedy(pairs)}
+    assert len(met) > 1 and sum(met) < len(pairs) / 4

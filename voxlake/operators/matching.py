@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.operators.pairs import joined_within
+from voxlake.operators.pairs import joined_within, spacing
 from voxlake.tables import dropped, written
 
 
@@ -38,11 +38,20 @@ def mutual(pairs: DataFrame, cost: str, by: list[str] | None = None) -> DataFram
 def matched_points(reported: DataFrame, expected: DataFrame, tolerance: float, box: tuple[float, float], by: list[str] | None = None) -> DataFrame:
     """by, reported, expected (ids), distance and status of every point: ok, missing (only expected) or unexpected (only reported).
 
-    Points: id, x, y, z if both have one, and `by`. Periodic in x and y. Points meet in cells as wide as the tolerance,
-    then pairs are taken one to one, nearest first; ids are unique within `by`.
+    Points: id, x, y, z if both have one, and `by`. Periodic in x and y. Points meet in cells, then pairs are taken one to
+    one, nearest first; ids are unique within `by`. Where points are dense, pairs up to about their spacing are taken to
+    the end first, then those of what is left up to twice as far, until the tolerance: the same pairs, and never all of them at once.
     """
     by = by or []
-    near = mutual(joined_within(reported, expected, tolerance, box, by), "distance", by)
+    most = expected.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    reach, left, right, near = min(tolerance, spacing(box, most or 1)), reported, expected, None
+    while True:
+        taken = mutual(joined_within(left, right, reach, box, by), "distance", by)
+        near = taken if near is None else near.unionByName(taken)
+        if reach >= tolerance:
+            break
+        left, right = (written(points.join(taken.select(*by, F.col(end).alias("id")), [*by, "id"], "left_anti"), "unmatched") for points, end in ((left, "a"), (right, "b")))
+        reach = min(2 * reach, tolerance)
     left = near.join(reported.select(*by, F.col("id").alias("a"), F.lit(True).alias("_r")), [*by, "a"], "right").select(*by, "a", "b", "distance")
     extra = expected.select(*by, F.col("id").alias("b")).join(near.select(*by, "b"), [*by, "b"], "left_anti").select(*by, F.lit(None).cast(dict(left.dtypes)["a"]).alias("a"), "b", F.lit(None).cast("double").alias("distance"))
     status = F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "unexpected").otherwise("ok")

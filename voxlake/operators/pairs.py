@@ -39,6 +39,11 @@ def _around(points: DataFrame, box: tuple[float, float], radius: float, solid: b
     return out.withColumn("_cz", F.explode(F.array(*[F.col("_cz") + d for d in (-1, 0, 1)]))) if solid else out
 
 
+def spacing(box: tuple[float, float], n: int) -> float:
+    """The side of a square that holds one of n points spread over the box."""
+    return math.sqrt(box[0] * box[1] / max(n, 1))
+
+
 def pairs_within(points: DataFrame, radius: float, box: tuple[float, float], by: str | None = None) -> DataFrame:
     """(a, b, distance) of all pairs a < b no farther apart than `radius`; points: id, x, y, z if there is one, and `by`, which both must share.
 
@@ -182,12 +187,15 @@ def histogram(values: DataFrame, column: str, width: float, bins: int, by: list[
 def nearest_center(points: DataFrame, centers: DataFrame, box: tuple[float, float], radius: float) -> DataFrame:
     """points with center and distance of their nearest centre in the plane, the smaller id on a tie.
 
-    Points and centres meet in cells of `radius`; points that find none so near are tried again with twice the radius,
-    until the cells are the box. The table is written, so that what uses it twice doesn't search twice.
+    Points and centres meet in cells of `radius`, or narrower ones if that leaves about one centre in each; points that find
+    none so near are tried again with twice the radius, until the cells are the box. Of centres in one place the smallest id
+    is tried. The table is written, so that what uses it twice doesn't search twice.
     """
     left, found = points.select("id", "x", "y"), None
+    centers = written(centers.groupBy("x", "y").agg(F.min("id").alias("id")), "centres")
+    radius = min(radius, spacing(box, centers.count()))
     while True:
-        met = joined_within(left, centers.select("id", "x", "y"), radius, box)
+        met = joined_within(left, centers, radius, box)
         near = met.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("distance", F.col("b").alias("center"))).alias("m")).select("id", "m.center", "m.distance")
         near = written(near, "nearest")
         found = near if found is None else found.unionByName(near)
