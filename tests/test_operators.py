@@ -313,3 +313,16 @@ def test_pairs_counted_by_distance_without_rows(spark, monkeypatch):
             got = pairs.pair_histogram(some, 1.0, bins, (12, 12), by)
             assert sorted(tuple(r) for r in got.select(*key, "bin", "n").collect()) == sorted(tuple(r) for r in want.select(*key, "bin", "n").collect())
     assert pairs.pair_histogram(df.where("id < -5"), 1.0, 4, (12, 12)).count() == 0
+
+
+def test_pairs_within_come_from_many_tasks_once_each(spark):
+    rng = np.random.default_rng(4)
+    for box, axes in (((10, 10), 2), ((3, 10), 3), ((1, 1), 2)):  # many cells, two or three along an axis, one
+        at = rng.uniform(0, (*box, 5)[:axes], (120, axes))
+        df = spark.createDataFrame([(i * 7 % 120, *map(float, p)) for i, p in enumerate(at)], "id int, " + ", ".join(f"{c} double" for c in "xyz"[:axes])).coalesce(1)
+        got = pairs.pairs_within(df, 1.2, box).withColumn("_task", F.spark_partition_id()).collect()
+        d = at[:, None] - at[None]
+        d[..., :2] -= np.array(box) * np.rint(d[..., :2] / box)
+        near = np.argwhere(np.sqrt((d**2).sum(2)) <= 1.2)
+        assert sorted((r["a"], r["b"]) for r in got) == sorted((i * 7 % 120, j * 7 % 120) for i, j in near.tolist() if i * 7 % 120 < j * 7 % 120)
+        assert box == (1, 1) or len({r["_task"] for r in got}) > 1

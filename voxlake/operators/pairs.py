@@ -47,16 +47,22 @@ def spacing(box: tuple[float, float], n: int) -> float:
 def pairs_within(points: DataFrame, radius: float, box: tuple[float, float], by: str | None = None) -> DataFrame:
     """(a, b, distance) of all pairs a < b no farther apart than `radius`; points: id, x, y, z if there is one, and `by`, which both must share.
 
-    Cells as wide as the radius: each point meets the 9 or 27 cells around it by an equi-join, never all others.
+    Cells as wide as the radius: each two of the 9 or 27 cells around a point meet once, by an equi-join, never all others.
     """
     solid = "z" in points.columns
-    keys = ["_cx", "_cy", *(["_cz"] if solid else []), *([by] if by else [])]
+    axes, cells = ["x", "y", *("z" * solid)], ["_cx", "_cy", *(["_cz"] if solid else [])]
+    keys, spark = [*cells, *([by] if by else [])], points.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
     own = _with_cell(points, box, radius, solid)
-    left = _around(own, box, radius, solid).select(*keys, F.col("id").alias("a"), *[F.col(c).alias(f"_{c}") for c in ("x", "y", *("z" * solid))])
-    right = own.select(*keys, F.col("id").alias("b"), "x", "y", *(["z"] if solid else []))
-    d2 = squared_distance(("_x", "_y", *(["_z"] if solid else [])), ("x", "y", *(["z"] if solid else [])), box)
-    met = left.join(right, keys).where(F.col("a") < F.col("b")).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
-    return met.select(*([by] if by else []), "a", "b", "distance")
+    home, there = F.struct(*[f"_h{c}" for c in cells]), F.struct(*cells)
+    dealt = _around(own.withColumns({f"_h{c}": F.col(c) for c in cells}), box, radius, solid).where(there >= home)
+    left = dealt.select(*keys, (there == home).alias("_own"), F.col("id").alias("_a"), *[F.col(c).alias(f"_{c}") for c in axes])
+    right = own.select(*keys, F.col("id").alias("_b"), *axes)
+    d2 = squared_distance(tuple(f"_{c}" for c in axes), tuple(axes), box)
+    met = left.repartition(parts, *keys).join(right, keys)  # few rows go in, many come out: tasks by number, not by size
+    met = met.where((F.col("_a") < F.col("_b")) | (~F.col("_own") & (F.col("_a") > F.col("_b")))).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
+    first = F.col("_a") < F.col("_b")
+    return met.select(*([by] if by else []), F.when(first, F.col("_a")).otherwise(F.col("_b")).alias("a"), F.when(first, F.col("_b")).otherwise(F.col("_a")).alias("b"), "distance")
 
 
 def joined_within(left: DataFrame, right: DataFrame, radius: float, box: tuple[float, float], by: list[str] | None = None) -> DataFrame:
