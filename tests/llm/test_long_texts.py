@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -77,3 +78,26 @@ def test_scores_take_the_whole_text(spark, texts):
         got = {r["doc_id"]: r["score"] for r in module.score(rows, machine).collect()}
         assert got[0] == got[2] and got[3] == got[4] and got[1] != got[0] and all(0 <= s <= 1 for s in got.values())
         assert module.score(rows.limit(0), machine).count() == 0
+
+
+def test_packing_asks_for_words_by_bytes(spark, monkeypatch):
+    """A worker holds the words of TEXT_BYTES of texts at a time, however many texts travel together, and one vocabulary."""
+    held, asked = [], []
+
+    class Texts:
+        def mapInArrow(self, run, schema):
+            held.append(run)
+
+    def encode_many(self, texts):
+        asked.append(texts)
+        return (b"" for _ in texts)
+
+    monkeypatch.setattr(packing, "in_small_batches", lambda *_: Texts())
+    monkeypatch.setattr(packing.WordCodec, "encode_many", encode_many)
+    packing.token_pieces(spark.createDataFrame([], "doc_id bigint, text string"), queries.WORD_BPE)
+    texts = ["word " * 1000] * 600 + ["b" * 300_000, None, ""]
+    out = list(held[0]([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})]))
+    assert [t for some in asked for t in some] == [t or "" for t in texts] and sum(b.num_rows for b in out) == len(texts)
+    assert all(len(some) == 1 or sum(map(len, some)) <= 1 << 18 for some in asked)
+    model = packing.word_codec(queries.WORD_BPE)
+    assert model.words.get_vocab_size() == model.model.get_vocab_size(with_added_tokens=False)

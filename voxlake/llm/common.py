@@ -137,10 +137,10 @@ def crc32_text(col) -> object:
 ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
-def in_small_batches(texts: DataFrame) -> DataFrame:
+def in_small_batches(texts: DataFrame, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> DataFrame:
     """`texts`, with the session's Arrow batches bounded: Spark's defaults would hold 64 MB on both sides for each task."""
     conf = texts.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = int(str(conf.get(key)).removesuffix("b"))
         if now <= 0 or now > most:
             conf.set(key, str(most))

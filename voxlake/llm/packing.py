@@ -12,7 +12,6 @@ row. An empty table gives no rows.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,16 +24,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake.llm.bpe import byte_alphabet
-from voxlake.llm.common import dropped, in_small_batches, one_thread, trimmed, written
+from voxlake.llm.common import dropped, in_small_batches, one_thread, pieces, string_buffers, trimmed, written
 
 CAPACITY = 4096
+#: Rows and bytes of text that travel to a worker at once: less than for others, since the words' ids take memory beside them.
+ARROW_ROWS, ARROW_BYTES = 500, 2 << 20
 BUCKET_ROWS = 4096
 #: Places that a join may send to every executor: 24 MB at most.
 BROADCAST_ROWS = 1_000_000
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 300_000
-#: Texts whose new words are asked for in one call.
-TEXTS_AT_ONCE = 512
+#: Bytes of texts whose new words are asked for in one call; a longer text is asked for alone.
+TEXT_BYTES = 1 << 18
 
 #: Characters on which Python's white space, case and composition agree with the tokenizers library; other texts go to it whole.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ‐-‧]*")
@@ -54,21 +55,21 @@ class WordCodec:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         one_thread()
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.words = Tokenizer.from_str(json.dumps(spec))
+        self.words = Tokenizer(self.model.model)  # the same vocabulary and merges in memory, without normalizer and added tokens
+        self.words.pre_tokenizer = WhitespaceSplit()
         self.alphabet = {b: c for c, b in byte_alphabet().items() if b != 32}
         self.known: dict[str, bytes] = {}
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache_words = cache_words
+        trimmed()  # what reading the file took
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
@@ -141,8 +142,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CA
         codec = word_codec(path)
         tail = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for i in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(i, TEXTS_AT_ONCE)
+            for i, j, _, _ in pieces(*string_buffers(whole.column(1)), TEXT_BYTES):
+                batch = whole.slice(i, j - i)
                 out: dict[str, list] = {f: [] for f in arrow.names}
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 for doc_id, raw in zip(batch.column(0).to_pylist(), codec.encode_many(texts), strict=True):
@@ -159,7 +160,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CA
         codec.known.clear()  # the worker may do other work next
         trimmed()
 
-    return in_small_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, schema)
+    return in_small_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), ARROW_ROWS, ARROW_BYTES).mapInArrow(run, schema)
 
 
 def fill_bins(lengths: np.ndarray, capacity: int) -> list[list[int]]:
