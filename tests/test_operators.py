@@ -315,6 +315,22 @@ def test_pairs_counted_by_distance_without_rows(spark, monkeypatch):
     assert pairs.pair_histogram(df.where("id < -5"), 1.0, 4, (12, 12)).count() == 0
 
 
+def test_blocks_of_pairs_counted_by_edges(monkeypatch):
+    """Blocks by float32 products count as pairs one by one do: places on a lattice (distances on bins' edges), either image, far from the middle."""
+    rng, calls, plain = np.random.default_rng(5), [], pairs._edge_counts
+    monkeypatch.setattr(pairs, "_edge_counts", lambda *a: calls.append(1) or plain(*a))
+    for axes, off in ((3, 0.0), (3, 40.0), (2, 0.0)):
+        a, b = (np.concatenate([rng.integers(0, 1000, (axes, 700)) / 10.0 + off, np.ones((1, 700))]) for _ in range(2))
+        d = a[:-1, :, None] - b[:-1, None]
+        for k in range(2):
+            d[k] -= 100.0 * np.rint(d[k] / 100.0)
+        d2 = d[0] * d[0] + d[1] * d[1]
+        r = np.sqrt(d2 + d[2] * d[2] if axes == 3 else d2)
+        at = np.where(r == 50.0, 9, np.floor(r / 5.0))[r <= 50.0].astype(int)
+        assert pairs._pair_counts(a, b, False, 5.0, 10, (100.0, 100.0)).tolist() == np.bincount(at, minlength=10)[:10].tolist()
+    assert calls
+
+
 def test_pairs_within_come_from_many_tasks_once_each(spark):
     rng = np.random.default_rng(4)
     for box, axes in (((10, 10), 2), ((3, 10), 3), ((1, 1), 2)):  # many cells, two or three along an axis, one
