@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import kernels
 from voxlake.operators import graph, molecules, ordered, pairs, reconcile, scaling, statistics, tracks, voxels
-from voxlake.plans import audit, generate, measure, validate
+from voxlake.plans import audit, catalog, generate, measure, validate
 from voxlake.sources import config, files, text
 
 
@@ -315,6 +315,27 @@ def test_pairs_counted_by_distance_without_rows(spark, monkeypatch):
     assert pairs.pair_histogram(df.where("id < -5"), 1.0, 4, (12, 12)).count() == 0
 
 
+def test_points_that_share_an_id_are_no_pair(spark, duck, tmp_path):
+    """Repeated ids in one place and in several, hot ones and null ones; and tables whose keys are repeated, as by their SQL."""
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.integers(0, 12, (200, 3)), np.full((30, 3), 3)]).astype(float)
+    rows = [(int(rng.integers(0, 90)) if i % 3 else 7, i % 2, *map(float, p)) for i, p in enumerate(at)] + [(500 + i // 3, 0, 5.0, 5.0, float(i // 6)) for i in range(12)]
+    df = spark.createDataFrame([*rows, (None, 0, 3.0, 3.0, 3.0), (None, 0, 3.0, 3.0, 3.0)], "id int, g int, x double, y double, z double")
+    for by in ("g", None):
+        key = [by] if by else []
+        want = pairs.histogram(pairs.pairs_within(df, 5.0, (12, 12), by), "distance", 1.0, 5, key)
+        got = pairs.pair_histogram(df.select("id", *key, "x", "y", "z"), 1.0, 5, (12, 12), by)
+        assert sorted(tuple(r) for r in got.select(*key, "bin", "n").collect()) == sorted(tuple(r) for r in want.select(*key, "bin", "n").collect())
+    own = duck.cursor()
+    for t, key in (("supplier", "s_suppkey"), ("customer", "c_custkey")):
+        own.execute(f"copy (select * from {t} union all select * from {t} where {key} % 3 = 0) to '{tmp_path}/{t}.parquet'")
+        own.execute(f"create temp view {t} as select * from '{tmp_path}/{t}.parquet'")
+    for name in ("pair_distance_hist", "gxy_by_slice", "pair_curve"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        want = own.execute(f"select {', '.join(got.columns)} from ({catalog.SQL[name]})").fetchall()
+        assert sorted(tuple(r) for r in got.collect()) == [pytest.approx(r) for r in sorted(want)]
+
+
 def test_blocks_of_pairs_counted_by_edges(monkeypatch):
     """Blocks by float32 products count as pairs one by one do: places on a lattice (distances on bins' edges), either image, far from the middle."""
     rng, calls, plain = np.random.default_rng(5), [], pairs._edge_counts

@@ -52,7 +52,7 @@ def pair_curve(points: DataFrame, box: tuple[float, float, float], width: float,
     Distances are periodic in x and y and plain in z; pairs are counted in arrays, see pair_histogram. Runs of one point have no
     pairs and a g of 0.
     """
-    counts = pair_histogram(points.select("x", "y", "z", "run_id"), width, bins, (box[0], box[1]), "run_id")
+    counts = pair_histogram(points.select("id", "x", "y", "z", "run_id"), width, bins, (box[0], box[1]), "run_id")
     sizes = points.groupBy("run_id").agg(F.count("*").alias("n"))
     both = reference(sizes, box, width, bins).join(counts, ["run_id", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ratio = F.when(F.col("reference") > 0, F.col("n") / F.col("reference"))

@@ -77,21 +77,24 @@ def joined_within(left: DataFrame, right: DataFrame, radius: float, box: tuple[f
     return many.join(few, keys).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius).select(*by, "a", "b", "distance")
 
 
-def pair_histogram(points: DataFrame, width: float, bins: int, box: tuple[float, float], by: str | None = None) -> DataFrame:
-    """by, bin and n: the pairs of points of equal `by`, counted by distance in bins as in `histogram`. Points: x, y, z if there is one.
+def pair_histogram(points: DataFrame, width: float, bins: int, box: tuple[float, float], by: str | list[str] | None = None) -> DataFrame:
+    """by, bin and n: the pairs of points of equal `by`, counted by distance in bins as in `histogram`. Points: x, y, z if there is one, and id if there is one, which two points of a pair don't share.
 
     Pairs aren't made as rows. Points of one place become one with a weight; places are dealt to cells, and a cell's to packs
-    of about PACK by hash; each two packs of cells near enough meet once, in arrays. Rows without a finite place or without `by` count nowhere.
+    of about PACK by hash; each two packs of cells near enough meet once, in arrays. Rows without a finite place, `by` or id count nowhere.
     """
     spark, reach = points.sparkSession, width * bins
-    axes, keys = ["x", "y", *("z" * ("z" in points.columns))], [by] if by else []
-    sized = sum((F.abs(F.col(c)) for c in axes[1:]), F.abs(F.col("x"))) < float("inf")
-    spots = points.where(sized & F.col(by).isNotNull() if by else sized).groupBy(*keys, *axes).agg(F.count("*").alias("_w"))
+    axes, keys = ["x", "y", *("z" * ("z" in points.columns))], [by] if isinstance(by, str) else by or []
+    sound = sum((F.abs(F.col(c)) for c in axes[1:]), F.abs(F.col("x"))) < float("inf")
+    for key in [*keys, *(["id"] if "id" in points.columns else [])]:
+        sound = sound & F.col(key).isNotNull()
+    points = points.where(sound)
+    spots = points.groupBy(*keys, *axes).agg(F.count("*").alias("_w"))
     spots = written(spots.select(*keys, *[F.col(c).cast("double").alias(c) for c in axes], F.col("_w").cast("double").alias("_w")), "places")
     cells = _with_cell(spots, box, reach, len(axes) == 3)
     home = ["_cx", "_cy", *(["_cz"] if len(axes) == 3 else [])]
     sizes = cells.groupBy(*keys, *home).agg(F.count("*").alias("_n")).withColumn("_packs", F.ceil(F.col("_n") / PACK))
-    held = cells.join(sizes, [*keys, *home]) if not by else cells.join(sizes, [*home, by])
+    held = cells.join(sizes, [*home, *keys])
     pack = F.pmod(F.xxhash64(*axes), F.col("_packs")).alias("_p")
     packed = written(held.select(*keys, *home, pack, *axes, "_w").groupBy(*keys, *home, "_p").agg(*[F.collect_list(F.struct(*axes, "_w")).alias("_at")]), "packs")
     packed = packed.withColumn("_pack", F.struct(*home, "_p"))
@@ -101,7 +104,7 @@ def pair_histogram(points: DataFrame, width: float, bins: int, box: tuple[float,
     left, right = (packed.select(*keys, F.col("_pack").alias(end), F.col("_at").alias(f"_at{end}")) for end in ("_a", "_b"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
     both = met.join(left, [*keys, "_a"]).join(right, [*keys, "_b"]).repartition(parts, *keys, "_a", "_b")
-    kind = dict(points.dtypes)[by] if by else None
+    kinds = dict(points.dtypes)
 
     def counted(batches):
         for batch in batches:
@@ -110,13 +113,27 @@ def pair_histogram(points: DataFrame, width: float, bins: int, box: tuple[float,
                 a, b = (_array(row.column(end), axes) for end in ("_at_a", "_at_b"))
                 n = _pair_counts(a, b, row.column("_a")[0].as_py() == row.column("_b")[0].as_py(), width, bins, box)
                 out = {"bin": pa.array(range(bins), pa.int32()), "n": pa.array(n, pa.int64())}
-                yield pa.RecordBatch.from_pydict(({by: pa.array([row.column(by)[0].as_py()] * bins, row.column(by).type)} if by else {}) | out)
+                yield pa.RecordBatch.from_pydict({k: pa.array([row.column(k)[0].as_py()] * bins, row.column(k).type) for k in keys} | out)
 
-    schema = (f"`{by}` {kind}, " if by else "") + "bin int, n bigint"
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "bin int, n bigint"
     counts = both.select(*keys, "_a", "_b", "_at_a", "_at_b").mapInArrow(counted, schema)
+    if "id" in points.columns:
+        counts = counts.unionByName(_within_ids(points, axes, keys, width, bins, box).withColumn("n", -F.col("n")))
     return counts.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def _within_ids(points: DataFrame, axes: list[str], keys: list[str], width: float, bins: int, box: tuple[float, float]) -> DataFrame:
+    """keys, bin and n: the pairs of points that share an id. Those of one place are counted by id, the others as pair_histogram does, by id."""
+    at = F.struct(*axes)
+    ids = written(points.groupBy(*keys, "id").agg(F.count("*").alias("_n"), F.min(at).alias("_low"), F.max(at).alias("_high")).where("_n > 1"), "ids")
+    out = ids.where("_low = _high").groupBy(*keys).agg(F.expr("cast(coalesce(sum(_n * (_n - 1) / 2), 0) as bigint)").alias("n")).select(*keys, F.lit(0).alias("bin"), "n")
+    apart = ids.where("_low <> _high").select(*keys, "id")
+    if not apart.limit(1).count():
+        return out
+    some = points.join(apart, [*keys, "id"], "left_semi").withColumnRenamed("id", "_id")
+    return out.unionByName(pair_histogram(some, width, bins, box, [*keys, "_id"]).select(*keys, "bin", "n"))
+
+
 def _array(column: pa.Array, axes: list[str]) -> np.ndarray:
     flat = column.flatten()
     return np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in [*axes, "_w"]])

@@ -131,7 +131,7 @@ select bin, coalesce(n, 0)::bigint n, round(reference, 6) reference, round(case
 )
 def gxy_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _spots(spark, sf_dir)
-    counts = pairs.pair_histogram(points.select("slice", "x", "y"), 5.0, 6, (100, 100), "slice").groupBy("bin").agg(F.sum("n").alias("n"))
+    counts = pairs.pair_histogram(points.select("id", "slice", "x", "y"), 5.0, 6, (100, 100), "slice").groupBy("bin").agg(F.sum("n").alias("n"))
     n = F.count("*").cast("double")
     total = points.groupBy("slice").agg((n * (n - 1) / 2).alias("pairs")).agg(F.sum("pairs").alias("pairs"))
     k = F.col("bin").cast("double")
