@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxlake.functions import kernels as K
 from voxlake.functions.shapes import nearest_on_mesh
 from voxlake.operators import mesh
+from voxlake.plans import catalog
 
 
 def faces_of(spark, vertices, faces):
@@ -113,3 +114,16 @@ def test_terms_worked_out_once_give_the_same_as_the_expressions(spark):
     assert {tuple(r) for r in mesh._crossed(points.crossJoin(mesh._sides(faces))).select("id", "face").collect()} == want and want
     want = {(r["id"], r["face"]): r["s"] for r in every.select("id", "face", F.expr(mesh.SQUARED).alias("s")).collect()}
     assert {(r["id"], r["face"]): r["_s"] for r in mesh._squared(every).collect()} == want
+
+
+def test_occupancy_of_repeated_and_awkward_spheres(spark, duck, tmp_path):
+    """Spheres of many radii in one place, repeated ones, and ones without a key or a balance: as by the SQL, each set of corners met once."""
+    own = duck.cursor()
+    rows = "select (s_suppkey + 20 * i)::bigint s_suppkey, s_name, s_nationkey, s_acctbal + 37.5 * i s_acctbal from supplier, range(8) r(i)"
+    odd = "select s_suppkey, s_name, s_nationkey, null from supplier union all select null, s_name, s_nationkey, s_acctbal from supplier"
+    own.execute(f"copy ({rows} union all select * from supplier where s_suppkey % 2 = 0 union all {odd}) to '{tmp_path}/supplier.parquet'")
+    own.execute(f"create temp view supplier as select * from '{tmp_path}/supplier.parquet'")
+    got = catalog.QUERIES["mesh_occupancy"](spark, str(tmp_path))
+    assert tuple(got.first()) == own.execute(f"select {', '.join(got.columns)} from ({catalog.SQL['mesh_occupancy']})").fetchone()
+    faces = mesh.octahedra(catalog.spheres(spark, str(tmp_path))).where("x1 is not null")
+    assert mesh._sound(faces).count() == faces.select(mesh.CORNERS).distinct().count() < faces.count()
