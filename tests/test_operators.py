@@ -352,6 +352,27 @@ def test_blocks_of_pairs_counted_by_edges(monkeypatch):
     assert calls
 
 
+def test_blocks_of_places_of_one_weight_are_counted_by_edges(monkeypatch):
+    """A few repeated places among single ones don't send their blocks back to pairs one by one; rare weights go together."""
+    rng, calls, plain = np.random.default_rng(8), [], pairs._edge_counts
+    monkeypatch.setattr(pairs, "_edge_counts", lambda p, o, *rest: calls.append(p.shape[1] * o.shape[1]) or plain(p, o, *rest))
+    for off in (0.0, 30.0):
+        weight = lambda: np.concatenate([np.ones(900), np.full(150, 2.0), np.full(110, 5.0), np.arange(7.0, 47.0)])[None]
+        a, b = (np.concatenate([rng.permuted(rng.integers(0, 1000, (2, 1200)) / 10.0 + off, axis=1), weight()])[:, rng.permutation(1200)] for _ in range(2))
+        for other, same in ((b, False), (a, True)):
+            calls.clear()
+            d = a[:-1, :, None] - other[:-1, None]
+            d -= 100.0 * np.rint(d / 100.0)
+            r = np.sqrt(d[0] * d[0] + d[1] * d[1])
+            w = a[-1][:, None] * other[-1]
+            if same:  # each pair of places once, and the pairs within a place
+                w = np.triu(w, 1) + np.diag(a[-1] * (a[-1] - 1) / 2)
+            at = np.where(r == 50.0, 9, np.floor(r / 5.0))
+            want = np.bincount(at[r <= 50.0].astype(int), w[r <= 50.0], minlength=10)[:10].astype(int)
+            assert pairs._pair_counts(a, other, same, 5.0, 10, (100.0, 100.0)).tolist() == want.tolist()
+            assert sum(calls) > 400_000  # of 1.44 million, or half as many
+
+
 def test_pairs_within_come_from_many_tasks_once_each(spark):
     rng = np.random.default_rng(4)
     for box, axes in (((10, 10), 2), ((3, 10), 3), ((1, 1), 2)):  # many cells, two or three along an axis, one

@@ -148,15 +148,23 @@ def _blocks(a: np.ndarray, size: int) -> list[np.ndarray]:
     return _blocks(a[:, :half], size) + _blocks(a[:, half:], size)
 
 
+def _by_weight(a: np.ndarray) -> list[np.ndarray]:
+    """Blocks of places of one weight, for every weight that enough places have; the others in smaller ones together."""
+    weights, n = np.unique(a[-1], return_counts=True)
+    common = weights[n >= min(96, a.shape[1])]
+    rest = a[:, ~np.isin(a[-1], common)]
+    blocks = [b for w in common for b in _blocks(a[:, a[-1] == w], 384)]
+    return blocks + _blocks(rest, 192) if rest.shape[1] else blocks
+
+
 def _pair_counts(a: np.ndarray, b: np.ndarray, same: bool, width: float, bins: int, box: tuple[float, float]) -> np.ndarray:
-    """Weighted pairs by distance between two packs, or within one: blocks whose distances all lie in one bin, or beyond the last, by product, the others by _edge_counts or, with weights, one by one in the order of `squared_distance`."""
+    """Weighted pairs by distance between two packs, or within one: blocks whose distances all lie in one bin, or beyond the last, by product, the others by _edge_counts or, where weights differ within a block, one by one in the order of `squared_distance`."""
     out, top = np.zeros(bins, np.int64), width * bins
-    size = 384 if (a[-1] == 1).all() and (b[-1] == 1).all() else 192
-    parts = _blocks(a, size)
-    others = parts if same else _blocks(b, size)
+    parts = _by_weight(a)
+    others = parts if same else _by_weight(b)
     low, high = (np.array([f(o[:-1], axis=1) for o in others]) for f in (np.min, np.max))
     weights = np.array([o[-1].sum() for o in others])
-    single = [[bool((q[-1] == 1).all()) for q in side] for side in (parts, others)]
+    even = [[bool((q[-1] == q[-1, 0]).all()) for q in side] for side in (parts, others)]
     sharp = width**2 > 2.0**-14 * sum((np.abs(q[:-1]).max() + side) ** 2 for q in (a, b) for side in box)  # bins wider than _edge_counts' errors
     for i, p in enumerate(parts):
         start = i if same else 0
@@ -177,9 +185,9 @@ def _pair_counts(a: np.ndarray, b: np.ndarray, same: bool, width: float, bins: i
             if first[j] == last[j] < bins and not own:
                 out[int(first[j])] += int(p[-1].sum() * weights[start + j])
                 continue
-            if single[0][i] and single[1][start + j] and not own and sharp:
+            if even[0][i] and even[1][start + j] and not own and sharp:
                 turns = [range(int(np.rint((p[k].min() - high[start + j, k]) / side)), int(np.rint((p[k].max() - low[start + j, k]) / side)) + 1) for k, side in enumerate(box)]
-                out += _edge_counts(p[:-1], o[:-1], turns, int(first[j]), int(last[j]), width, bins, box)
+                out += int(p[-1, 0] * o[-1, 0]) * _edge_counts(p[:-1], o[:-1], turns, int(first[j]), int(last[j]), width, bins, box)
                 continue
             d = p[0][:, None] - o[0]
             d -= box[0] * np.rint(d / box[0])
@@ -206,7 +214,7 @@ def _pair_counts(a: np.ndarray, b: np.ndarray, same: bool, width: float, bins: i
 
 
 def _edge_counts(p: np.ndarray, o: np.ndarray, turns: list[range], first: int, last: int, width: float, bins: int, box: tuple[float, float]) -> np.ndarray:
-    """Pairs of two blocks of single points by bin; all lie in bins first to last, at one of the periodic images in `turns`.
+    """Pairs of two blocks of places by bin, each place counted once; all lie in bins first to last, at one of the periodic images in `turns`.
 
     Squared distances are float32 products about the blocks' middle, the least of the images'; pairs nearer to a bin's edge
     than their error bound are measured again in the order of `squared_distance`, so that counts are exact.
