@@ -127,3 +127,23 @@ def test_occupancy_of_repeated_and_awkward_spheres(spark, duck, tmp_path):
     assert tuple(got.first()) == own.execute(f"select {', '.join(got.columns)} from ({catalog.SQL['mesh_occupancy']})").fetchone()
     faces = mesh.octahedra(catalog.spheres(spark, str(tmp_path))).where("x1 is not null")
     assert mesh._sound(faces).count() == faces.select(mesh.CORNERS).distinct().count() < faces.count()
+
+
+def test_points_of_one_x_and_y_are_tried_at_once(spark):
+    """A triangle is tried on packs of points above each other, which stay small in a crowded column; counts are those of CROSSED."""
+    points = points_of(spark, [(x + 0.25, 1.5, z / 100) for x in range(3) for z in range(400 if x else 5)] * 2)
+    packs = [(r["x"], len(r["held"])) for r in mesh._packs(points).collect()]
+    assert sum(n for _, n in packs) == 1610 and max(n for _, n in packs) <= 3 * mesh.PACK
+    assert [n for x, n in packs if x == 0.25] == [10] and len(packs) <= 2 * 800 / mesh.PACK + 3
+    faces = mesh.octahedra(spark.range(30).selectExpr("id", "id % 3 + 0.5D cx", "1.5D cy", "id % 5 + 0.0D cz", "1.0D + id % 2 r"))
+    want = {r["id"]: r["count"] for r in points.join(faces, F.expr(mesh.CROSSED)).groupBy("id").count().collect()}
+    assert {r["id"]: r["n"] for r in mesh.crossings(points, faces).collect()} == want and len(want) > 800
+
+
+def test_rows_of_one_file_are_dealt_before_they_grow(spark):
+    spheres = spark.range(64).selectExpr("id", "2.0D cx", "2.0D cy", "2.0D cz", "1.0D r").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert mesh.octahedra(spheres).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -19,6 +19,8 @@ from voxlake.operators.voxels import evenly_sampled
 from voxlake.tables import dropped, written
 
 CORNERS = [f"{c}{v}" for v in "123" for c in "xyz"]
+#: Points of one x and y that a triangle is tried on at once, and how many must have one on average for packs to be made.
+PACK, SHARED = 64, 4
 
 
 def _side(p: str, q: str) -> str:
@@ -71,22 +73,39 @@ SQUARED = f"(case when {_dot(_NORMAL, _NORMAL)} > 0 and {_OVER} then {_dot(_NORM
 
 
 def _sides(triangles: DataFrame) -> DataFrame:
-    """Triangles that have a shadow, with what CROSSED needs of each worked out once: a test of a pair then is a few operations, with the same results."""
-    out = triangles.where(f"{SHADOW} <> 0").withColumns({"_nx": F.expr(_NX), "_ny": F.expr(_NY), "_shadow": F.expr(SHADOW)})
-    for p, q in ("12", "23", "31"):
-        first, turned = f"(x{p} < x{q} or (x{p} = x{q} and y{p} <= y{q}))", f"(case when {SHADOW} > 0 then 1 else -1 end)"
-        u = {c: f"(case when {first} then {c}{p} else {c}{q} end)" for c in "xy"}
-        along = {c: f"({turned} * (case when {first} then 1 else -1 end) * (case when {first} then {c}{q} - {c}{p} else {c}{p} - {c}{q} end))" for c in "xy"}
-        on = f"((y{q} - y{p}) * {turned} > 0 or (y{q} = y{p} and (x{q} - x{p}) * {turned} < 0))"
-        out = out.withColumns({f"_ux{p}": F.expr(u["x"]), f"_uy{p}": F.expr(u["y"]), f"_dx{p}": F.expr(along["x"]), f"_dy{p}": F.expr(along["y"]), f"_on{p}": F.expr(on)})
-    return out
+    """Triangles that have a shadow, with what CROSSED needs of each worked out once: a test of a pair then is a few operations, with the same results.
 
+    Each step names what the next one uses several times, so that no expression grows long.
+    """
+    out = triangles.withColumn("_shadow", F.expr(SHADOW)).where("_shadow <> 0")
+    out = out.withColumns({"_nx": F.expr(_NX), "_ny": F.expr(_NY), "_turned": F.when(F.col("_shadow") > 0, 1.0).otherwise(-1.0)})
+    edges = ("12", "23", "31")
+    out = out.withColumns({f"_d{c}{p}": F.col("_turned") * (F.col(f"{c}{q}") - F.col(f"{c}{p}")) for p, q in edges for c in "xy"})
+    out = out.withColumns({f"_u{c}{p}": F.expr(f"case when x{p} < x{q} or (x{p} = x{q} and y{p} <= y{q}) then {c}{p} else {c}{q} end") for p, q in edges for c in "xy"})
+    return out.withColumns({f"_on{p}": F.expr(f"_dy{p} > 0 or (y{q} = y{p} and _dx{p} < 0)") for p, q in edges}).drop("_turned")
 
-def _crossed(met: DataFrame) -> DataFrame:
-    """The pairs that CROSSED holds for, of points and triangles of _sides."""
+
+#: Where the upright line through (x, y) meets the plane of a triangle of _sides.
+_HEIGHT = "z1 - (_nx * (x - x1) + _ny * (y - y1)) / _shadow"
+
+
+def _shaded(met: DataFrame) -> DataFrame:
+    """The pairs of points and triangles of _sides whose shadow the point's x and y lie in."""
     side = [F.col(f"_dx{p}") * (F.col("y") - F.col(f"_uy{p}")) - F.col(f"_dy{p}") * (F.col("x") - F.col(f"_ux{p}")) for p in "123"]
     within = [(s > 0) | ((s == 0) & F.col(f"_on{p}")) for s, p in zip(side, "123", strict=True)]
-    return met.where(within[0] & within[1] & within[2] & F.expr("z1 - (_nx * (x - x1) + _ny * (y - y1)) / _shadow > z"))
+    return met.where(within[0] & within[1] & within[2])
+
+
+def _crossed(met: DataFrame) -> DataFrame:
+    """The pairs that CROSSED holds for, of points and triangles of _sides."""
+    return _shaded(met).where(F.expr(f"{_HEIGHT} > z"))
+
+
+def _packs(points: DataFrame) -> DataFrame:
+    """Points (id, x, y, z) of one x and y as rows (x, y, pack, held), about PACK of them each, however many there are."""
+    crowded = points.groupBy("x", "y").agg(F.count("*").alias("_n")).where(F.col("_n") > PACK)
+    dealt = points.join(crowded, ["x", "y"], "left").withColumn("pack", F.pmod(F.hash("id", "z"), F.ceil(F.coalesce("_n", F.lit(1)) / PACK)))
+    return dealt.groupBy("x", "y", "pack").agg(F.collect_list(F.struct("id", "z")).alias("held"))
 
 
 def _squares(*columns: pd.Series) -> pd.Series:
@@ -132,39 +151,48 @@ def cell_size(triangles: DataFrame) -> float:
     return float(triangles.agg(F.avg(longest)).first()[0] or 1.0) or 1.0
 
 
-def _ends(points: DataFrame, triangles: DataFrame) -> dict[str, tuple[float, float]] | None:
+def _ends(points: DataFrame, triangles: DataFrame, axes: str = "xyz") -> dict[str, tuple[float, float]] | None:
     """Where points and triangles lie, by axis; None without either."""
-    held = triangles.agg(*[g(h(*[F.col(f"{c}{v}") for v in "123"])).alias(f"{n}{c}") for c in "xyz" for n, g, h in (("l", F.min, F.least), ("h", F.max, F.greatest))]).first()
-    spread = points.agg(*[g(c).alias(f"{n}{c}") for c in "xyz" for n, g in (("l", F.min), ("h", F.max))]).first()
+    held = triangles.agg(*[g(h(*[F.col(f"{c}{v}") for v in "123"])).alias(f"{n}{c}") for c in axes for n, g, h in (("l", F.min, F.least), ("h", F.max, F.greatest))]).first()
+    spread = points.agg(*[g(c).alias(f"{n}{c}") for c in axes for n, g in (("l", F.min), ("h", F.max))]).first()
     if held["lx"] is None or spread["lx"] is None:
         return None
-    return {c: (min(held[f"l{c}"], spread[f"l{c}"]), max(held[f"h{c}"], spread[f"h{c}"])) for c in "xyz"}
+    return {c: (min(held[f"l{c}"], spread[f"l{c}"]), max(held[f"h{c}"], spread[f"h{c}"])) for c in axes}
 
 
 def _finite(points: DataFrame) -> DataFrame:
     return points.select("id", "x", "y", "z").where(F.abs(F.col("x")) + F.abs(F.col("y")) + F.abs(F.col("z")) < float("inf"))
 
 
-def _met(points: DataFrame, triangles: DataFrame, cell: float, ends: dict[str, tuple[float, float]], axes: str, reach: float = 0.0) -> DataFrame:
-    """Points with the triangles of their cell. With fewer cells than keep all tasks busy, a cell's points are dealt to several tasks and its triangles go to each."""
+def _met(points: DataFrame, triangles: DataFrame, cell: float, ends: dict[str, tuple[float, float]], axes: str, reach: float = 0.0, by: tuple[str, ...] = ("id",), n: int | None = None) -> DataFrame:
+    """Points with the triangles of their cell. With fewer cells than keep all tasks busy, a cell's points are dealt by columns `by` to several tasks and its triangles go to each; with `n` points given, not to more than a cell has points."""
     spark = points.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     cells = math.prod((ends[c][1] - ends[c][0]) / cell + 1 for c in axes)
     ways = math.ceil(min(max(4 * parts / cells, 1), parts))
+    if n is not None:
+        ways = min(ways, max(int(n / cells), 1))
     keys = [*[f"_{c}" for c in axes], "_way"]
-    here = points.withColumns({f"_{c}": F.floor(F.col(c) / cell) for c in axes}).withColumn("_way", F.pmod(F.hash("id"), F.lit(ways)))
+    here = points.withColumns({f"_{c}": F.floor(F.col(c) / cell) for c in axes}).withColumn("_way", F.pmod(F.hash(*by), F.lit(ways)))
     there = _dealt(triangles, cell, axes, reach).withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return here.repartition(parts, *keys).join(there, keys)
 
 
 def crossings(points: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
-    """id and n, the triangles over each point (id, x, y, z) that has any: only those of its own column of cells are tried."""
-    here, held = _finite(points), written(_sides(_sound(triangles).drop("face")), "triangles")
-    ends = _ends(here, held)
+    """id and n, the triangles over each point (id, x, y, z) that has any: only those of its own column of cells are tried, on packs of points where many have one x and y."""
+    here, held = _finite(points), written(_sound(triangles).drop("face"), "triangles")
+    ends = _ends(here, held, "xy")
     if ends is None:
         return points.select("id", F.lit(0).cast("bigint").alias("n")).limit(0)
-    met = _crossed(_met(here, held, cell or cell_size(held), ends, "xy"))
-    return met.groupBy("id").agg(F.sum("copies").alias("n"))
+    cell = cell or cell_size(held)
+    n, columns = here.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("x", "y"))).first()
+    if n < SHARED * columns:
+        over = _crossed(_met(here, _sides(held), cell, ends, "xy"))
+    else:
+        packs = written(_packs(here), "packs")
+        met = _shaded(_met(packs, _sides(held), cell, ends, "xy", by=("x", "y", "pack"), n=packs.count()))
+        over = met.select("copies", F.expr(_HEIGHT).alias("_height"), F.explode("held").alias("p")).where(F.col("_height") > F.col("p.z")).select("p.id", "copies")
+    return over.groupBy("id").agg(F.sum("copies").alias("n"))
 
 
 def inside(points: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
@@ -214,7 +242,7 @@ def occupancy_mismatch(voxels: DataFrame, triangles: DataFrame, spacing: float =
 
 
 def octahedra(spheres: DataFrame) -> DataFrame:
-    """face and corners of eight triangles inside each sphere (id, cx, cy, cz, r), facing outwards."""
+    """face and corners of eight triangles inside each sphere (id, cx, cy, cz, r), facing outwards. Spheres are dealt to tasks first, as a small file is read by one."""
     faces = []
     for k in range(8):
         sx, sy, sz = (1 if k >> i & 1 else -1 for i in range(3))
@@ -225,5 +253,5 @@ def octahedra(spheres: DataFrame) -> DataFrame:
         for v, (_, sign, axis) in zip("123", tips, strict=True):
             corners += [(F.col(f"c{c}") + (sign * F.col("r") if i == axis else F.lit(0.0))).alias(f"{c}{v}") for i, c in enumerate("xyz")]
         faces.append(F.struct(*corners))
-    return spheres.select("id", F.explode(F.array(*faces)).alias("f")).select((F.col("id") * 8 + F.col("f.k")).alias("face"), *[f"f.{c}" for c in CORNERS])
+    return spheres.repartition("id").select("id", F.explode(F.array(*faces)).alias("f")).select((F.col("id") * 8 + F.col("f.k")).alias("face"), *[f"f.{c}" for c in CORNERS])
 

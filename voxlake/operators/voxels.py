@@ -22,7 +22,7 @@ def covered(units: DataFrame, shape: tuple[int, int, int], spacing: float = 1.0)
     """x, y, z and n, the spheres (id, cx, cy, cz, r) a voxel centre lies in (field < 0), of all voxels in any.
 
     Units walk through their own bounding boxes, so the work is the volume covered, not voxels times units; partial
-    counts shrink it before the shuffle.
+    counts shrink it before the shuffle. Equal spheres walk once, and are dealt to tasks for that.
     """
     nx, ny, nz = shape
 
@@ -34,11 +34,13 @@ def covered(units: DataFrame, shape: tuple[int, int, int], spacing: float = 1.0)
         high = F.least(high, low + n - 1)  # not twice around
         return F.sequence(low.cast("int"), high.cast("int"))
 
-    rows = units.select("cx", "cy", "cz", "r", F.explode(span("cz", nz, False)).alias("z")).select("*", F.explode(span("cy", ny, True)).alias("_y")).select("*", F.explode(span("cx", nx, True)).alias("_x"))
+    place = ["cx", "cy", "cz", "r"]
+    alike = units.groupBy(*place).agg(F.count("*").alias("_n"))
+    rows = alike.select(*place, "_n", F.explode(span("cz", nz, False)).alias("z")).select("*", F.explode(span("cy", ny, True)).alias("_y")).select("*", F.explode(span("cx", nx, True)).alias("_x"))
     rows = rows.withColumn("x", F.pmod("_x", F.lit(nx))).withColumn("y", F.pmod("_y", F.lit(ny)))
     centre = [(F.col(c) + 0.5) * spacing for c in "xyz"]
     d2 = squared_distance(tuple(centre), ("cx", "cy", "cz"), (nx * spacing, ny * spacing))
-    return rows.where(d2 < F.col("r") * F.col("r")).groupBy("x", "y", "z").agg(F.count("*").alias("n"))
+    return rows.where(d2 < F.col("r") * F.col("r")).groupBy("x", "y", "z").agg(F.sum("_n").alias("n"))
 
 
 def phase(covered_voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
