@@ -147,3 +147,73 @@ def test_rows_of_one_file_are_dealt_before_they_grow(spark):
         assert mesh.octahedra(spheres).select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _measured(spark, since):
+    """The largest broadcast in bytes and the rows sent to Python of the executions after `since`, and the last one."""
+    store, most, rows, last = spark._jsparkSession.sharedState().statusStore(), 0.0, 0, since
+    seq = lambda s: [s.apply(i) for i in range(s.size())]
+    for e in seq(store.executionsList()):
+        if e.executionId() <= since:
+            continue
+        last = max(last, e.executionId())
+        metrics = store.executionMetrics(e.executionId())
+        for node in seq(store.planGraph(e.executionId()).allNodes()):
+            for m in seq(node.metrics()):
+                found = metrics.get(m.accumulatorId())
+                if found.isDefined() and (node.name(), m.name()) == ("BroadcastExchange", "data size"):
+                    size, unit = found.get().split("\n")[-1].split(" (")[0].split()[:2]
+                    most = max(most, float(size) * 1024 ** ["B", "KiB", "MiB", "GiB"].index(unit))
+                elif found.isDefined() and (node.name(), m.name()) == ("ArrowEvalPython", "number of output rows"):
+                    rows += int(found.get().replace(",", ""))
+    return most, rows, last
+
+
+def test_nested_faces_are_neither_broadcast_nor_all_measured(spark):
+    """Faces about one place, whose boxes hold each other: they must not grow by the cells in the driver, nor each meet half of the points."""
+    spheres = spark.range(400).selectExpr("id", "3.0D cx", "3.0D cy", "3.0D cz", "0.5D + 0.005D * id r")
+    points = np.random.default_rng(11).uniform(0, 6, (2000, 3))
+    _, _, since = _measured(spark, -1)
+    got = {r["id"]: (r["face"], r["distance"]) for r in mesh.nearest_face(points_of(spark, points), mesh.octahedra(spheres)).collect()}
+    most, rows, _ = _measured(spark, since)
+    assert most < 4e6 and rows < 2000 * 3200 / 10, (most, rows)
+    faces = mesh.octahedra(spheres).orderBy("face").toPandas()
+    for i in range(0, 2000, 20):
+        s = mesh._squares(*[faces["x1"] * 0 + v for v in points[i]], *[faces[c] for c in mesh.CORNERS])
+        assert got[i] == (faces["face"][int(s.argmin())], float(np.sqrt(s.min())))
+    assert len(got) == 2000
+
+
+@pytest.mark.parametrize("far", [None, 3e7])
+def test_descent_to_nearest_faces_on_awkward_input(spark, monkeypatch, far):
+    """Ties, slivers, points and lines for triangles, repeated places and keys, minus zero, and a point and a face far away: faces and distances are those of all pairs."""
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.integers(0, 4, (150, 9)).astype(float), rng.uniform(0, 4, (150, 9)), np.repeat(rng.uniform(0, 4, (20, 3)), 3, 0).reshape(20, 9) + np.tile([0, 0, 0, 3, 3, 3, 1, 1, 1 + 1e-9], (20, 1))])
+    spots = np.concatenate([rng.integers(0, 4, (60, 3)).astype(float), rng.uniform(-1, 5, (200, 3)), np.full((40, 3), 1.25), [[-0.0, 0.0, 1.0], [0.0, -0.0, 1.0]]])
+    if far:
+        at, spots = np.concatenate([at, at[:3] + far]), np.concatenate([spots, [[far, 0.0, -far]]])
+    faces = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(at)], "face bigint, " + ", ".join(f"{c} double" for c in mesh.CORNERS))
+    points = points_of(spark, spots)
+    points = points.union(points.where("id < 5").selectExpr("id", "x + 2", "y", "z"))
+    want = {r["id"]: (r["m"]["face"], r["m"]["distance"]) for r in mesh._nearest(points.crossJoin(faces), "id").collect()}
+    monkeypatch.setattr(mesh, "FEW", 0)
+    for cell in (None, 0.7):
+        got = mesh.nearest_face(points, faces, cell).collect()
+        assert {r["id"]: (r["face"], r["distance"]) for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_faces_of_copies_as_by_the_sql(spark, duck, tmp_path, monkeypatch):
+    """Copies with shifted keys, some of the same balance, by broadcast and by shuffled groups."""
+    own = duck.cursor()
+    own.execute(f"copy (select (s_suppkey + 20 * i)::bigint s_suppkey, s_name, s_nationkey, s_acctbal + 37.5 * (i % 5) s_acctbal from supplier, range(8) r(i)) to '{tmp_path}/supplier.parquet'")
+    own.execute(f"copy (select c_custkey + 1000 * i c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer, range(3) r(i)) to '{tmp_path}/customer.parquet'")
+    for t in ("supplier", "customer"):
+        own.execute(f"create temp view {t} as select * from '{tmp_path}/{t}.parquet'")
+    want = {}
+    monkeypatch.setattr(mesh, "FEW", 0)
+    for grouped in (mesh.GROUPS, 40):
+        monkeypatch.setattr(mesh, "GROUPS", grouped)
+        got = catalog.QUERIES["nearest_face"](spark, str(tmp_path))
+        want = want or dict(own.execute(f"select id, distance from ({catalog.SQL['nearest_face']})").fetchall())
+        rows = [tuple(r) for r in got.select("id", "distance").collect()]
+        assert dict(rows) == want and len(rows) == len(want)

@@ -1,9 +1,10 @@
 """Points against triangles: sides of a closed surface by columns, nearest faces by cells, and both against voxels.
 
-Triangles are rows (face, x1, y1, z1 .. z3); equal ones are met once. A triangle is dealt to the grid cells its bounding box
-meets, a point to its own cell, and they meet by an equi-join; no point meets all triangles and no task holds the surface.
-A cell's points are spread over several tasks where there are few cells. Expressions are SQL text in the functions that both
-Spark and other engines have, so that they can be checked there as they are.
+Triangles are rows (face, x1, y1, z1 .. z3); equal ones are met once. For sides a triangle is dealt to the columns of cells its
+bounding box meets, a point to its own, and they meet by an equi-join; a cell's points are spread over several tasks where there
+are few cells. For nearest faces cells of points meet groups of like triangles, both halved again and again, and a cell keeps
+the groups that may be nearest. No point meets all triangles and no task holds the surface. Expressions are SQL text in the
+functions that both Spark and other engines have, so that they can be checked there as they are.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.operators.voxels import evenly_sampled
@@ -21,6 +22,10 @@ from voxlake.tables import dropped, written
 CORNERS = [f"{c}{v}" for v in "123" for c in "xyz"]
 #: Points of one x and y that a triangle is tried on at once, and how many must have one on average for packs to be made.
 PACK, SHARED = 64, 4
+#: So many pairs of points and triangles are all measured; so many of cells and groups begin a descent.
+FEW, FIRST = 2**22, 2**19
+#: Groups that are broadcast, of some 200 bytes; more meet the cells in a shuffle.
+GROUPS = 2**14
 
 
 def _side(p: str, q: str) -> str:
@@ -124,17 +129,17 @@ def _squares(*columns: pd.Series) -> pd.Series:
     return pd.Series(np.where((size > 0) & over, plane * plane / np.where(size > 0, size, 1.0), edge))
 
 
-def _squared(met: DataFrame) -> DataFrame:
-    """id, face and _s, SQUARED of points and triangles."""
-    return met.select("id", "face", F.pandas_udf(_squares, "double")("x", "y", "z", *CORNERS).alias("_s"))
+def _squared(met: DataFrame, *held: str | Column) -> DataFrame:
+    """`held` (id and face) and _s, SQUARED of points and triangles."""
+    return met.select(*(held or ("id", "face")), F.pandas_udf(_squares, "double").asNondeterministic()("x", "y", "z", *CORNERS).alias("_s"))  # or a filter on _s measures again
 
 
-def _dealt(triangles: DataFrame, cell: float, axes: str, reach: float = 0.0) -> DataFrame:
-    """Each triangle once for every cell within `reach` of its bounding box."""
+def _dealt(triangles: DataFrame, cell: float, axes: str) -> DataFrame:
+    """Each triangle once for every cell its bounding box meets."""
     out = triangles
     for c in axes:
         ends = [F.col(f"{c}{v}") for v in "123"]
-        out = out.withColumn(f"_{c}", F.explode(F.sequence(F.floor((F.least(*ends) - reach) / cell), F.floor((F.greatest(*ends) + reach) / cell))))
+        out = out.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.least(*ends) / cell), F.floor(F.greatest(*ends) / cell))))
     return out
 
 
@@ -164,17 +169,22 @@ def _finite(points: DataFrame) -> DataFrame:
     return points.select("id", "x", "y", "z").where(F.abs(F.col("x")) + F.abs(F.col("y")) + F.abs(F.col("z")) < float("inf"))
 
 
-def _met(points: DataFrame, triangles: DataFrame, cell: float, ends: dict[str, tuple[float, float]], axes: str, reach: float = 0.0, by: tuple[str, ...] = ("id",), n: int | None = None) -> DataFrame:
+def _parts(df: DataFrame, rows: int = 0) -> int:
+    """Tasks that keep all cores busy, with about half a million of `rows` each at most."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, rows >> 19)
+
+
+def _met(points: DataFrame, triangles: DataFrame, cell: float, ends: dict[str, tuple[float, float]], axes: str, by: tuple[str, ...] = ("id",), n: int | None = None) -> DataFrame:
     """Points with the triangles of their cell. With fewer cells than keep all tasks busy, a cell's points are dealt by columns `by` to several tasks and its triangles go to each; with `n` points given, not to more than a cell has points."""
-    spark = points.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    parts = _parts(points)
     cells = math.prod((ends[c][1] - ends[c][0]) / cell + 1 for c in axes)
     ways = math.ceil(min(max(4 * parts / cells, 1), parts))
     if n is not None:
         ways = min(ways, max(int(n / cells), 1))
     keys = [*[f"_{c}" for c in axes], "_way"]
     here = points.withColumns({f"_{c}": F.floor(F.col(c) / cell) for c in axes}).withColumn("_way", F.pmod(F.hash(*by), F.lit(ways)))
-    there = _dealt(triangles, cell, axes, reach).withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    there = _dealt(triangles, cell, axes).withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return here.repartition(parts, *keys).join(there, keys)
 
 
@@ -201,34 +211,125 @@ def inside(points: DataFrame, triangles: DataFrame, cell: float | None = None) -
     return points.join(n.withColumnRenamed("n", "_n"), "id", "left").withColumn("inside", F.coalesce(F.col("_n") % 2 == 1, F.lit(False))).drop("_n")
 
 
+def _nearest(near: DataFrame, *by: str) -> DataFrame:
+    """`by` and m, the distance and face of the nearest of the triangles met, the smaller face on a tie."""
+    return _squared(near, *by, "face").groupBy(*by).agg(F.min(F.struct(F.sqrt("_s").alias("distance"), "face")).alias("m"))
+
+
+def _above(level: int, depth: int, columns: list[str]) -> list[Column]:
+    """Numbers of the cells at `level`, from those at `depth`."""
+    return [F.shiftright(F.col(f"_{c}"), depth - level) for c in columns]
+
+
+def _groups(triangles: DataFrame, part: Column, level: int, depth: int, unit: float) -> DataFrame:
+    """Groups of triangles whose corners lie in the same nine cells: part, the group they come from, group, the middles and n of its triangles, r, how far they reach from the triangle through the middles, and the ends of them all, in half units.
+
+    Middles are whole numbers, whose products are exact, so that no sliver is taken for a plane. Groups are told by a hash:
+    should two have one, both are kept wherever either is, and nothing is lost.
+    """
+    keys = [k.alias(f"_k{c}") for k, c in zip(_above(level, depth, CORNERS), CORNERS, strict=True)]
+    rows = triangles.select(part.alias("part"), *keys, *[f"_{c}" for c in CORNERS]).groupBy("part", *[f"_k{c}" for c in CORNERS])
+    out = rows.agg(F.count("*").alias("n"), *[g(f"_{c}").alias(f"{e}{c}") for c in CORNERS for e, g in (("l", F.min), ("h", F.max))])
+    reach = [F.sqrt(sum(F.pow(F.col(f"h{c}{v}") - F.col(f"l{c}{v}") + 1, F.lit(2.0)) for c in "xyz")) for v in "123"]
+    held = {c: (F.col(f"l{c}") + F.col(f"h{c}") + 1).cast("double") for c in CORNERS} | {"group": F.xxhash64(*[f"_k{c}" for c in CORNERS]), "r": F.greatest(*reach) * (unit / 2)}
+    held |= {f"{e}{c}": 2.0 * (g(*[F.col(f"{e}{c}{v}") for v in "123"]) + off) for c in "xyz" for e, g, off in (("l", F.least, 0), ("h", F.greatest, 1))}
+    return out.select("part", "n", *[v.alias(k) for k, v in held.items()])
+
+
+def _kept(met: DataFrame, groups: DataFrame, few: bool, low: dict[str, float], unit: float, parts: int) -> DataFrame:
+    """Cells or places (px, py, pz), whose points lie within h of (mx, my, mz), with those groups of their groups' that may hold the nearest triangle of a point there.
+
+    No triangle of a group is nearer to a point of the cell than the distance of the middles less h and r, and each is as near
+    as that distance, h and r; the least of these is handed down as top. A unit more stands for rounding.
+    """
+    at = ["px", "py", "pz"]
+    met = met.withColumns({c: (F.col(f"m{c}") - low[c]) / (unit / 2) for c in "xyz"}).withColumnRenamed("group", "part")
+    tried = met.repartition(parts, *at).join(groups.hint("broadcast"), "part") if few else met.join(groups.hint("merge"), "part")
+    off = [F.greatest(F.col(f"l{c}") - F.col(c), F.col(c) - F.col(f"h{c}"), F.lit(0.0)) for c in "xyz"]
+    tried = tried.where(F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2]) * (unit / 2) - F.col("h") - unit <= F.col("top"))
+    measured = _squared(tried, *at, "group", "n", "top", (F.col("h") + F.col("r") + unit).alias("slack"))
+    measured = measured.withColumn("_d", F.sqrt("_s") * (unit / 2)).where(F.col("_d") - F.col("slack") <= F.col("top"))
+    least = F.min(F.col("_d") + F.col("slack")).over(Window.partitionBy(*at))
+    dealt = measured if few else measured.repartition(parts, *at)
+    return dealt.withColumn("top", F.least("top", least)).where(F.col("_d") - F.col("slack") <= F.col("top")).select(*at, "group", "n", "top")
+
+
 def nearest_face(points: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
     """id, face and distance of the nearest triangle of every point (id, x, y, z), the smaller face on a tie.
 
-    Triangles go to the cells within half a cell of them, a point to its own, and only those whose bounding boxes are as near
-    are measured; points that find no face so near are tried again with cells twice as wide, until one covers all.
+    Cells of points meet groups of triangles alike in all corners, both halved again and again, and each cell keeps the groups
+    that may be nearest; where cells hold few points these take their place, and groups are halved until they hold few
+    triangles, which are measured. The descent begins with cells `cell` wide, or as narrow as leaves FEW pairs.
     Points with a null or non-finite place, and all if there are no triangles, have no row.
     """
     held = written(_sound(triangles).drop("copies"), "triangles")
-    cell = cell or cell_size(held)
-    left, found = _finite(points), None
-    ends = _ends(left, held)
+    here = _finite(points).withColumns({c: F.col(c).cast("double") for c in "xyz"})
+    ends = _ends(here, held)
     if ends is None:
         return points.select("id", F.lit(None).cast(dict(held.dtypes)["face"]).alias("face"), F.lit(None).cast("double").alias("distance")).limit(0)
-    widest = math.sqrt(sum((high - low) ** 2 for low, high in ends.values()))
+    number = here.count()
+    if cell is None and number * held.count() <= FEW:
+        return _nearest(here.repartition(_parts(here)).crossJoin(held.coalesce(1).hint("shuffle_replicate_nl")), "id").select("id", "m.face", "m.distance")
+    near = _descended(here, held, ends, number, cell)
+    best = _nearest(near, "x", "y", "z")
+    return here.join(best.hint("merge"), ["x", "y", "z"]).groupBy("id").agg(F.min("m").alias("m")).select("id", "m.face", "m.distance")
+
+
+def _descended(points: DataFrame, triangles: DataFrame, ends: dict[str, tuple[float, float]], number: int, cell: float | None = None) -> DataFrame:
+    """Places of points (x, y, z) with the triangles that may be nearest."""
+    at, low = ["px", "py", "pz"], {c: ends[c][0] for c in "xyz"}
+    wide = max(high - least for least, high in ends.values()) or 1.0
+    longest = F.greatest(*[F.greatest(*e) - F.least(*e) for e in ([F.col(f"{c}{v}") for v in "123"] for c in "xyz")])
+    side = triangles.agg(F.max(longest)).first()[0] or wide
+    depth = min(40, 25 + math.floor(math.log2(wide / side)))  # no triangle is more than 2**26 half cells long
+    numbers = lambda columns: [F.floor((F.col(c) - low[c[0]]) / wide * 2.0**depth).alias(f"_{c}") for c in columns]
+    unit = wide / 2.0**depth
+    numbers = lambda columns: [F.floor((F.col(c) - low[c[0]]) / unit).alias(f"_{c}") for c in columns]
+    places = written(points.select("x", "y", "z", *numbers("xyz")).distinct(), "places")
+    held = written(triangles.select("*", *numbers(CORNERS)), "triangles")
+
+    def counts(df: DataFrame, columns: list[str]) -> list[int]:
+        """About how many cells or groups there are at each level."""
+        rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).groupBy("level")
+        n = rows.agg(F.approx_count_distinct(F.xxhash64(*[F.expr(f"shiftright(_{c}, {depth} - level)") for c in columns])).alias("n")).collect()
+        return [r["n"] for r in sorted(n, key=lambda r: r["level"])]
+
+    def cells_of(level: int, over: int) -> DataFrame:
+        """Cells of places, the cells at level `over` they are part of (qx, qy, qz), and where their places lie."""
+        keys = [k.alias(f"{p}{c}") for p, at_level in (("q", over), ("p", level)) for k, c in zip(_above(at_level, depth, list("xyz")), "xyz", strict=True)]
+        ends = [g(c).alias(f"{e}{c}") for c in "xyz" for e, g in (("l", F.min), ("h", F.max))]
+        out = places.select(*keys, "x", "y", "z").groupBy("qx", "qy", "qz", *at).agg(*ends)
+        spread = [(F.col(f"h{c}") - F.col(f"l{c}")) / 2 for c in "xyz"]
+        return out.select("qx", "qy", "qz", *at, *[(F.col(f"l{c}") + s).alias(f"m{c}") for c, s in zip("xyz", spread, strict=True)], F.sqrt(sum(s * s for s in spread)).alias("h"))
+
+    def itself(met: DataFrame) -> DataFrame:
+        """Places, which are their own middles."""
+        return met.withColumns({f"m{c}": F.col(f"p{c}") for c in "xyz"} | {"h": F.lit(0.0)})
+
+    cells, groups = counts(places, list("xyz")), counts(held, CORNERS)
+    level = max((k for k in range(depth + 1) if groups[k] <= GROUPS and cells[k] * groups[k] <= FIRST), default=0)
+    if cell is not None:
+        level = min(max(math.ceil(math.log2(wide / cell)), 0), depth)
+    part, exact, was, rows = F.lit(0), False, None, cells[level] * groups[level]
+    met = cells_of(level, level).drop("qx", "qy", "qz").withColumns({"group": F.lit(0), "top": F.lit(float("inf"))})
     while True:
-        reach = cell / 2
-        off = [F.greatest(F.least(*e) - F.col(c), F.col(c) - F.greatest(*e), F.lit(0.0)) for c, e in ((c, [F.col(f"{c}{v}") for v in "123"]) for c in "xyz")]
-        near = _met(left, held, cell, ends, "xyz", 1.001 * reach).where(off[0] * off[0] + off[1] * off[1] + off[2] * off[2] <= (1.001 * reach) ** 2)
-        nearest = _squared(near).select("id", F.struct(F.sqrt("_s").alias("_d"), "face").alias("m")).groupBy("id").agg(F.min("m").alias("m"))
-        best = written(nearest.where(F.col("m._d") <= reach).select("id", "m.face", F.col("m._d").alias("distance")), "nearest")
-        found = best if found is None else found.unionByName(best)
-        if reach > widest:
-            return found
-        rest = written(left.join(best, "id", "left_anti"), "unmet")
-        if not rest.limit(1).count():
-            dropped(rest)
-            return found
-        left, cell = rest, cell * 2
+        near = written(_kept(met, _groups(held, part, level, depth, unit), groups[level] <= GROUPS, low, unit, _parts(places, 4 * rows)), "near")
+        if was is not None:
+            dropped(was)
+        was = near
+        rows, pairs = near.agg(F.count("*"), F.sum("n")).first()
+        part = F.xxhash64(*_above(level, depth, CORNERS))
+        if exact and (level == depth or pairs <= max(FEW, 4 * rows)):
+            return near.select(*[F.col(p).alias(c) for c, p in zip("xyz", at, strict=True)], "group").join(held.select(part.alias("group"), "face", *CORNERS).hint("merge"), "group")
+        met, over = near.select(*at, "group", "top"), level
+        level = min(level + (2 if exact else 1), depth)
+        if exact:
+            met = itself(met)
+            continue
+        exact = level == depth or 4 * cells[level] >= number
+        keys = [k.alias(f"q{c}") for k, c in zip(_above(over, depth, list("xyz")), "xyz", strict=True)]
+        inner = itself(places.select(*keys, *[F.col(c).alias(f"p{c}") for c in "xyz"])) if exact else cells_of(level, over)
+        met = met.withColumnsRenamed({f"p{c}": f"q{c}" for c in "xyz"}).join(inner.hint("merge"), ["qx", "qy", "qz"]).drop("qx", "qy", "qz")
 
 
 def occupancy_mismatch(voxels: DataFrame, triangles: DataFrame, spacing: float = 1.0, most: int | None = None, cell: float | None = None) -> DataFrame:
