@@ -217,3 +217,13 @@ def test_nearest_faces_of_copies_as_by_the_sql(spark, duck, tmp_path, monkeypatc
         want = want or dict(own.execute(f"select id, distance from ({catalog.SQL['nearest_face']})").fetchall())
         rows = [tuple(r) for r in got.select("id", "distance").collect()]
         assert dict(rows) == want and len(rows) == len(want)
+
+
+def test_faces_repeated_by_column_are_not_broadcast(spark):
+    """Sides: faces go to every column of cells they meet, which their file doesn't tell."""
+    faces = mesh.octahedra(spark.range(400).selectExpr("id", "3.0D cx", "3.0D cy", "3.0D cz", "0.5D + 0.005D * id r"))
+    points = points_of(spark, np.random.default_rng(12).uniform(0, 6, (500, 3)))
+    _, _, since = _measured(spark, -1)
+    got = {r["id"]: r["n"] for r in mesh.crossings(points, faces).collect()}
+    assert _measured(spark, since)[0] < 1e6
+    assert got == {r["id"]: r["count"] for r in points.join(faces, F.expr(mesh.CROSSED)).groupBy("id").count().collect()} and got

@@ -3,8 +3,9 @@
 Triangles are rows (face, x1, y1, z1 .. z3); equal ones are met once. For sides a triangle is dealt to the columns of cells its
 bounding box meets, a point to its own, and they meet by an equi-join; a cell's points are spread over several tasks where there
 are few cells. For nearest faces cells of points meet groups of like triangles, both halved again and again, and a cell keeps
-the groups that may be nearest. No point meets all triangles and no task holds the surface. Expressions are SQL text in the
-functions that both Spark and other engines have, so that they can be checked there as they are.
+the groups that may be nearest. No point meets all triangles, no task holds the surface, and triangles repeated by cell are
+never broadcast: the size of their file says little of them. Expressions are SQL text in the functions that both Spark and other
+engines have, so that they can be checked there as they are.
 """
 
 from __future__ import annotations
@@ -185,7 +186,7 @@ def _met(points: DataFrame, triangles: DataFrame, cell: float, ends: dict[str, t
     keys = [*[f"_{c}" for c in axes], "_way"]
     here = points.withColumns({f"_{c}": F.floor(F.col(c) / cell) for c in axes}).withColumn("_way", F.pmod(F.hash(*by), F.lit(ways)))
     there = _dealt(triangles, cell, axes).withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    return here.repartition(parts, *keys).join(there, keys)
+    return here.repartition(parts, *keys).join(there.hint("merge"), keys)
 
 
 def crossings(points: DataFrame, triangles: DataFrame, cell: float | None = None) -> DataFrame:
